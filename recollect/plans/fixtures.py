@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLOCK = "2026-03-01 00:00:00"
-QUERY_TEXT = "the ertion src1_en"
+QUERY_TEXT = "the ertion src1_en Doc3"
 
 
 def now() -> Column:

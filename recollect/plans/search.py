@@ -157,7 +157,7 @@ def search_all(rows: DataFrame, query: Query, n: int, now: Column, min_score: fl
     # at most `deep` rows: the shared workspace's own best
     shared = own.where(F.col("workspace_id") == SHARED_WORKSPACE).agg(
         F.collect_list(F.struct(*body)).alias("rows")).scalar()
-    lists = (own.where(F.col("workspace_id") != SHARED_WORKSPACE).select("workspace_id").distinct()
+    lists = (open_rows.where(F.col("workspace_id") != SHARED_WORKSPACE).select("workspace_id").distinct()
              .select("workspace_id", F.explode(shared).alias("hit"))
              .select("workspace_id", "hit.*"))
     vec = top_per_key(own.unionByName(lists), ["workspace_id"], order, deep).drop("rank")
