@@ -55,7 +55,7 @@ def by_agent_action(usage: DataFrame) -> DataFrame:
 
 
 def _map_of(key: str, value: str) -> Column:
-    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
+    return F.map_from_entries(F.collect_list(F.struct(key, value)))
 
 
 def report(usage: DataFrame) -> DataFrame:
@@ -73,8 +73,8 @@ def days_until(spark, last_day: Column, n: int) -> DataFrame:
     """The calendar of the `n` days up to `last_day`."""
     n = n if 0 < n <= USAGE_RETENTION_DAYS else (30 if n <= 0 else USAGE_RETENTION_DAYS)
     last = last_day.cast("date")
-    days = F.explode(F.sequence(F.date_sub(last, n - 1), last))
-    return spark.range(1).select(F.date_format(days, "yyyy-MM-dd").alias("day"))
+    days = spark.range(1).select(F.explode(F.sequence(F.date_sub(last, n - 1), last)).alias("date"))
+    return days.select(F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 
 def last_days(per_day: DataFrame, last_day: Column, n: int = 30) -> DataFrame:

@@ -155,8 +155,25 @@ usage AS (
   FROM line)"""
 
 
+def conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's text as a conclusion; those of system turns are cited by no edge."""
+    m = messages(spark, sf_dir)
+    prefix = F.when(F.col("role") == "system", "x").otherwise("c")
+    return m.select(
+        F.concat(prefix, F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+        .alias("id"), "workspace_id", F.col("role").alias("peer_id"), "document", "created_at")
+
+
+CONCLUSIONS_SQL = """
+concl AS (
+  SELECT CASE WHEN role = 'system' THEN 'x' ELSE 'c' END || conv_id || ':' || turn AS id,
+         workspace_id, role AS peer_id, document, created_at
+  FROM msg)"""
+
+
 def reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn as a conclusion that rests on the turn before and on its own message."""
+    """Each turn as a conclusion that rests on the turn before; the assistant's also on their
+    own message."""
     m = messages(spark, sf_dir)
     conv, turn = F.col("conv_id"), F.col("turn")
     none = F.array().cast("array<string>")
@@ -164,7 +181,8 @@ def reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("edge_", conv, "_", turn).alias("id"), "workspace_id",
         _text("c", conv, ":", turn).alias("conclusion_id"),
         F.when(turn > 0, F.array(_text("c", conv, ":", turn - 1))).otherwise(none).alias("premise_ids"),
-        F.array(F.col("message_id")).alias("supporting_message_ids"), "created_at", conv, turn)
+        F.when(F.col("role") == "assistant", F.array(F.col("message_id"))).otherwise(none)
+        .alias("supporting_message_ids"), "created_at", conv, turn)
 
 
 REASONING_SQL = MESSAGES_SQL + """,
@@ -172,7 +190,9 @@ edge AS (
   SELECT 'edge_' || conv_id || '_' || turn AS id, workspace_id,
          'c' || conv_id || ':' || turn AS conclusion_id,
          CASE WHEN turn > 0 THEN ['c' || conv_id || ':' || (turn - 1)] ELSE []::VARCHAR[] END
-           AS premise_ids, [message_id] AS supporting_message_ids, created_at, conv_id, turn
+           AS premise_ids,
+         CASE WHEN role = 'assistant' THEN [message_id] ELSE []::VARCHAR[] END
+           AS supporting_message_ids, created_at, conv_id, turn
   FROM msg)"""
 
 
