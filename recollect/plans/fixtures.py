@@ -197,7 +197,7 @@ edge AS (
 
 
 def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Markdown files: a title, a body and two sections with a link."""
+    """Documents as Markdown files: a title, a body, a code fence and sections with links."""
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     folder = F.element_at(F.array(*[F.lit(x) for x in ("longterm", "howto", "topics", "misc")]),
@@ -206,7 +206,7 @@ def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
         n, F.concat(F.lit("team/vault/"), folder, F.lit("/"), F.col("source"), F.lit("/note"),
                     n.cast("string"), F.lit(".md")).alias("path"),
         F.concat(F.lit("# Note Of "), F.col("source"), F.lit("\n\n"), F.col("text"),
-                 F.lit("\n## Links\nsee [[note"), F.pmod(n * 7, F.lit(100)).cast("string"),
+                 F.lit("\n```\n# fenced, no header\n```\n### Deep Part\nmore\n## Links\nsee [[note"), F.pmod(n * 7, F.lit(100)).cast("string"),
                  F.lit("]] and [[ Home ]]\n\n## State\nlanguage "), F.col("lang"),
                  F.lit(" for Spark\n")).alias("text"))
 
@@ -215,7 +215,9 @@ VAULT_SQL = """
 vault AS (
   SELECT doc_id, 'team/vault/' || ['longterm', 'howto', 'topics', 'misc'][(doc_id % 4 + 1)::INT]
            || '/' || source || '/note' || doc_id || '.md' AS path,
-         '# Note Of ' || source || chr(10) || chr(10) || text || chr(10) || '## Links' || chr(10)
+         '# Note Of ' || source || chr(10) || chr(10) || text || chr(10) || '```' || chr(10)
+           || '# fenced, no header' || chr(10) || '```' || chr(10) || '### Deep Part' || chr(10)
+           || 'more' || chr(10) || '## Links' || chr(10)
            || 'see [[note' || ((doc_id * 7) % 100) || ']] and [[ Home ]]' || chr(10) || chr(10)
            || '## State' || chr(10) || 'language ' || lang || ' for Spark' || chr(10) AS text
   FROM documents)"""
