@@ -92,12 +92,12 @@ def reassemble(chunks: DataFrame) -> DataFrame:
     return once.groupBy("message_id").agg(F.array_join(parts, "").alias("text"))
 
 
-def latest(updates: DataFrame, key: str = "message_id", at: str = "queued_at") -> DataFrame:
-    """J5, batch form: the last queued update of each message wins, by a partial aggregate."""
+def latest(updates: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """J5, batch form: the last update of each message wins, by a partial aggregate. `order`
+    has to tell the updates of a message apart."""
     body = [c for c in updates.columns if c != key]
-    return updates.groupBy(key).agg(
-        F.max_by(F.struct(*body), F.struct(at, *[c for c in body if c in ("content", "update_id")]))
-        .alias("_u")).select(key, "_u.*")
+    last = F.max_by(F.struct(*body), F.struct(*order)).alias("_u")
+    return updates.groupBy(key).agg(last).select(key, "_u.*")
 
 
 def add_sessions(scopes: DataFrame, name: str, sessions: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text",)
+MODULES = ("graph",)
 
 
 def _collect(part: str) -> dict:
