@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import preview
 from recollect.operators.skew import first_seen
-from recollect.session import cut_lineage
+from recollect.session import cut_and_count
 from recollect.settings import TRACE_DEPTH, TRACE_DEPTH_CAP
 
 
@@ -38,9 +38,9 @@ def _walk(seeds: DataFrame, step, depth: int | None) -> DataFrame | None:
         level += 1
         found = step(frontier).groupBy("seed", "id").agg(
             F.min("via").alias("via"), F.bool_or("go_on").alias("go_on"))
-        fresh = cut_lineage(found.join(seen, ["seed", "id"], "left_anti").withColumn(
+        fresh, count = cut_and_count(found.join(seen, ["seed", "id"], "left_anti").withColumn(
             "depth", F.lit(level)))
-        if fresh.isEmpty():
+        if count == 0:
             break
         levels.append(fresh)
         frontier = fresh.where("go_on").select("seed", "id")

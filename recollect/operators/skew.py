@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.session import cut_lineage
+from recollect.session import cut_and_count, cut_lineage
 
 BROADCAST_ROWS = 50_000
 SALTS = 32
@@ -15,12 +15,12 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "l
                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join to a lookup table with one row per key.
 
-    The lookup is counted (up to the bound) first: within `max_rows` it is broadcast and `rows`
+    The lookup is written and counted first: within `max_rows` it is broadcast and `rows`
     are not shuffled. Beyond it both sides are shuffled on key and salt, with the lookup
     repeated once per salt, so that a hot key is spread over `SALTS` tasks.
     """
-    lookup = cut_lineage(lookup)
-    if lookup.limit(max_rows + 1).count() <= max_rows:
+    lookup, count = cut_and_count(lookup)
+    if count <= max_rows:
         return rows.join(F.broadcast(lookup), on, how)
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("graph",)
+MODULES = ("store",)
 
 
 def _collect(part: str) -> dict:

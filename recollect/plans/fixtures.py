@@ -119,8 +119,12 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as usage lines. `ts` is read without zone and means UTC."""
-    e = table(spark, sf_dir, "events")
+    """Events as usage lines."""
+    return usage_lines(table(spark, sf_dir, "events"))
+
+
+def usage_lines(e: DataFrame) -> DataFrame:
+    """`ts` is read without zone and means UTC."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     action = (F.when(F.col("event_type") == "click", "search").when(F.col("event_type") == "view", "store")
               .when(F.col("event_type") == "purchase", "ask").when(F.col("event_type") == "signup", "chat")

@@ -39,7 +39,7 @@ def trace_previews(spark, sf):
     trace = provenance.trace_forward(edges, _last_turns(edges), 3)
     chunks = fx.messages(spark, sf).withColumn("chunk_index", F.lit(0))
     shown = provenance.with_previews(trace, chunks)
-    return shown.select("seed", "id", F.coalesce(F.octet_length("document") > 303, F.lit(False)).alias("cut"),
+    return shown.select("seed", "id", F.coalesce(F.octet_length("document") > 300, F.lit(False)).alias("cut"),
                         F.col("document").isNotNull().alias("found"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "recollect", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,6 +43,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """`cut_lineage` and the number of rows, counted while they are written."""
+    rows = Observation()
+    return cut_lineage(df.observe(rows, F.count(F.lit(1)).alias("n"))), rows.get["n"]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it back, so that later steps neither
     recompute it nor see other rows after an executor is lost. As a Parquet table it also
