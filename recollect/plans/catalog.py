@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("store",)
+MODULES = ("retrieval", "analytics", "graph", "text", "store")
 
 
 def _collect(part: str) -> dict:
