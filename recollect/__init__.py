@@ -1 +1,9 @@
 """Spark-native semantic memory: retrieval, provenance and usage analytics over DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so that executors need no copy of this
+# package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.vectors import cosine_distance
-from recollect.operators.skew import rank_bounded
+from recollect.operators.skew import rank_bounded, running
+from recollect.session import cut_lineage
 
 
 def with_distance(rows: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
@@ -24,3 +27,37 @@ def nearest(rows: DataFrame, query: list[float], k: int, where: Column | None =
     rows = rows if where is None else rows.where(where)
     return rank_bounded(with_distance(rows, query, vector),
                         [F.col("distance"), F.col(id_)], k)
+
+
+def near_any(queries: DataFrame, rows: DataFrame, key: str, distance: float, vector: str = "embedding",
+             block: int = 1_000) -> DataFrame:
+    """The keys of queries that have a row nearer than `distance`.
+
+    Queries are taken in blocks of bounded size, each shipped to the tasks as one matrix. A task
+    reads its rows once per block and emits a key at most once, so no pairs are ever formed.
+    """
+    found = None
+    numbered = cut_lineage(running(queries.select(key, vector), [], [F.col(key)], rank="_n", total="_t"))
+    count = numbered.count()
+    kind = queries.schema[key].dataType.simpleString()
+    for start in range(0, count, block):
+        part = numbered.where(F.col("_n").between(start + 1, start + block)).select(key, vector).collect()
+        keys = [r[key] for r in part]
+        matrix = _unit(np.array([r[vector] for r in part], dtype="float64"))
+
+        def scan(batches, keys=keys, matrix=matrix):
+            near = np.zeros(len(keys), dtype=bool)
+            for batch in batches:
+                stored = [v for v in batch[vector] if v is not None and len(v) == matrix.shape[1]]
+                if stored:
+                    near |= (matrix @ _unit(np.stack(stored).astype("float64")).T).max(axis=1) > 1 - distance
+            yield pd.DataFrame({key: pd.Series([k for k, hit in zip(keys, near) if hit], dtype="object")})
+
+        hits = rows.select(vector).mapInPandas(scan, f"`{key}` {kind}").distinct()
+        found = hits if found is None else found.unionByName(hits)
+    return queries.select(key).limit(0) if found is None else found
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.text import substring_count, word_count
+from recollect.functions.text import computed_once, substring_count, word_count
 from recollect.operators.skew import join_lookup
+from recollect.session import cut_lineage
 from recollect.settings import BM25_B, BM25_K1
 
 
@@ -15,12 +16,12 @@ def _tf_columns(terms: list[str]) -> list[str]:
 
 
 def term_frequencies(rows: DataFrame, terms: list[str], text: str = "document") -> DataFrame:
-    """One pass over the texts: a column per query term and the length in words. The terms are
-    constants, so this needs no join."""
-    low = F.lower(F.col(text))
-    return rows.select(
-        *rows.columns,
-        word_count(low).cast("double").alias("_len"),
+    """One pass over the texts: a column per query term and the length in words, in place of the
+    text. The terms are constants, so this needs no join."""
+    keep = [c for c in rows.columns if c != text]
+    low = F.col("_low")
+    return rows.select(*keep, computed_once(_low=F.lower(text))).select(
+        *keep, word_count(low).cast("double").alias("_len"),
         *[substring_count(low, t).alias(name) for t, name in zip(terms, _tf_columns(terms))])
 
 
@@ -45,18 +46,25 @@ def _score(terms: list[str], stat) -> Column:
 
 def bm25(rows: DataFrame, terms: list[str], keys: list[str] | None = None,
          text: str = "document") -> DataFrame:
-    """Rows with a score above zero. The corpus is `rows`, or with `keys` the rows of each key.
+    """Rows with a score above zero, without their text. The corpus is `rows`, or with `keys`
+    the rows of each key.
 
-    Without keys the corpus numbers are one scalar subquery; with keys they are a lookup of one
-    row per key. Either way the texts are scanned, never shuffled.
+    The texts are read once and never shuffled: counts are written as a narrow table, from which
+    come both the corpus numbers and the scores. The numbers are one scalar subquery, or with
+    keys a lookup of one row per key.
     """
-    tf = term_frequencies(rows, terms, text)
+    tf = cut_lineage(term_frequencies(rows, terms, text))
+    matching = tf.where(_any_term(terms))
     stats = corpus_stats(tf, terms, keys)
     names = [c for c in stats.columns if c not in (keys or [])]
     if keys:
-        scored = join_lookup(tf, stats, keys, "inner").withColumn("bm25", _score(terms, F.col))
+        scored = join_lookup(matching, stats, keys, "inner").withColumn("bm25", _score(terms, F.col))
     else:
-        one = stats.select(F.struct(*names).alias("s")).scalar()
-        held = tf.withColumn("_stats", one)
+        held = matching.withColumn("_stats", stats.select(F.struct(*names)).scalar())
         scored = held.withColumn("bm25", _score(terms, lambda n: F.col("_stats")[n])).drop("_stats")
-    return scored.drop("_len", *_tf_columns(terms), *names).where(F.col("bm25") > 0)
+    return scored.drop("_len", *_tf_columns(terms), *names)
+
+
+def _any_term(terms: list[str]) -> Column:
+    """A score is above zero exactly where a term occurs, for every idf is positive."""
+    return F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(n) for n in _tf_columns(terms)]) > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.session import cut_and_count, cut_lineage
+from recollect.session import cut_and_count, cut_lineage, hold
 
 BROADCAST_ROWS = 50_000
 SALTS = 32
@@ -69,10 +69,10 @@ def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int,
 
 
 def top_rows(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """The first `k` rows, written once. The cut keeps the sort right under its limit: Spark
-    then lets every task hold `k` rows only, where a projection pushed in between would make it
-    sort the whole table."""
-    return cut_lineage(rows.orderBy(*order).limit(k))
+    """The first `k` rows, computed once. That keeps the sort right under its limit: Spark then
+    lets every task keep `k` rows only, where a projection pushed in between would make it sort
+    the whole table."""
+    return hold(rows.orderBy(*order).limit(k), k)
 
 
 def rank_bounded(rows: DataFrame, order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.session import spread
+
 CLOCK = "2026-03-01 00:00:00"
 QUERY_TEXT = "the ertion src1_en Doc3"
 
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of long texts, whose cost is in the work on each row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _workspace(n: Column) -> Column:
     group = F.pmod(n, F.lit(6))
     return (F.when(group == 0, "_global").when(group == 1, "finance")
@@ -54,7 +61,7 @@ msg AS (
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks with their metadata, without vectors."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     n = F.col("doc_id")
     clock = F.unix_micros(now())
     return d.select(
@@ -202,7 +209,7 @@ edge AS (
 
 def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown files: a title, a body, a code fence and sections with links."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     n = F.col("doc_id")
     folder = F.element_at(F.array(*[F.lit(x) for x in ("longterm", "howto", "topics", "misc")]),
                           (F.pmod(n, F.lit(4)) + 1).cast("int"))

@@ -36,7 +36,7 @@ def ttl_delete(spark, sf):
 
 def update_prune(spark, sf):
     """L4: documents rewritten to their first piece; the rest of their chunks goes."""
-    d = fx.table(spark, sf, "documents").select(
+    d = fx.texts(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("message_id"), "text")
     stored = d.select("message_id", F.posexplode(tx.chunk_plain(F.col("text"), 1000)).alias("chunk_index", "part"))
     short = d.select("message_id", F.lit(1).alias("total_chunks"))
@@ -71,7 +71,7 @@ def message_errors(spark, sf):
 
 
 def reassembled(spark, sf):
-    d = fx.table(spark, sf, "documents").select(
+    d = fx.texts(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("message_id"), "text")
     pieces = d.select("message_id", F.posexplode(F.split("text", "(?<=\n)")).alias("chunk_index", "document"))
     stored = pieces.withColumn("id", F.concat_ws("_", "message_id", "chunk_index"))

@@ -16,7 +16,7 @@ UPDATES = {" LINKS ": "gone", "New Part": "x\ny"}
 
 
 def _docs(spark, sf):
-    return fx.table(spark, sf, "documents")
+    return fx.texts(spark, sf)
 
 
 def _chunks(spark, sf):

@@ -18,8 +18,8 @@ from recollect.operators.knn import nearest, with_distance
 from recollect.operators.lexical import bm25
 from recollect.operators.predicates import (differs, equals, is_edge, not_excluded,
                                             role_or_unknown, visible, within)
-from recollect.operators.skew import first_seen, rank_bounded, top_per_key
-from recollect.session import cut_lineage
+from recollect.operators.skew import first_seen, join_lookup, rank_bounded, top_per_key
+from recollect.session import cut_lineage, hold
 from recollect.settings import SHARED_WORKSPACE
 
 METADATA = ["workspace_id", "session_id", "role", "created_at", "importance", "header_path",
@@ -96,18 +96,27 @@ def lexical(rows: DataFrame, query: Query, n: int, where: Column) -> DataFrame:
 
 
 def _fused(vec: DataFrame, lex: DataFrame, keys: list[str], n: int, now: Column) -> DataFrame:
-    """Fused hits with the rows behind them; all inputs are bounded hit lists."""
+    """Fused hits with their metadata; all inputs are bounded hit lists."""
     fused = rrf([vec, lex], keys)
     order = [F.col("fused").desc(), F.col("id")]
     group = [k for k in keys if k != "id"]
     top = (top_per_key(fused, group, order, n) if group else rank_bounded(fused, order, n)).drop("rank")
-    body = list(dict.fromkeys([*keys, *HIT]))
+    body = list(dict.fromkeys([*keys, "id", *METADATA]))
     details = first_seen(vec.select(*body).unionByName(lex.select(*body)), keys, [F.lit(0)])
     hits = top.join(details, keys).withColumn("distance", 1 - F.col("fused")).drop("fused")
     return decay(hits, now).withColumn("score", score(F.col("distance"))).withColumn(
         "source", F.lit("hybrid"))
 
 
+def with_documents(hits: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The texts of a final, bounded hit list, looked up by id: the ids become a filter that
+    reaches the scan."""
+    hits = hold(hits, n)
+    ids = [row["id"] for row in hits.select("id").collect()]
+    texts = rows.where(F.col("id").isin(ids)).select("id", "document")
+    return hits.join(F.broadcast(texts), "id", "left")
+
+
 def hybrid(rows: DataFrame, query: Query, n: int, scope: Scope, now: Column) -> DataFrame:
     """M2: both legs fused. Without lexical hits the vector hits are returned as they are,
     labelled `semantic-fallback`. An unscoped search takes its texts from the workspace of the
@@ -119,13 +128,14 @@ def hybrid(rows: DataFrame, query: Query, n: int, scope: Scope, now: Column) ->
              & role_or_unknown(scope.role))
     lex = lexical(rows, query, n, where)
     none = lex.select((F.count(F.lit(1)) == 0).alias("none")).scalar()
-    columns = [*HIT, "distance", "score", "source"]
+    columns = ["id", *METADATA, "distance", "score", "source"]
     fallback = (vec.where(none).where(F.col("rank") < n)
                 .withColumn("source", F.lit("semantic-fallback")))
     fused = _fused(vec, lex, ["id"], n, now).where(~none)
     order = Window.partitionBy(F.lit(0)).orderBy("distance", "id")
     fused = fused.withColumn("rank", F.row_number().over(order) - 1)
-    return fused.select(*columns, "rank").unionByName(fallback.select(*columns, "rank"))
+    hits = fused.select(*columns, "rank").unionByName(fallback.select(*columns, "rank"))
+    return with_documents(hits, rows, n)
 
 
 def floor(hits: DataFrame, minimum: float) -> DataFrame:
@@ -150,9 +160,11 @@ def search_all(rows: DataFrame, query: Query, n: int, now: Column, min_score: fl
     deep = 2 * m if use_hybrid else m
     open_rows = content_rows(rows).where(not_excluded(F.col("workspace_id"), excluded))
     order = [F.col("distance"), F.col("id")]
-    own = cut_lineage(top_per_key(
-        with_distance(open_rows.select(*HIT, *_vector(rows)), query.vector),
+    near = cut_lineage(top_per_key(
+        with_distance(open_rows.select("id", *METADATA, *_vector(rows)), query.vector),
         ["workspace_id"], order, deep).drop("rank"))
+    # texts join last: the candidates are few, the texts stay where they are
+    own = cut_lineage(join_lookup(open_rows.select("id", "document"), near, ["id"], "inner"))
     body = [c for c in own.columns if c != "workspace_id"]
     # at most `deep` rows: the shared workspace's own best
     shared = own.where(F.col("workspace_id") == SHARED_WORKSPACE).agg(
@@ -163,7 +175,7 @@ def search_all(rows: DataFrame, query: Query, n: int, now: Column, min_score: fl
     vec = top_per_key(own.unionByName(lists), ["workspace_id"], order, deep).drop("rank")
     vec = decay(vec, now).withColumn("score", score(F.col("distance")))
     vec = rerank(vec, query.tokens, ["workspace_id"])
-    columns = ["workspace_id", "id", "document", "score", "source"]
+    columns = ["workspace_id", "id", "score", "source"]
     if use_hybrid:
         vec = cut_lineage(vec)
         scored = bm25(open_rows.select(*HIT), query.terms, ["workspace_id"])
@@ -177,7 +189,7 @@ def search_all(rows: DataFrame, query: Query, n: int, now: Column, min_score: fl
     else:
         hits = vec.withColumn("source", F.lit("semantic")).select(*columns)
     best = first_seen(floor(hits, min_score), ["id"], [-F.col("score"), F.col("workspace_id")])
-    return rank_bounded(best, [F.col("score").desc(), F.col("id")], n)
+    return with_documents(rank_bounded(best, [F.col("score").desc(), F.col("id")], n), open_rows, n)
 
 
 def temporal(rows: DataFrame, query: Query, n: int, offset: int, scope: Scope, now: Column,

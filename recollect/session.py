@@ -43,6 +43,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer partitions than there are cores, dealt out to all of them. The
+    number is known from the file list. Large tables have more partitions than cores and are
+    left as they are, unshuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+# Above this many rows a result is written to the checkpoint folder rather than held.
+HELD_ROWS = 1_000
+
+
+def hold(df: DataFrame, at_most: int) -> DataFrame:
+    """A result of at most `at_most` rows, computed once. Small ones, like the hits of a search,
+    are kept in the plan as literal rows; the bound is the caller's limit, not a hope."""
+    if at_most > HELD_ROWS:
+        return cut_lineage(df)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
     """`cut_lineage` and the number of rows, counted while they are written."""
     rows = Observation()

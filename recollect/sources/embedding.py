@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,26 +41,19 @@ class HashingEmbedder(Embedder):
         self.dimensions = dimensions
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        slot = _word_slot(self.dimensions)
+        seen: dict[str, tuple[int, int]] = {}
         out = np.zeros((len(texts), self.dimensions))
         for row, text in zip(out, texts):
             for word in text.lower().split():
-                at, sign = slot(word.strip(".,;:!?()[]\"'"))
+                if word not in seen:
+                    h = zlib.crc32(word.strip(".,;:!?()[]\"'").encode())
+                    seen[word] = (h >> 1) % self.dimensions, 1 if h & 1 else -1
+                at, sign = seen[word]
                 row[at] += sign
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=out, where=length > 0).astype("float32").tolist()
 
 
-@lru_cache(maxsize=None)
-def _word_slot(dimensions: int):
-    @lru_cache(maxsize=100_000)
-    def slot(word: str) -> tuple[int, int]:
-        h = zlib.crc32(word.encode())
-        return (h >> 1) % dimensions, 1 if h & 1 else -1
-
-    return slot
-
-
 class OpenAICompatibleEmbedder(Embedder):
     """A14."""
 
