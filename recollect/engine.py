@@ -595,7 +595,7 @@ class Memory:
         files. Returns the report."""
         workspace = self._own(workspace)
         seen = dml.cut(files.scan_code(self.spark, path, roots))
-        parsed = codegraph.parse(files.code_sources(seen))
+        parsed = codegraph.parse(files.code_sources(seen, path))
         mine = self._rows("chunks").where(F.col("workspace_id") == workspace)
         todo = dml.cut(codegraph.changed_files(parsed, mine.where("source_path IS NOT NULL").select("source_path", "file_hash")))
         rows = codegraph.file_messages(todo).select(
@@ -616,7 +616,7 @@ class Memory:
         self.tables.merge("code_edges", edges.withColumns({
             "workspace_id": F.lit(workspace),
             "id": tx.edge_id("codeedge_", *[F.col(c) for c in ("src", "rel", "dst")])}).dropDuplicates(["id"]))
-        return codegraph.index_report(seen.select("path", "language", "length"), parsed, todo, edges, MAX_CODE_FILE_BYTES)
+        return codegraph.index_report(seen, parsed, todo, edges, MAX_CODE_FILE_BYTES)
 
     def symbols(self, workspace: str, file: str = "", limit: int = 200, offset: int = 0) -> DataFrame:
         """F10."""

@@ -103,12 +103,14 @@ def file_symbols(chunks: DataFrame, file: str = "") -> DataFrame:
 
 def index_report(seen: DataFrame, parsed: DataFrame, todo: DataFrame, edges: DataFrame,
                  max_bytes: int) -> DataFrame:
-    """One row of counters. `seen` are all files met, with path, language and length."""
+    """One row of counters. `seen` are all files met, with path, language, length and
+    whether they are ignored."""
     supported: Column = F.col("language") != ""
+    large = supported & ~F.col("ignored") & (F.col("length") > max_bytes)
     files = seen.agg(
         F.count(F.lit(1)).alias("files_seen"),
         F.count_if(~supported).alias("files_skipped_unsupported_ext"),
-        F.count_if(supported & (F.col("length") > max_bytes)).alias("files_skipped_too_large"))
+        F.count_if(large).alias("files_skipped_too_large"))
     stored = todo.where(F.size("chunks") > 0).agg(
         F.count(F.lit(1)).alias("files_indexed"),
         F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("symbols"))

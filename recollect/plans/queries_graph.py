@@ -145,7 +145,7 @@ def index_report(spark, sf):
         F.col("path").alias("source_path"), "file_hash")
     seen = parsed.select("path", "language", F.col("bytes").alias("length")).unionByName(
         fx.vault(spark, sf).select(F.concat("path", F.lit(".txt")).alias("path"), F.lit("").alias("language"),
-                                   F.lit(1).alias("length")))
+                                   F.lit(1).alias("length"))).withColumn("ignored", F.lit(False))
     todo = codegraph.changed_files(parsed, stored)
     return codegraph.index_report(seen, parsed, todo, codegraph.edge_rows(parsed), 500 * 1024)
 

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect import schema
-from recollect.functions.text import language_for, to_number
+from recollect.functions.text import language_for
 from recollect.operators.dml import reconcile
 from recollect.settings import MAX_CODE_FILE_BYTES, METADATA_KEYS
+from recollect.sources.tree import list_tree, read_files
 
 # Folders a code scan never enters.
 SKIPPED_FOLDERS = (
@@ -73,28 +74,22 @@ def ignored_names(gitignore: str) -> set[str]:
 
 
 def scan_code(spark: SparkSession, root: str, roots: list[str] | None = None) -> DataFrame:
-    """Every file below `root` with (path, language, length), paths relative to it."""
+    """Every file below `root` with (path, length, language, ignored), paths relative to
+    it; folders that are never indexed or that .gitignore names are not entered."""
     root = jailed(root, roots) if roots else os.path.realpath(root)
     ignore = Path(root, ".gitignore")
-    names = ignored_names(ignore.read_text()) if ignore.is_file() else set()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    relative = F.substr(plain, F.locate(base, plain) + F.lit(len(base)))
-    folders = F.slice(F.split(relative, "/"), 1, F.size(F.split(relative, "/")) - 1)
-    skipped = F.array(*[F.lit(n) for n in sorted({*SKIPPED_FOLDERS, *names})])
-    listed = files.select(relative.alias("path"), "length", "content",
-                          language_for(relative).alias("language"), folders.alias("_folders"))
-    listed = listed.where(~F.arrays_overlap("_folders", skipped))
-    if names:
-        listed = listed.where(~F.element_at(F.split("path", "/"), -1).isin(*sorted(names)))
-    return listed.drop("_folders")
-
-
-def code_sources(files: DataFrame) -> DataFrame:
-    """The scanned files that are indexed, as (path, source)."""
-    fit = (F.col("language") != "") & (F.col("length") <= MAX_CODE_FILE_BYTES)
-    return files.where(fit).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("source"))
+    names = sorted(ignored_names(ignore.read_text())) if ignore.is_file() else []
+    listed = list_tree(spark, root, (*SKIPPED_FOLDERS, *names))
+    name = F.element_at(F.split("path", "/"), -1)
+    return listed.withColumns({"language": language_for(F.col("path")),
+                               "ignored": name.isin(*names) if names else F.lit(False)})
+
+
+def code_sources(listed: DataFrame, root: str) -> DataFrame:
+    """The listed files that are indexed, as (path, source)."""
+    fit = (F.col("language") != "") & ~F.col("ignored") & (F.col("length") <= MAX_CODE_FILE_BYTES)
+    return read_files(listed.where(fit), root).select(
+        "path", F.make_valid_utf8(F.col("content").cast("string")).alias("source"))
 
 
 def eval_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -127,11 +122,6 @@ def import_workspace(spark: SparkSession, path: str, workspace: str) -> DataFram
         "scope", "peer_id", metadata.alias("metadata"), "created_at")
 
 
-def number(column: str):
-    """H33."""
-    return to_number(F.col(column))
-
-
 def backup(tables, path: str) -> None:
     """A copy of every table."""
     for name in schema.TABLES:

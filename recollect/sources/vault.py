@@ -8,20 +8,16 @@ from pyspark.sql import functions as F
 from recollect.functions.markdown import markdown_chunks
 from recollect.functions.text import (clean_space, extract_entities, importance_for, keyword_tags,
                                       parent_doc_id)
+from recollect.sources.tree import list_tree, read_files
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Every `*.md` under `root` but the index folder, as (path, text), paths relative to
-    `root`. Files are listed and read by Spark; texts are read whole."""
-    base = root.rstrip("/") + "/"
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.md")
-             .option("recursiveFileLookup", "true").load(base))
-    prefix = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    start = F.locate(base, prefix)
-    relative = F.substr(prefix, start + F.lit(len(base)))
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.select(relative.alias("path"), text.alias("text"),
-                        F.sha2("content", 256).alias("digest")).where(~F.col("path").rlike("(^|/)00-index/"))
+    """Every `*.md` under `root` but the index folder, as (path, text, digest), paths
+    relative to `root`."""
+    listed = list_tree(spark, root, ("00-index",)).where(F.col("path").endswith(".md"))
+    return read_files(listed, root).select(
+        "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
+        F.sha2("content", 256).alias("digest"))
 
 
 def changed(files: DataFrame, registry: DataFrame | None, reindex: bool = False) -> DataFrame:
