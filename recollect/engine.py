@@ -117,7 +117,10 @@ class Memory:
         if self.only:
             other = F.col("error").isNull() & (F.col("workspace_id") != self.only)
             checked = checked.withColumn("error", F.when(other, "workspace mismatch").otherwise(F.col("error")))
-        chunks = dml.to_chunks(checked.where("error IS NULL").drop("error"))
+        # a message sent twice in one batch is one message, the later one if they differ
+        sent = first_seen(checked.where("error IS NULL").drop("error"), ["message_id"],
+                          [-F.unix_micros("created_at"), F.col("content")])
+        chunks = dml.to_chunks(sent.select(*wanted))
         # one message per content: repeats inside the batch, then ones stored before
         keepers = dml.unique_content(
             chunks.where("chunk_index = 0").select("workspace_id", "content_hash", "message_id"),
@@ -577,7 +580,8 @@ class Memory:
         """Replays what is queued. Messages that are not stored anywhere fail."""
         inbox = dml.cut(pending.prune(self.tables.read("pending"), self.now()))
         waiting = inbox.where("status = 'pending'")
-        known = self.tables.read("chunks").select("message_id").distinct()
+        known = dml.cut(self.tables.read("chunks").join(waiting, "message_id", "left_semi")
+                        .select("message_id").distinct())
         found = waiting.join(known, "message_id", "left_semi")
         if found.take(1):
             self.update_messages(found.select("message_id", F.nullif("content", F.lit("")).alias("content"), "sections"))
