@@ -180,23 +180,19 @@ class Memory:
         stored = dml.cut(self._rows("chunks").drop("embedding").join(
             edits.select("message_id"), "message_id", "left_semi"))
         old = dml.reassemble(stored)
-        new = dml.cut(old.join(edits, "message_id").select("message_id", F.when(
+        new = dml.cut(old.join(edits, "message_id").select("message_id", "parts", F.when(
             F.col("content").isNotNull(), tx.strip_nul(F.col("content"))).otherwise(
-                spliced(F.col("text"), F.col("sections"))["document"]).alias("text")))
+                spliced(F.col("text"), F.col("sections"))["document"]).alias("text"))
+            .withColumn("pieces", tx.chunk_plain(F.col("text"))))
         base = first_seen(stored.drop("id", "document", "total_chunks", "content_hash"), ["message_id"],
                           [F.col("chunk_index")]).drop("chunk_index")
-        # stored chunks are compared as they are: joining them again loses blanks at their ends
-        before = stored.select("message_id", "chunk_index", F.col("document").alias("old"))
-        after = new.select("message_id", F.col("text"), F.posexplode(tx.chunk_plain(F.col("text")))
-                           .alias("chunk_index", "document"))
-        changed = after.join(before, ["message_id", "chunk_index"], "left").where(
-            ~F.col("old").eqNullSafe(F.col("document"))).drop("old")
-        sizes = new.select("message_id", F.size(tx.chunk_plain(F.col("text"))).alias("total_chunks"))
-        rows = changed.join(base, "message_id").join(sizes, "message_id").withColumns({
-            "id": F.concat("message_id", F.lit("_chunk_"), F.col("chunk_index").cast("string")),
-            "content_hash": tx.content_hash(F.col("workspace_id"), F.col("session_id"), F.col("text"))}).drop("text")
+        plan = dml.chunk_diff(new, F.col("parts"), F.col("pieces")).withColumn(
+            "id", F.concat("message_id", F.lit("_chunk_"), F.col("chunk_index").cast("string")))
+        rows = plan.where("action = 'write'").withColumn("total_chunks", F.size("pieces")).drop(
+            "parts", "pieces", "action").join(base, "message_id").withColumn(
+                "content_hash", tx.content_hash(F.col("workspace_id"), F.col("session_id"), F.col("text"))).drop("text")
         written = dml.cut(embed_rows(rows, self.embedder, inflight=self.settings.embed_inflight))
-        tail = dml.cut(dml.stale_tail(stored, sizes).select("id"))
+        tail = dml.cut(plan.where("action = 'delete'").select("id"))
         self.tables.merge("chunks", written)
         self.tables.delete("chunks", tail)
 
@@ -316,16 +312,20 @@ class Memory:
         if left < 0:
             return {"representation": told.encode()[: budget * 4].decode(errors="ignore"), "messages": None,
                     "total_tokens": budget}
-        kept = context.within_budget(rows.select("session_id", "message_id", "role", "document", "created_at"), left)
+        rows = rows.withColumn("message_id", F.col("id"))
+        kept = context.within_budget(rows, left)
         used = kept.agg(F.coalesce(F.max("used"), F.lit(0)).alias("n")).first()["n"]
-        return {"representation": told, "messages": kept.orderBy("created_at", "message_id"),
+        kept = kept.join(rows.select("message_id", "chunk_index", "role", "document"), "message_id")
+        return {"representation": told, "messages": kept.orderBy("created_at", "message_id", "chunk_index"),
                 "total_tokens": used + budget - left}
 
     def observation_context(self, workspace: str, session: str, message_id: str, window: int = 2) -> DataFrame:
         """E2."""
         rows = self._rows("chunks").drop("embedding").where(
             predicates.equals(workspace_id=self._own(workspace), session_id=session))
-        return context.around(rows, rows.where(F.col("message_id") == message_id), window)
+        first = rows.where("chunk_index = 0")
+        near = context.around(first, first.where(F.col("message_id") == message_id), window)
+        return near.select("message_id", "offset").join(rows, "message_id").orderBy("offset", "chunk_index")
 
     def create_scope(self, workspace: str, name: str, sessions: list[str] | None = None) -> None:
         """L13."""
@@ -544,8 +544,10 @@ class Memory:
         workspace = self._own(workspace)
         rows = self._rows("chunks").where(F.col("workspace_id") == workspace)
         busy = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DREAM_MIN_MESSAGES)
-        kept = context.within_budget(rows.join(busy, "session_id", "left_semi").select(
-            "session_id", "message_id", "document", "created_at"), DREAM_TOKENS)
+        # rows are told apart by chunk id, and each chunk counts with its own tokens
+        mine = rows.join(busy, "session_id", "left_semi").select(
+            "session_id", F.col("id").alias("message_id"), "document", "created_at")
+        kept = context.within_budget(mine, DREAM_TOKENS).select("message_id").join(mine, "message_id")
         # bounded by the token budget
         texts = kept.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(
             F.collect_list(F.struct("created_at", "message_id", "document"))), lambda m: m["document"]), "\n").alias("text"))

@@ -12,10 +12,11 @@ from recollect.settings import CONTEXT_TOKENS
 
 def within_budget(messages: DataFrame, budget: int = CONTEXT_TOKENS,
                   keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
-    """Per session the newest messages whose tokens fit the budget; `used` is the running
-    sum. Weights are never negative, so this stops where the first overflow does."""
+    """Per session the newest messages whose tokens fit the budget, without their texts;
+    `used` is the running sum. Weights are never negative, so this stops where the first
+    overflow does. Only keys, times and token numbers are shuffled."""
     newest = [F.col("created_at").desc(), F.col("message_id").desc()]
-    rows = messages.withColumn("tokens", token_estimate(F.col("document")))
+    rows = messages.select(*keys, "message_id", "created_at", token_estimate(F.col("document")).alias("tokens"))
     return running(rows, list(keys), newest, F.col("tokens"), rank="newest", total="used").where(
         F.col("used") <= budget)
 
@@ -28,12 +29,13 @@ def fit_representation(text: Column, budget: int = CONTEXT_TOKENS) -> tuple[Colu
 
 def around(messages: DataFrame, targets: DataFrame, window: int = 2,
            keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
-    """For each target message the rows up to `window` places before and after it in its
-    session. Rows are numbered without gathering a session, then looked up by number."""
+    """For each target message the ids up to `window` places before and after it in its
+    session, with their `offset`. Messages are numbered by key and time alone, without gathering
+    a session, then looked up by number."""
     window = window if window > 0 else 2
     keys = list(keys)
-    numbered = running(messages, keys, [F.col("created_at"), F.col("message_id")], rank="place")
-    numbered = numbered.drop("running")
+    numbered = running(messages.select(*keys, "message_id", "created_at"), keys,
+                       [F.col("created_at"), F.col("message_id")], rank="place").drop("running")
     wanted = numbered.join(targets.select("message_id"), "message_id", "left_semi").select(
         *keys, F.col("message_id").alias("target_id"), F.col("place").alias("target_place"),
         F.explode(F.sequence(F.col("place") - window, F.col("place") + window)).alias("place"))

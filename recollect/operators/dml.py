@@ -63,17 +63,15 @@ def to_chunks(messages: DataFrame) -> DataFrame:
         F.lit(None).cast("map<string,string>").alias("extra"))
 
 
-def _pieces(texts: DataFrame, name: str) -> DataFrame:
-    return texts.select("message_id", F.posexplode(chunk_plain(F.col("text"))).alias("chunk_index", name))
-
-
-def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Chunks of (message_id, text) before and after an edit with the action for
-    each: `keep` equal ones, `write` changed or added ones, `delete` the tail that is gone."""
-    both = _pieces(old, "old").join(_pieces(new, "new"), ["message_id", "chunk_index"], "full_outer")
-    action = (F.when(F.col("new").isNull(), "delete")
-              .when(F.col("old").eqNullSafe(F.col("new")), "keep").otherwise("write"))
-    return both.select("message_id", "chunk_index", F.col("new").alias("document"), action.alias("action"))
+def chunk_diff(edits: DataFrame, old: Column, new: Column) -> DataFrame:
+    """The chunks of each edited message with the action for each: `keep` equal
+    ones, `write` changed or added ones, `delete` the tail that is gone. `old` and `new` are the
+    chunk lists of a row, so they are compared inside it and nothing is shuffled."""
+    pairs = edits.select("*", F.posexplode(F.arrays_zip(old.alias("old"), new.alias("new")))
+                         .alias("chunk_index", "_pair"))
+    before, after = F.col("_pair")["old"], F.col("_pair")["new"]
+    action = F.when(after.isNull(), "delete").when(before.eqNullSafe(after), "keep").otherwise("write")
+    return pairs.withColumns({"document": after, "action": action}).drop("_pair")
 
 
 def stale_tail(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -83,13 +81,13 @@ def stale_tail(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def reassemble(chunks: DataFrame) -> DataFrame:
-    """the text of each message. Messages are bounded in size on entry, and equal chunk
-    ids are taken once, so a message's list is short."""
+    """the chunks of each message in order, and its text. Messages are bounded in size on
+    entry, and equal chunk ids are taken once, so a message's list is short."""
     once = first_seen(chunks.select("id", "message_id", "chunk_index", "document"), ["id"],
                       [F.col("chunk_index")])
     parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "document"))),
                         lambda c: c["document"])
-    return once.groupBy("message_id").agg(F.array_join(parts, "").alias("text"))
+    return once.groupBy("message_id").agg(parts.alias("parts")).withColumn("text", F.array_join("parts", ""))
 
 
 def latest(updates: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recollect.functions.text import computed_once, substring_count, word_count
@@ -27,10 +27,13 @@ def term_frequencies(rows: DataFrame, terms: list[str], text: str = "document")
 
 def corpus_stats(tf: DataFrame, terms: list[str], keys: list[str] | None = None) -> DataFrame:
     """Number of texts, mean length (empty texts count) and document frequencies."""
-    return tf.groupBy(*(keys or [])).agg(
-        F.count(F.lit(1)).cast("double").alias("_docs"), F.avg("_len").alias("_avg"),
-        *[F.count_if(F.col(name) > 0).cast("double").alias(f"_df{i}")
-          for i, name in enumerate(_tf_columns(terms))])
+    return tf.groupBy(*(keys or [])).agg(*_stats(terms))
+
+
+def _stats(terms: list[str]) -> list[Column]:
+    return [F.count(F.lit(1)).cast("double").alias("_docs"), F.avg("_len").alias("_avg"),
+            *[F.count_if(F.col(name) > 0).cast("double").alias(f"_df{i}")
+              for i, name in enumerate(_tf_columns(terms))]]
 
 
 def _score(terms: list[str], stat) -> Column:
@@ -49,20 +52,23 @@ def bm25(rows: DataFrame, terms: list[str], keys: list[str] | None = None,
     """Rows with a score above zero, without their text. The corpus is `rows`, or with `keys`
     the rows of each key.
 
-    The texts are read once and never shuffled: counts are written as a narrow table, from which
-    come both the corpus numbers and the scores. The numbers are one scalar subquery, or with
-    keys a lookup of one row per key.
+    The texts are read once and never shuffled: the counts are written as a narrow table. For a
+    single corpus its numbers are taken while the matching rows are written; with keys they are
+    a lookup of one row per key, made from the narrow table.
     """
-    tf = cut_lineage(term_frequencies(rows, terms, text))
-    matching = tf.where(_any_term(terms))
-    stats = corpus_stats(tf, terms, keys)
-    names = [c for c in stats.columns if c not in (keys or [])]
+    tf = term_frequencies(rows, terms, text)
     if keys:
-        scored = join_lookup(matching, stats, keys, "inner").withColumn("bm25", _score(terms, F.col))
+        tf = cut_lineage(tf)
+        stats = corpus_stats(tf, terms, keys)
+        names = [c for c in stats.columns if c not in keys]
+        scored = join_lookup(tf.where(_any_term(terms)), stats, keys, "inner").withColumn(
+            "bm25", _score(terms, F.col)).drop(*names)
     else:
-        held = matching.withColumn("_stats", stats.select(F.struct(*names)).scalar())
-        scored = held.withColumn("bm25", _score(terms, lambda n: F.col("_stats")[n])).drop("_stats")
-    return scored.drop("_len", *_tf_columns(terms), *names)
+        numbers = Observation()
+        matching = cut_lineage(tf.observe(numbers, *_stats(terms)).where(_any_term(terms)))
+        found = {name: F.lit(float(n or 0.0)) for name, n in numbers.get.items()}
+        scored = matching.withColumn("bm25", _score(terms, found.__getitem__))
+    return scored.drop("_len", *_tf_columns(terms))
 
 
 def _any_term(terms: list[str]) -> Column:

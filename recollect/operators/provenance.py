@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import preview
-from recollect.operators.skew import first_seen
 from recollect.session import cut_and_count
 from recollect.settings import TRACE_DEPTH, TRACE_DEPTH_CAP
 
@@ -101,7 +100,6 @@ def reasoning_chain(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def with_previews(trace: DataFrame, chunks: DataFrame) -> DataFrame:
     """The first 300 bytes of each message in a trace."""
-    first = first_seen(chunks.select("message_id", "chunk_index", "document"), ["message_id"],
-                       [F.col("chunk_index")])
-    texts = first.select(F.col("message_id").alias("id"), preview(F.col("document"), 300).alias("document"))
+    texts = chunks.where("chunk_index = 0").select(
+        F.col("message_id").alias("id"), preview(F.col("document"), 300).alias("document"))
     return trace.join(texts, "id", "left")

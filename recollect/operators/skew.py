@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from recollect.session import cut_and_count, cut_lineage, hold
 
 BROADCAST_ROWS = 50_000
-SALTS = 32
+SALTS = 16
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "left",
@@ -23,7 +24,9 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "l
     if count <= max_rows:
         return rows.join(F.broadcast(lookup), on, how)
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    # the salt follows from the row, so that a task run again deals its rows out the same way
+    told = [f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType)]
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*told), F.lit(SALTS)).cast("int"))
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")
 
 

@@ -79,10 +79,10 @@ def splice_sections(spark, sf):
 
 def splice_plan(spark, sf):
     """C17: which chunks of each edited document are written, kept or dropped."""
-    v = fx.vault(spark, sf).select(F.col("path").alias("message_id"), "text")
     updates = F.create_map(F.lit("State"), F.lit("brief"))
-    edited = v.select("message_id", spliced(F.col("text"), updates)["document"].alias("text"))
-    plan = dml.chunk_diff(dml.cut(v), dml.cut(edited))
+    edits = fx.vault(spark, sf).select(F.col("path").alias("message_id"), "text",
+                                       spliced(F.col("text"), updates)["document"].alias("edited"))
+    plan = dml.chunk_diff(edits, tx.chunk_plain(F.col("text")), tx.chunk_plain(F.col("edited")))
     return plan.groupBy("action").agg(F.count(F.lit(1)).alias("chunks"),
                                       F.countDistinct("message_id").alias("messages"))
 

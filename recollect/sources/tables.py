@@ -9,6 +9,7 @@ large share of all rows.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ class Tables:
         """Rows in the table's columns with their bucket; without a key any bucket will do."""
         keys = schema.KEYS.get(name)
         own = "message_id" if name == "chunks" else keys[-1] if keys else None
-        at = F.xxhash64(own) if own else F.monotonically_increasing_id()
+        at = F.xxhash64(own) if own else F.xxhash64(*rows.columns)
         wanted = self.schema(name)
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns
                    else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.fields]
@@ -118,9 +119,21 @@ class Tables:
         (placed.repartition(*PARTITIONS).write.partitionBy(*PARTITIONS)
          .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.path(name)))
 
+    def _within(self, stored: DataFrame, touched: DataFrame, most: int = 2_000) -> DataFrame:
+        """The rows of the touched partitions. A short list becomes a filter that prunes
+        folders; a long one, which is most of the table, is joined."""
+        listed = touched.limit(most + 1).collect()
+        if len(listed) > most:
+            return stored.join(touched, PARTITIONS, "left_semi")
+        folders: dict[str, list[int]] = {}
+        for row in listed:
+            folders.setdefault(row["workspace_id"], []).append(row["bucket"])
+        chosen = [(F.col("workspace_id") == w) & F.col("bucket").isin(b) for w, b in folders.items()]
+        return stored.where(reduce(lambda a, b: a | b, chosen, F.lit(False)))
+
     def _replace(self, name: str, touched: DataFrame, change) -> None:
         touched = dml.cut(touched)
-        before = self._stored(name).join(F.broadcast(touched), PARTITIONS, "left_semi")
+        before = self._within(self._stored(name), touched)
         staging = f"{self.root}/_staging/{name}-{uuid.uuid4().hex}"
         change(before).write.parquet(staging)
         after = self.spark.read.parquet(staging)

@@ -10,6 +10,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from recollect.functions.text import chunk_plain
 from recollect.functions.vectors import cosine_distance, norm
 from recollect.operators import codegraph, dml, fusion, graph, knn, lexical, limiter, pending, predicates, provenance, skew
 
@@ -249,8 +250,8 @@ def test_inbox(spark):
 
 
 def test_chunk_diff(spark):
-    old = spark.createDataFrame([("m", "a " * 5000)], "message_id STRING, text STRING")
-    new = spark.createDataFrame([("m", "a " * 100)], "message_id STRING, text STRING")
-    got = sorted((r["chunk_index"], r["action"]) for r in dml.chunk_diff(old, new).collect())
+    edits = spark.createDataFrame([("m", "a " * 5000, "a " * 100)], "message_id STRING, old STRING, new STRING")
+    old, new = chunk_plain(F.col("old")), chunk_plain(F.col("new"))
+    got = sorted((r["chunk_index"], r["action"]) for r in dml.chunk_diff(edits, old, new).collect())
     assert got == [(0, "write"), (1, "delete")]
-    assert {r["action"] for r in dml.chunk_diff(old, old).collect()} == {"keep"}
+    assert {r["action"] for r in dml.chunk_diff(edits, old, old).collect()} == {"keep"}
