@@ -125,11 +125,17 @@ class Memory:
         keepers = dml.unique_content(
             chunks.where("chunk_index = 0").select("workspace_id", "content_hash", "message_id"),
             ["workspace_id", "content_hash"], [F.col("message_id")],
-            self.tables.read("chunks").select("workspace_id", "content_hash"))
+            self._stored_for(sent).select("workspace_id", "content_hash"))
         fresh = chunks.join(keepers.select("message_id"), "message_id", "left_semi")
         self.tables.merge("chunks", embed_rows(fresh, self.embedder, inflight=self.settings.embed_inflight))
         return checked.select("message_id", "session_id", "role", F.col("error").isNull().alias("stored"), "error")
 
+    def _stored_for(self, batch: DataFrame, most: int = 200) -> DataFrame:
+        """The chunk rows of a batch's workspaces; a short list of them prunes the scan."""
+        named = [r["workspace_id"] for r in batch.select("workspace_id").distinct().limit(most + 1).collect()]
+        stored = self.tables.read("chunks")
+        return stored if len(named) > most else stored.where(F.col("workspace_id").isin(named))
+
     def add_message(self, workspace: str, session: str, role: str, content: str, scope: str = "",
                     peer: str = "", metadata: dict | None = None, message_id: str | None = None) -> str:
         """L1."""
@@ -192,7 +198,8 @@ class Memory:
             "parts", "pieces", "action").join(base, "message_id").withColumn(
                 "content_hash", tx.content_hash(F.col("workspace_id"), F.col("session_id"), F.col("text"))).drop("text")
         written = dml.cut(embed_rows(rows, self.embedder, inflight=self.settings.embed_inflight))
-        tail = dml.cut(plan.where("action = 'delete'").select("id"))
+        tail = dml.cut(plan.where("action = 'delete'").select("id", "message_id").join(
+            base.select("message_id", "workspace_id"), "message_id"))
         self.tables.merge("chunks", written)
         self.tables.delete("chunks", tail)
 
@@ -615,7 +622,7 @@ class Memory:
                 F.lit("importance"), F.lit("3"), F.lit("agent"), F.lit("codeindex"),
                 F.lit("entities"), F.array_join("entities", ",")).alias("metadata"))
         chunks = dml.cut(embed_rows(dml.to_chunks(rows), self.embedder, inflight=self.settings.embed_inflight))
-        tail = dml.cut(dml.stale_tail(mine, chunks).select("id"))
+        tail = dml.cut(dml.stale_tail(mine, chunks).select("id", "message_id", "workspace_id"))
         self.tables.merge("chunks", chunks)
         self.tables.delete("chunks", tail)
         edges = dml.cut(codegraph.edge_rows(parsed))

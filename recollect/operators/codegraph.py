@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions.code import parsed_code
 from recollect.functions.text import chunk_title, code_message_id, code_tokens, file_hash
 from recollect.operators.predicates import contains_text
-from recollect.operators.skew import first_seen, join_lookup
+from recollect.operators.skew import absent, first_seen, join_lookup
 from recollect.session import cut_lineage
 
 
@@ -77,8 +77,8 @@ def callers_of_citations(edges: DataFrame) -> DataFrame:
 
 def changed_files(parsed: DataFrame, stored: DataFrame) -> DataFrame:
     """The files that are not stored with their present hash."""
-    known = stored.select(F.col("source_path").alias("path"), "file_hash").distinct()
-    return parsed.join(known, ["path", "file_hash"], "left_anti")
+    known = stored.select(F.col("source_path").alias("path"), "file_hash")
+    return absent(parsed, known, ["path", "file_hash"])
 
 
 def file_messages(parsed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import first_bytes, token_estimate
-from recollect.operators.skew import running, top_per_key
+from recollect.operators.skew import join_lookup, running, top_per_key
 from recollect.settings import CONTEXT_TOKENS
 
 
@@ -47,7 +47,10 @@ def representation(conclusions: DataFrame, max_conclusions: int = 25,
                    keys: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
     """The newest conclusions of each key as one bulleted text (a bounded list)."""
     k = max_conclusions if max_conclusions > 0 else 25
-    top = top_per_key(conclusions, list(keys), [F.col("created_at").desc(), F.col("id")], k)
+    # ids are ranked, then the texts of the few that are kept are looked up
+    top = top_per_key(conclusions.select(*keys, "id", "created_at"), list(keys),
+                      [F.col("created_at").desc(), F.col("id")], k)
+    top = join_lookup(conclusions.select("id", "document"), top, ["id"], "inner")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "document"))),
                         lambda c: F.concat(F.lit("- "), c["document"]))
     return top.groupBy(*keys).agg(F.concat_ws("\n", lines).alias("representation"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import chunk_plain, content_hash, keep_metadata, strip_nul, csv_list
-from recollect.operators.skew import first_seen
+from recollect.operators.skew import absent, first_seen
 from recollect.session import cut_lineage as cut  # noqa: F401  (part of this module's surface)
 from recollect.settings import CHUNK_SIZE
 
@@ -36,7 +36,7 @@ def unique_content(incoming: DataFrame, keys: list[str], order: list[Column],
                    stored: DataFrame | None = None) -> DataFrame:
     """The first row of each content hash that is not stored yet."""
     fresh = first_seen(incoming, keys, order)
-    return fresh if stored is None else fresh.join(stored.select(*keys), keys, "left_anti")
+    return fresh if stored is None else absent(fresh, stored, keys)
 
 
 def to_chunks(messages: DataFrame) -> DataFrame:

@@ -57,6 +57,8 @@ def bm25(rows: DataFrame, terms: list[str], keys: list[str] | None = None,
     a lookup of one row per key, made from the narrow table.
     """
     tf = term_frequencies(rows, terms, text)
+    if not terms:
+        return tf.drop("_len").withColumn("bm25", F.lit(0.0)).limit(0)
     if keys:
         tf = cut_lineage(tf)
         stats = corpus_stats(tf, terms, keys)

@@ -30,6 +30,14 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "l
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")
 
 
+def absent(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key is not stored. The stored keys are reduced to the ones in question
+    first, so that a small batch is broadcast to a large table instead of the table being
+    shuffled."""
+    known = stored.select(*keys).join(rows.select(*keys), keys, "left_semi")
+    return rows.join(known, keys, "left_anti")
+
+
 def running(rows: DataFrame, keys: list[str], order: list[Column], value: Column | None = None,
             rank: str = "rn", total: str = "running") -> DataFrame:
     """Row numbers (and running sums of `value`) per key, in `order`, without ever bringing a

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from recollect import schema
 from recollect.operators import dml
+from recollect.session import cut_and_count
 
 PARTITIONS = ["workspace_id", "bucket"]
 
@@ -76,18 +77,19 @@ class Tables:
 
     def merge(self, name: str, rows: DataFrame) -> None:
         """Insert or replace by key."""
-        placed = dml.cut(self._placed(name, rows))
-        self._replace(name, placed.select(*PARTITIONS).distinct(),
-                      lambda stored: dml.upsert(stored, placed, schema.KEYS[name]))
-
-    def delete(self, name: str, keys: DataFrame, on: list[str] | None = None) -> None:
-        """A10: delete by key rows; `on` names their columns. Given the bucket key or the
-        workspace, only those partitions are touched."""
-        on = on or schema.KEYS[name]
-        keys = dml.cut(keys.select(*on).distinct())
-        stored = self._stored(name)
-        self._replace(name, stored.join(keys, on, "left_semi").select(*PARTITIONS).distinct(),
-                      lambda rows: dml.delete(rows, keys, on))
+        placed, count = cut_and_count(self._placed(name, rows))
+        if count:
+            self._replace(name, placed.select(*PARTITIONS).distinct(),
+                          lambda stored: dml.upsert(stored, placed, schema.KEYS[name]))
+
+    def delete(self, name: str, gone: DataFrame) -> None:
+        """A10: delete the given rows (their keys, workspace and what the bucket is made of).
+        Their partitions follow from them, so no others are read."""
+        on = schema.KEYS[name]
+        placed, count = cut_and_count(self._placed(name, gone).select(*dict.fromkeys([*on, *PARTITIONS])))
+        if count:
+            self._replace(name, placed.select(*PARTITIONS).distinct(),
+                          lambda rows: dml.delete(rows, placed, on))
 
     def delete_where(self, name: str, condition) -> None:
         """A11."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions.markdown import markdown_chunks
 from recollect.functions.text import (clean_space, extract_entities, importance_for, keyword_tags,
                                       parent_doc_id)
+from recollect.operators.skew import absent
 from recollect.sources.tree import list_tree, read_files
 
 
@@ -24,7 +25,7 @@ def changed(files: DataFrame, registry: DataFrame | None, reindex: bool = False)
     """Files whose digest is not the registered one."""
     if registry is None or reindex:
         return files
-    return files.join(registry.select("path", "digest"), ["path", "digest"], "left_anti")
+    return absent(files, registry, ["path", "digest"])
 
 
 def messages(files: DataFrame, workspace: str, known_entities: list[str],

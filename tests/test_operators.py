@@ -55,7 +55,7 @@ def test_decay(spark):
 def test_rerank(spark):
     rows = spark.createDataFrame([
         ("1", 0.30, "notes about cats", None, None, None, None),
-        ("2", 0.40, "docker backup guide", "Docker", ["docker", "ops"], 5.0, ["Docker", "Chroma"]),
+        ("2", 0.40, "docker backup guide", "Docker", ["docker", "ops"], 5.0, ["Docker", "Nginx"]),
         ("3", 0.70, "backup backup", None, None, None, None)],
         "id STRING, distance DOUBLE, document STRING, header_path STRING, tags ARRAY<STRING>, importance DOUBLE, "
         "entities ARRAY<STRING>")
