@@ -130,6 +130,13 @@ class Memory:
         self.tables.merge("chunks", embed_rows(fresh, self.embedder, inflight=self.settings.embed_inflight))
         return checked.select("message_id", "session_id", "role", F.col("error").isNull().alias("stored"), "error")
 
+    def start_ingest(self, messages: DataFrame, checkpoint: str, **trigger):
+        """L2 as a stream. Ids follow from the messages, so a batch that runs again changes
+        nothing."""
+        return (messages.writeStream.option("checkpointLocation", checkpoint)
+                .foreachBatch(lambda batch, _: self.add_batch(batch) and None)
+                .trigger(**(trigger or {"processingTime": "2 seconds"})).start())
+
     def _stored_for(self, batch: DataFrame, most: int = 200) -> DataFrame:
         """The chunk rows of a batch's workspaces; a short list of them prunes the scan."""
         named = [r["workspace_id"] for r in batch.select("workspace_id").distinct().limit(most + 1).collect()]
@@ -545,6 +552,10 @@ class Memory:
     def start_deriver(self, messages: DataFrame, checkpoint: str, **trigger):
         return feeds.start_deriver(messages, self.brain, self._store_derived, checkpoint, **trigger)
 
+    def dream_all(self) -> int:
+        """J4 over every workspace, one after the other."""
+        return sum(self.dream(row["workspace_id"]) for row in self.workspaces().toLocalIterator())
+
     def dream(self, workspace: str) -> int:
         """A summary of every session of three messages or more, unless a conclusion near
         to it is known. Returns how many were made."""
@@ -660,6 +671,10 @@ class Memory:
         """Lines without an action are telemetry and are not kept."""
         self.tables.append("usage", lines.where(F.coalesce("action", F.lit("")) != ""))
 
+    def record_requests(self, requests: DataFrame) -> None:
+        """Requests (ts, method, path, source, agent, workspace) as usage lines."""
+        self.record_usage(requests.withColumn("action", tx.classify_request(F.col("method"), F.col("path"))))
+
     def usage_daily(self, days: int = 30) -> DataFrame:
         """M14."""
         lines = usage.normalise(self.tables.read("usage"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollect.functions import text as tx
-from recollect.operators import dml, limiter, pending, predicates
+from recollect.operators import dml, knn, limiter, pending, predicates
 from recollect.plans import fixtures as fx
 from recollect.sources import sinks
+from recollect.sources.brain import ExtractiveBrain
+from recollect.sources.embedding import HashingEmbedder, embed_rows
 from recollect.streaming import feeds
 
 
@@ -154,6 +156,33 @@ def webhook_deliveries(spark, sf):
     return sinks.deliveries(endpoints, events)
 
 
+def provider_recoveries(spark, sf):
+    """Users as providers that are down at each error event."""
+    e = fx.table(spark, sf, "events")
+    probes = e.groupBy("user_id", "ts").agg(F.max(F.col("event_type") == "error").alias("down")).select(
+        F.col("user_id").alias("provider"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        F.when(F.col("down"), "degraded").otherwise("ok").alias("status"))
+    return feeds.recoveries(probes)
+
+
+def derived_conclusions(spark, sf):
+    """J1 over all conversations with the offline model: conclusions and messages behind them."""
+    m = fx.messages(spark, sf).select("message_id", "workspace_id", F.col("role").alias("peer_id"),
+                                      F.col("document").alias("content"), "created_at")
+    made, edges = feeds.derive(m, ExtractiveBrain(), fx.now())
+    cited = edges.select(F.col("conclusion_id").alias("id"), F.size("supporting_message_ids").alias("messages"))
+    return made.join(cited, "id").groupBy("workspace_id").agg(
+        F.count(F.lit(1)).alias("conclusions"), F.sum("messages").alias("citations"))
+
+
+def embedded_documents(spark, sf):
+    """K1 over all documents: how far each lies from the first words of the query."""
+    model = HashingEmbedder(64)
+    rows = embed_rows(fx.notes(spark, sf).select("id", "document"), model)
+    near = knn.with_distance(rows, model.embed_one("the nation and the thing"))
+    return near.select("id", F.round("distance", 4).alias("distance"))
+
+
 def stream_usage_daily(spark, sf):
     """Usage counted as a stream, read back when the stream has ended."""
     source = fx.table(spark, sf, "events").schema
@@ -259,8 +288,13 @@ SELECT CASE WHEN workspace_id = 'agent2' THEN 'agent2' ELSE '_shared/knowledge/'
 SELECT unnest(['http://all', 'http://new']) AS url,
        '{{"event":"message.created","workspace_id":"' || workspace_id || '","data":{{"id":"' || message_id || '"}}}}'
          AS payload FROM msg WHERE role = 'user'""",
+    "provider_recoveries": """WITH p AS (
+  SELECT user_id AS provider, epoch_us(ts) AS "at", CASE WHEN max(event_type = 'error') THEN 'degraded'
+         ELSE 'ok' END AS status FROM events GROUP BY 1, 2),
+l AS (SELECT *, lag(status) OVER (PARTITION BY provider ORDER BY "at") AS before FROM p)
+SELECT provider, "at", status FROM l WHERE status = 'ok' AND before IS DISTINCT FROM 'ok'""",
     "stream_usage_daily": f"WITH {fx.USAGE_SQL} SELECT day, agent, action, count(*) AS n FROM usage GROUP BY ALL",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
 }
 
-QUERIES = {name: globals()[name] for name in ORACLE}
+QUERIES = {name: globals()[name] for name in [*ORACLE, "derived_conclusions", "embedded_documents"]}

@@ -1,9 +1,10 @@
 """The engine's tables as Parquet folders.
 
-Rows lie under workspace and key bucket. A change rewrites only the partitions it touches: their
-new content is written to a staging folder first and then replaces them, so that no plan reads
-what it overwrites and a broken run can be repeated. Buckets split a workspace that holds a
-large share of all rows.
+Rows lie under workspace and key bucket. New keys are appended. A change to stored keys rewrites
+only the partitions these are in: their new content is written to a staging folder first and then
+replaces them, so that no plan reads what it overwrites and a broken run can be repeated. Files
+are balanced by size as they are written, so a workspace that holds a large share of all rows
+is spread over many tasks and files.
 """
 
 from __future__ import annotations
@@ -61,8 +62,8 @@ class Tables:
         """Rows in the table's columns with their bucket; without a key any bucket will do."""
         keys = schema.KEYS.get(name)
         own = "message_id" if name == "chunks" else keys[-1] if keys else None
-        at = F.xxhash64(own) if own else F.xxhash64(*rows.columns)
         wanted = self.schema(name)
+        at = F.xxhash64(own) if own else F.xxhash64(*wanted.names)
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns
                    else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.fields]
         if "workspace_id" not in wanted.names:
@@ -72,15 +73,33 @@ class Tables:
     # -- writing -----------------------------------------------------------------------------
     def append(self, name: str, rows: DataFrame) -> None:
         """A5."""
-        (self._placed(name, rows).repartition(*PARTITIONS).write.partitionBy(*PARTITIONS)
-         .mode("append").parquet(self.path(name)))
+        self._append(name, self._placed(name, rows))
+
+    def _append(self, name: str, placed: DataFrame) -> None:
+        placed.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS).mode("append").parquet(self.path(name))
 
     def merge(self, name: str, rows: DataFrame) -> None:
-        """Insert or replace by key."""
+        """Insert or replace by key. Which keys are stored is read from the key columns of
+        the partitions in question; a batch of new keys, the usual case, is appended and rewrites
+        nothing."""
+        keys = schema.KEYS[name]
         placed, count = cut_and_count(self._placed(name, rows))
-        if count:
-            self._replace(name, placed.select(*PARTITIONS).distinct(),
-                          lambda stored: dml.upsert(stored, placed, schema.KEYS[name]))
+        if not count:
+            return
+        touched = placed.select(*PARTITIONS).distinct()
+        held = self._within(self._stored(name), touched).select(*dict.fromkeys([*keys, *PARTITIONS]))
+        hit, hits = cut_and_count(held.join(placed.select(*dict.fromkeys([*keys, *PARTITIONS])),
+                                            list(dict.fromkeys([*keys, *PARTITIONS])), "left_semi")
+                                  .select(*PARTITIONS).distinct())
+        if not hits:
+            return self._append(name, placed)
+        self._append(name, placed.join(hit, PARTITIONS, "left_anti"))
+        again = placed.join(hit, PARTITIONS, "left_semi")
+        self._replace(name, hit, lambda stored: dml.upsert(stored, again, keys))
+
+    def compact(self, name: str) -> None:
+        """Rewrites the partitions so that many small files become few."""
+        self._replace(name, self._stored(name).select(*PARTITIONS).distinct(), lambda stored: stored)
 
     def delete(self, name: str, gone: DataFrame) -> None:
         """A10: delete the given rows (their keys, workspace and what the bucket is made of).
@@ -118,7 +137,7 @@ class Tables:
         return self.spark.read.schema(T.StructType(fields)).parquet(self.path(name))
 
     def _write(self, name: str, placed: DataFrame) -> None:
-        (placed.repartition(*PARTITIONS).write.partitionBy(*PARTITIONS)
+        (placed.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS)
          .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.path(name)))
 
     def _within(self, stored: DataFrame, touched: DataFrame, most: int = 2_000) -> DataFrame:

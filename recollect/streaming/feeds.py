@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from recollect.functions.text import chunk_plain
-from recollect.operators import dml, usage
+from recollect.operators import dml, pending, usage
 from recollect.operators.skew import running
 from recollect.session import checkpoint_dir
 from recollect.sources import sinks
@@ -64,7 +65,6 @@ def start_append(rows: DataFrame, out: str, checkpoint: str, **trigger) -> Strea
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint location."""
-    import uuid
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -135,19 +135,17 @@ def start_writeback(messages: DataFrame, root: str, checkpoint: str, workspaces:
 
 def start_inbox(updates: DataFrame, tables, checkpoint: str, **trigger) -> StreamingQuery:
     """Queued updates kept in the pending table, the last one of a message winning."""
-    from recollect.operators.pending import enqueue
-
     def run(batch: DataFrame, _: int) -> None:
-        empty = tables.read("pending").limit(0)
-        tables.merge("pending", enqueue(empty, batch))
+        tables.merge("pending", pending.enqueue(tables.read("pending").limit(0), batch))
 
     return (updates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
             .trigger(**(trigger or {"processingTime": "2 seconds"})).start())
 
 
 def recoveries(probes: DataFrame) -> DataFrame:
-    """The probes (at, status) at which the provider came back. One row per probe tick of
-    one provider, so a single ordered pass is small."""
-    from pyspark.sql import Window
-    before = F.lag("status", 1, "unknown").over(Window.partitionBy("provider").orderBy("at"))
-    return probes.withColumn("before", before).where((F.col("status") == "ok") & (F.col("before") != "ok")).drop("before")
+    """The probes (provider, at, status) at which a provider came back, or was first seen
+    well. A probe is compared with the one numbered before it."""
+    placed = running(probes.select("provider", "at", "status"), ["provider"], [F.col("at")], rank="place").drop("running")
+    before = placed.select("provider", (F.col("place") + 1).alias("place"), F.col("status").alias("before"))
+    known = placed.join(before, ["provider", "place"], "left")
+    return known.where((F.col("status") == "ok") & ~F.col("before").eqNullSafe(F.lit("ok"))).drop("place", "before")

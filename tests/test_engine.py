@@ -181,6 +181,27 @@ def test_derive_stream_and_session_files(memory, spark, tmp_path):
     assert written.count("Bob likes tea.") == 1 and written.count("# Session s1") == 1
 
 
+def test_ingest_stream_and_compaction(memory, spark, tmp_path):
+    rows = spark.createDataFrame([("in", "s", "user", f"streamed fact {i % 5}") for i in range(10)],
+                                 "workspace_id STRING, session_id STRING, role STRING, content STRING")
+    rows.write.parquet(str(tmp_path / "feed"))
+    for run in ("a", "b"):
+        memory.start_ingest(feeds.parquet_stream(spark, str(tmp_path / "feed"), rows.schema), str(tmp_path / run),
+                            availableNow=True).awaitTermination()
+    assert memory.messages("in").count() == 5
+    memory.add_message("in", "s", "user", "one more")
+    memory.tables.compact("chunks")
+    assert memory.messages("in").count() == 6 and memory.messages("team_a").count() == 3
+
+
+def test_requests_become_usage(memory, spark):
+    before = memory.tables.read("usage").count()
+    memory.record_requests(spark.createDataFrame(
+        [("POST", "/api/v1/messages"), ("GET", "/health"), ("GET", "/api/v1/keys")], "method STRING, path STRING").withColumns({
+            "ts": F.lit("2020-01-01 00:00:00").cast("timestamp"), "source": F.lit("mcp"), "agent": F.lit("a"), "workspace": F.lit("w")}))
+    assert memory.tables.read("usage").count() == before + 1
+
+
 def test_usage(memory, spark):
     memory.record_usage(spark.createDataFrame([("search", "mcp", "Bot 1", "w"), ("", "mcp", "x", "w"), ("odd", "", "", "")],
                                               "action STRING, source STRING, agent STRING, workspace STRING"
