@@ -22,7 +22,7 @@ from recollect.operators import (codegraph, context, dml, knn, pending, predicat
 from recollect.operators.skew import first_seen, page
 from recollect.plans import brief as overview
 from recollect.plans import search
-from recollect.session import cut_and_count
+from recollect.session import cut_and_count, cut_lineage
 from recollect.settings import (CONTEXT_TOKENS, MAX_CODE_FILE_BYTES, MAX_QUERY_BYTES, SHARED_WORKSPACE,
                                 TRACE_DEPTH, Settings)
 from recollect.sources import files, sinks, vault
@@ -113,7 +113,7 @@ class Memory:
             "workspace_id": F.when(F.col("workspace_id") == SHARED_WORKSPACE, F.col("workspace_id"))
             .when(F.coalesce("workspace_id", F.lit("")) != "", tx.resolve_workspace(F.col("workspace_id")))
             .otherwise(F.col("workspace_id"))})
-        checked = dml.cut(predicates.validate_messages(rows))
+        checked = cut_lineage(predicates.validate_messages(rows))
         if self.only:
             other = F.col("error").isNull() & (F.col("workspace_id") != self.only)
             checked = checked.withColumn("error", F.when(other, "workspace mismatch").otherwise(F.col("error")))
@@ -190,10 +190,10 @@ class Memory:
         chunks past the new end go. Nothing is written before the vectors exist."""
         for c, t in (("content", "string"), ("sections", "map<string,string>")):
             edits = edits if c in edits.columns else edits.withColumn(c, F.lit(None).cast(t))
-        stored = dml.cut(self._rows("chunks").drop("embedding").join(
+        stored = cut_lineage(self._rows("chunks").drop("embedding").join(
             edits.select("message_id"), "message_id", "left_semi"))
         old = dml.reassemble(stored)
-        new = dml.cut(old.join(edits, "message_id").select("message_id", "parts", F.when(
+        new = cut_lineage(old.join(edits, "message_id").select("message_id", "parts", F.when(
             F.col("content").isNotNull(), tx.strip_nul(F.col("content"))).otherwise(
                 spliced(F.col("text"), F.col("sections"))["document"]).alias("text"))
             .withColumn("pieces", tx.chunk_plain(F.col("text"))))
@@ -204,8 +204,8 @@ class Memory:
         rows = plan.where("action = 'write'").withColumn("total_chunks", F.size("pieces")).drop(
             "parts", "pieces", "action").join(base, "message_id").withColumn(
                 "content_hash", tx.content_hash(F.col("workspace_id"), F.col("session_id"), F.col("text"))).drop("text")
-        written = dml.cut(embed_rows(rows, self.embedder, inflight=self.settings.embed_inflight))
-        tail = dml.cut(plan.where("action = 'delete'").select("id", "message_id").join(
+        written = cut_lineage(embed_rows(rows, self.embedder, inflight=self.settings.embed_inflight))
+        tail = cut_lineage(plan.where("action = 'delete'").select("id", "message_id").join(
             base.select("message_id", "workspace_id"), "message_id"))
         self.tables.merge("chunks", written)
         self.tables.delete("chunks", tail)
@@ -354,10 +354,10 @@ class Memory:
         """An unknown scope is created."""
         if not self.scopes(workspace, name).take(1):
             return self.create_scope(workspace, name, sessions)
-        self.tables.merge("scopes", dml.cut(dml.add_sessions(self.scopes(workspace, name), name, sessions)))
+        self.tables.merge("scopes", cut_lineage(dml.add_sessions(self.scopes(workspace, name), name, sessions)))
 
     def remove_from_scope(self, workspace: str, name: str, session: str) -> None:
-        self.tables.merge("scopes", dml.cut(dml.remove_session(self.scopes(workspace, name), name, session)))
+        self.tables.merge("scopes", cut_lineage(dml.remove_session(self.scopes(workspace, name), name, session)))
 
     def scope_messages(self, workspace: str, name: str) -> DataFrame:
         """C15."""
@@ -598,16 +598,16 @@ class Memory:
 
     def drain(self) -> dict:
         """Replays what is queued. Messages that are not stored anywhere fail."""
-        inbox = dml.cut(pending.prune(self.tables.read("pending"), self.now()))
+        inbox = cut_lineage(pending.prune(self.tables.read("pending"), self.now()))
         waiting = inbox.where("status = 'pending'")
-        known = dml.cut(self.tables.read("chunks").join(waiting, "message_id", "left_semi")
+        known = cut_lineage(self.tables.read("chunks").join(waiting, "message_id", "left_semi")
                         .select("message_id").distinct())
         found = waiting.join(known, "message_id", "left_semi")
         if found.take(1):
             self.update_messages(found.select("message_id", F.nullif("content", F.lit("")).alias("content"), "sections"))
         outcomes = waiting.select("message_id").join(known.withColumn("ok", F.lit(True)), "message_id", "left").select(
             "message_id", F.when(F.col("ok").isNull(), "message not found in any workspace").alias("error"))
-        after = dml.cut(pending.settle(inbox, outcomes, self.now()))
+        after = cut_lineage(pending.settle(inbox, outcomes, self.now()))
         self.tables.merge("pending", after)
         done = after.join(waiting.select("message_id"), "message_id", "left_semi").groupBy("status").count().collect()
         counts = {r["status"]: r["count"] for r in done}
@@ -618,10 +618,10 @@ class Memory:
         """Indexes a source tree; unchanged files are skipped, edges are made anew from all
         files. Returns the report."""
         workspace = self._own(workspace)
-        seen = dml.cut(files.scan_code(self.spark, path, roots))
+        seen = cut_lineage(files.scan_code(self.spark, path, roots))
         parsed = codegraph.parse(files.code_sources(seen, path))
         mine = self._rows("chunks").where(F.col("workspace_id") == workspace)
-        todo = dml.cut(codegraph.changed_files(parsed, mine.where("source_path IS NOT NULL").select("source_path", "file_hash")))
+        todo = cut_lineage(codegraph.changed_files(parsed, mine.where("source_path IS NOT NULL").select("source_path", "file_hash")))
         rows = codegraph.file_messages(todo).select(
             "message_id", F.lit(workspace).alias("workspace_id"), F.lit("code-index").alias("session_id"),
             F.lit("system").alias("role"), "content", F.lit(None).cast("string").alias("scope"),
@@ -632,11 +632,11 @@ class Memory:
                 F.lit("parent_doc_id"), F.col("source_path"), F.lit("file_hash"), F.col("file_hash"),
                 F.lit("importance"), F.lit("3"), F.lit("agent"), F.lit("codeindex"),
                 F.lit("entities"), F.array_join("entities", ",")).alias("metadata"))
-        chunks = dml.cut(embed_rows(dml.to_chunks(rows), self.embedder, inflight=self.settings.embed_inflight))
-        tail = dml.cut(dml.stale_tail(mine, chunks).select("id", "message_id", "workspace_id"))
+        chunks = cut_lineage(embed_rows(dml.to_chunks(rows), self.embedder, inflight=self.settings.embed_inflight))
+        tail = cut_lineage(dml.stale_tail(mine, chunks).select("id", "message_id", "workspace_id"))
         self.tables.merge("chunks", chunks)
         self.tables.delete("chunks", tail)
-        edges = dml.cut(codegraph.edge_rows(parsed))
+        edges = cut_lineage(codegraph.edge_rows(parsed))
         self.tables.merge("code_edges", edges.withColumns({
             "workspace_id": F.lit(workspace),
             "id": tx.edge_id("codeedge_", *[F.col(c) for c in ("src", "rel", "dst")])}).dropDuplicates(["id"]))
@@ -656,7 +656,7 @@ class Memory:
                     registry: DataFrame | None = None, reindex: bool = False) -> DataFrame:
         """Indexes changed Markdown files; returns the registry to keep."""
         workspace = self._own(workspace)
-        found = dml.cut(vault.scan(self.spark, root))
+        found = cut_lineage(vault.scan(self.spark, root))
         todo = vault.changed(found, registry, reindex)
         rows = vault.messages(todo, workspace, known_entities or [])
         chunks = rows.withColumns({

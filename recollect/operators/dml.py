@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import chunk_plain, content_hash, keep_metadata, strip_nul, csv_list
 from recollect.operators.skew import absent, first_seen
-from recollect.session import cut_lineage as cut  # noqa: F401  (part of this module's surface)
 from recollect.settings import CHUNK_SIZE
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from recollect import schema
 from recollect.operators import dml
-from recollect.session import cut_and_count
+from recollect.session import cut_and_count, cut_lineage
 
 PARTITIONS = ["workspace_id", "bucket"]
 
@@ -117,7 +117,7 @@ class Tables:
 
     def overwrite(self, name: str, rows: DataFrame) -> None:
         """Replace the whole table."""
-        placed = dml.cut(self._placed(name, rows))
+        placed = cut_lineage(self._placed(name, rows))
         self._remove(self.path(name))
         self._write(name, placed)
 
@@ -153,7 +153,7 @@ class Tables:
         return stored.where(reduce(lambda a, b: a | b, chosen, F.lit(False)))
 
     def _replace(self, name: str, touched: DataFrame, change) -> None:
-        touched = dml.cut(touched)
+        touched = cut_lineage(touched)
         before = self._within(self._stored(name), touched)
         staging = f"{self.root}/_staging/{name}-{uuid.uuid4().hex}"
         change(before).write.parquet(staging)

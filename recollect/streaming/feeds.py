@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from recollect.functions.text import chunk_plain
-from recollect.operators import dml, pending, usage
+from recollect.operators import pending, usage
 from recollect.operators.skew import running
-from recollect.session import checkpoint_dir
+from recollect.session import checkpoint_dir, cut_lineage
 from recollect.sources import sinks
 from recollect.sources.brain import Brain
 
@@ -87,7 +87,7 @@ def derive(messages: DataFrame, brain: Brain, now: Column, per_group: int = 5) -
     said = prompts.withColumn("reply", summaries(F.concat(F.lit(FACT_PROMPT), "text"), brain, 400))
     lines = said.select("*", F.posexplode(F.split("reply", "\n")).alias("line", "fact")).withColumn(
         "fact", F.regexp_replace(F.trim("fact"), r"^[-*] ", "")).where("fact <> ''")
-    made = dml.cut(lines.select(
+    made = cut_lineage(lines.select(
         F.concat(F.lit("concl_"), F.left(F.sha2(F.concat_ws(
             "|", "workspace_id", F.array_join("message_ids", ","), "part", "line"), 256), F.lit(24))).alias("id"),
         "workspace_id", "peer_id", F.col("fact").alias("document"), "message_ids", now.alias("created_at")))
