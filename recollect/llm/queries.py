@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import quality
+from recollect.llm import decontaminate, ngram_join, pii, quality
 from recollect.llm.rows import documents
 
 
@@ -15,7 +15,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("distance2", 6).alias("distance2"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.found(documents(spark, sf_dir)))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op6_pii": op6_pii,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}

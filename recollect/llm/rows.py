@@ -28,11 +28,18 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(row_id().alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"), *extra)
 
 
-def keep_rows(docs: DataFrame, decided: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of `docs`, all columns as they are, whose key is among (left_semi) or not among
-    (left_anti) `decided` (id, tag)."""
-    whole = docs.select(F.struct("*").alias("_whole"), row_id().alias("_id"),
-                        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_tag"))
-    keys = decided.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"))
-    return whole.join(keys, ["_id", "_tag"], how).select("_whole.*")
+def _whole(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct("*").alias("_whole"), row_id().alias("_id"),
+                       F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_tag"))
 
+
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose key is among `keys` (id, tag)."""
+    hit = (F.col("_id") == F.col("id")) & (F.col("_tag") == F.col("tag"))
+    return _whole(docs).join(keys.select("id", "tag"), hit, "left_semi").select("_whole.*")
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose key is not among `keys` (id, tag)."""
+    hit = (F.col("_id") == F.col("id")) & (F.col("_tag") == F.col("tag"))
+    return _whole(docs).join(keys, hit, "left_anti").select("_whole.*")
