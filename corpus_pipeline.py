@@ -10,6 +10,10 @@ from recollect.session import cut_lineage
 
 STAGES = [
     ("quality rules", stages.quality_rules),
+    ("n-gram Jaccard join", stages.ngram_join_stage),
+    ("benchmark decontamination", stages.decontamination),
+    ("PII", stages.personal_data),
+    ("SentencePiece", stages.sentencepiece),
 ]
 
 # The stages are not expressible in SQL; tests hold each against a brute-force version.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, ngram_join, pii, quality
+from recollect.llm import decontaminate, ngram_join, pieces, pii, quality, token_file
 from recollect.llm.rows import documents
+from recollect.session import checkpoint_dir
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,10 +18,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("distance2", 6).alias("distance2"))
 
 
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/recollect-tokens-{uuid.uuid4().hex}"
+    return token_file.read(spark, token_file.write(documents(spark, sf_dir), path), with_ids=False)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.found(documents(spark, sf_dir)))
 
@@ -28,7 +40,9 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_file": op1_token_file,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_pii": op6_pii,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
