@@ -108,7 +108,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(base: int, n: int, seed: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... of 64 bits; kept by the worker as far as any text needed them."""
     def grow(have):
         out = np.empty(max(n, 1 << 16), np.uint64)
         out[0] = 1
@@ -132,8 +133,8 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     n = len(data)
     values = in_worker(f"bytes{seed}", lambda: mix(np.arange(1 + 256 * seed, 257 + 256 * seed).astype(np.uint64)))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values[data] * _powers(base, n, seed), out=sums[1:])
-    back = _powers(pow(base, -1, 1 << 64), n + 1, seed)
+    np.cumsum(values[data] * powers(base, n), out=sums[1:])
+    back = powers(pow(base, -1, 1 << 64), n + 1)
     size = (ends - starts).astype(np.uint64)
     return mix((sums[ends] - sums[starts]) * back[starts] + size * np.uint64(0x632BE59BD9B4E019))
 

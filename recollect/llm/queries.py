@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, ngram_join, pieces, pii, quality, token_file
+from recollect.llm import decontaminate, language, licenses, ngram_join, pieces, pii, quality, spans, token_file
 from recollect.llm.rows import documents
 from recollect.session import checkpoint_dir
 
@@ -27,14 +27,26 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.hits(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(documents(spark, sf_dir))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.evaluated(documents(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.found(documents(spark, sf_dir)))
 
 
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digests(documents(spark, sf_dir))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
@@ -42,8 +54,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_file": op1_token_file,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
+    "op7_sentence_spans": op7_sentence_spans,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
