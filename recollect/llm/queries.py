@@ -7,11 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, language, licenses, ngram_join, pieces, pii, quality, spans, token_file
+from recollect.llm import decontaminate, language, licenses, ngram_join, pieces, pii, quality, spans, substrings, token_file
 from recollect.llm.rows import documents
 from recollect.session import checkpoint_dir
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_sentence_spans": op7_sentence_spans,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_suffix_array": op9_suffix_array,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}
