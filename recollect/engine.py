@@ -23,7 +23,7 @@ from recollect.operators.skew import first_seen, page
 from recollect.plans import brief as overview
 from recollect.plans import search
 from recollect.session import cut_and_count, cut_lineage
-from recollect.settings import (CONTEXT_TOKENS, MAX_CODE_FILE_BYTES, MAX_QUERY_BYTES, SHARED_WORKSPACE,
+from recollect.settings import (CONTEXT_TOKENS, MAX_CODE_FILE_BYTES, MAX_CONTENT_BYTES, MAX_QUERY_BYTES, SHARED_WORKSPACE,
                                 TRACE_DEPTH, Settings)
 from recollect.sources import files, sinks, vault
 from recollect.sources.brain import Brain, ExtractiveBrain, reorder
@@ -97,9 +97,10 @@ class Memory:
         return search.Query(text, self.embedder.embed_one(text))
 
     # -- messages ----------------------------------------------------------------------------
-    def add_batch(self, messages: DataFrame) -> DataFrame:
+    def add_batch(self, messages: DataFrame, max_bytes: int | None = None) -> DataFrame:
         """L2: stores messages (columns of `schema.MESSAGES_IN`, `message_id` and `created_at`
-        optional); returns a receipt per message: its id, whether it was stored, the error."""
+        optional); returns a receipt for each message: its id, whether it was stored, the error. With
+        `max_bytes` larger messages are refused."""
         wanted = [c.split()[0] for c in schema.MESSAGES_IN.replace("\n", " ").split(", ") if c.strip()]
         none = {"metadata": "map<string,string>", "created_at": "timestamp"}
         rows = messages.select(*[
@@ -113,12 +114,12 @@ class Memory:
             "workspace_id": F.when(F.col("workspace_id") == SHARED_WORKSPACE, F.col("workspace_id"))
             .when(F.coalesce("workspace_id", F.lit("")) != "", tx.resolve_workspace(F.col("workspace_id")))
             .otherwise(F.col("workspace_id"))})
-        checked = cut_lineage(predicates.validate_messages(rows))
+        checked = cut_lineage(predicates.validate_messages(rows, max_bytes))
         if self.only:
             other = F.col("error").isNull() & (F.col("workspace_id") != self.only)
             checked = checked.withColumn("error", F.when(other, "workspace mismatch").otherwise(F.col("error")))
         # a message sent twice in one batch is one message, the later one if they differ
-        sent = first_seen(checked.where("error IS NULL").drop("error"), ["message_id"],
+        sent = first_seen(checked.where("error IS NULL").drop("error"), dml.MESSAGE,
                           [-F.unix_micros("created_at"), F.col("content")])
         chunks = dml.to_chunks(sent.select(*wanted))
         # one message per content: repeats inside the batch, then ones stored before
@@ -126,9 +127,9 @@ class Memory:
             chunks.where("chunk_index = 0").select("workspace_id", "content_hash", "message_id"),
             ["workspace_id", "content_hash"], [F.col("message_id")],
             self._stored_for(sent).select("workspace_id", "content_hash"))
-        fresh = chunks.join(keepers.select("message_id"), "message_id", "left_semi")
+        fresh = chunks.join(keepers.select(*dml.MESSAGE), dml.MESSAGE, "left_semi")
         self.tables.merge("chunks", embed_rows(fresh, self.embedder, inflight=self.settings.embed_inflight))
-        return checked.select("message_id", "session_id", "role", F.col("error").isNull().alias("stored"), "error")
+        return checked.select("workspace_id", "message_id", "session_id", "role", F.col("error").isNull().alias("stored"), "error")
 
     def start_ingest(self, messages: DataFrame, checkpoint: str, **trigger):
         """L2 as a stream. Ids follow from the messages, so a batch that runs again changes
@@ -149,9 +150,9 @@ class Memory:
         row = self.spark.createDataFrame(
             [(message_id, workspace, session, role, content, scope, peer,
               {k: str(v) for k, v in (metadata or {}).items()}, None)], schema.MESSAGES_IN)
-        receipt = self.add_batch(row).first()
-        if receipt is None or not receipt["stored"]:
-            raise ValueError(receipt["error"] if receipt else "session_id, role and content are required")
+        receipt = self.add_batch(row, MAX_CONTENT_BYTES).first()
+        if not receipt["stored"]:
+            raise ValueError(receipt["error"])
         return receipt["message_id"]
 
     def upload(self, workspace: str, session: str, content: str) -> str:
@@ -163,7 +164,7 @@ class Memory:
         rows = self._rows("chunks").drop("embedding").where(
             predicates.equals(workspace_id=self._own(workspace), session_id=session))
         return page(rows, [F.col("created_at"), F.col("message_id"), F.col("chunk_index")],
-                    search.clamp(limit, 20), max(offset, 0))
+                    search.wanted(limit, 20), max(offset, 0))
 
     def message(self, workspace: str, message_id: str) -> DataFrame:
         """A message's chunks in order."""
@@ -185,37 +186,48 @@ class Memory:
         return count
 
     def update_messages(self, edits: DataFrame) -> None:
-        """L4, L5, J12 for any number of messages: `edits` are (message_id, content) to replace a
-        text or (message_id, sections) to splice it. Only chunks that changed are embedded again;
+        """L4, L5, J12 for any number of messages: `edits` are (workspace_id, message_id, content) to
+        replace a text or (workspace_id, message_id, sections) to splice it. Only chunks that changed are embedded again;
         chunks past the new end go. Nothing is written before the vectors exist."""
+        self._apply(edits, tolerant=False)
+
+    def _apply(self, edits: DataFrame, tolerant: bool) -> DataFrame:
+        """The edits that were applied, by workspace and message. If `tolerant`, a message with a text that the provider
+        refuses stays as it is; otherwise the first refusal is raised."""
         for c, t in (("content", "string"), ("sections", "map<string,string>")):
             edits = edits if c in edits.columns else edits.withColumn(c, F.lit(None).cast(t))
-        stored = cut_lineage(self._rows("chunks").drop("embedding").join(
-            edits.select("message_id"), "message_id", "left_semi"))
+        own = self.tables.read("chunks").drop("embedding")
+        if self.only:  # the shared workspace is read, not written
+            own = own.where(F.col("workspace_id") == self.only)
+        stored = cut_lineage(own.join(edits.select(*dml.MESSAGE), dml.MESSAGE, "left_semi"))
         old = dml.reassemble(stored)
-        new = cut_lineage(old.join(edits, "message_id").select("message_id", "parts", F.when(
+        new = cut_lineage(old.join(edits, dml.MESSAGE).select(*dml.MESSAGE, "parts", F.when(
             F.col("content").isNotNull(), tx.strip_nul(F.col("content"))).otherwise(
                 spliced(F.col("text"), F.col("sections"))["document"]).alias("text"))
             .withColumn("pieces", tx.chunk_plain(F.col("text"))))
-        base = first_seen(stored.drop("id", "document", "total_chunks", "content_hash"), ["message_id"],
+        base = first_seen(stored.drop("id", "document", "total_chunks", "content_hash"), dml.MESSAGE,
                           [F.col("chunk_index")]).drop("chunk_index")
+        new = new.join(base.select(*dml.MESSAGE, "session_id"), dml.MESSAGE).withColumn(
+            "content_hash", tx.content_hash(F.col("workspace_id"), F.col("session_id"), F.col("text"))).drop("session_id", "text")
         plan = dml.chunk_diff(new, F.col("parts"), F.col("pieces")).withColumn(
             "id", F.concat("message_id", F.lit("_chunk_"), F.col("chunk_index").cast("string")))
         rows = plan.where("action = 'write'").withColumn("total_chunks", F.size("pieces")).drop(
-            "parts", "pieces", "action").join(base, "message_id").withColumn(
-                "content_hash", tx.content_hash(F.col("workspace_id"), F.col("session_id"), F.col("text"))).drop("text")
-        written = cut_lineage(embed_rows(rows, self.embedder, inflight=self.settings.embed_inflight))
-        tail = cut_lineage(plan.where("action = 'delete'").select("id", "message_id").join(
-            base.select("message_id", "workspace_id"), "message_id"))
+            "parts", "pieces", "action").join(base, dml.MESSAGE)
+        made = cut_lineage(embed_rows(rows, self.embedder, inflight=self.settings.embed_inflight, tolerant=tolerant))
+        refused = made.where("embedding IS NULL").select(*dml.MESSAGE).distinct()
+        written = made.join(refused, dml.MESSAGE, "left_anti")
+        tail = cut_lineage(plan.where("action = 'delete'").select("id", *dml.MESSAGE).join(refused, dml.MESSAGE, "left_anti"))
         self.tables.merge("chunks", written)
         self.tables.delete("chunks", tail)
+        return old.select(*dml.MESSAGE).join(refused, dml.MESSAGE, "left_anti")
 
     def update_message(self, workspace: str, message_id: str, content: str | None = None,
                        sections: dict[str, str] | None = None) -> None:
         if not self.message(workspace, message_id).take(1):
             raise NotFound("message not found")
         self.update_messages(self.spark.createDataFrame(
-            [(message_id, content, sections)], "message_id STRING, content STRING, sections MAP<STRING,STRING>"))
+            [(self._own(workspace), message_id, content, sections)],
+            "workspace_id STRING, message_id STRING, content STRING, sections MAP<STRING,STRING>"))
 
     def expire(self, workspace: str, older_than: str) -> int:
         """L6, J11."""
@@ -237,7 +249,7 @@ class Memory:
         """M1, M2 with the relevance floor; `rank` gives the order."""
         ask, seen = self._query(text), self._scope(workspace, session, role, scope, peer)
         plan = search.hybrid if hybrid else search.semantic
-        hits = plan(self._chunks(), ask, search.clamp(n), seen, self.now())
+        hits = plan(self._chunks(), ask, search.wanted(n), seen, self.now())
         if self.settings.librarian_mode in ("hybrid", "ai") and not hybrid:
             hits = self._ai_reordered(text, hits)
         return search.floor(hits, self.settings.min_score)
@@ -255,17 +267,17 @@ class Memory:
 
     def search_workspace(self, workspace: str, text: str, n: int = 5) -> DataFrame:
         """M4: without the floor."""
-        return search.semantic(self._chunks(), self._query(text), search.clamp(n, 5), self._scope(workspace), self.now())
+        return search.semantic(self._chunks(), self._query(text), search.wanted(n, 5), self._scope(workspace), self.now())
 
     def search_all(self, text: str, n: int = 10, hybrid: bool = True) -> DataFrame:
         """M3."""
-        return search.search_all(self._chunks(), self._query(text), search.clamp(n), self.now(),
+        return search.search_all(self._chunks(), self._query(text), search.wanted(n), self.now(),
                                  self.settings.min_score, self.settings.excluded_workspaces, hybrid)
 
     def temporal(self, text: str, workspace: str, session: str = "", n: int = 10, offset: int = 0,
                  after: str | None = None, before: str | None = None) -> DataFrame:
         """M5."""
-        return search.temporal(self._chunks(), self._query(text), search.clamp(n), max(offset, 0),
+        return search.temporal(self._chunks(), self._query(text), search.wanted(n), max(offset, 0),
                                self._scope(workspace, session), self.now(), after, before)
 
     def grep(self, needle: str, workspace: str, session: str = "", limit: int = 50) -> DataFrame:
@@ -406,7 +418,7 @@ class Memory:
 
     def query_conclusions(self, workspace: str, text: str, n: int = 10) -> DataFrame:
         """M7."""
-        return search.conclusions(self._rows("conclusions"), self._query(text).vector, search.clamp(n),
+        return search.conclusions(self._rows("conclusions"), self._query(text).vector, search.wanted(n),
                                   self._own(workspace))
 
     def representation(self, workspace: str, peer: str = "", session: str = "", maximum: int = 25) -> str:
@@ -597,19 +609,32 @@ class Memory:
         return self._rows("pending").orderBy("queued_at", "message_id")
 
     def drain(self) -> dict:
-        """Replays what is queued. Messages that are not stored anywhere fail."""
+        """Replays what is queued, each entry with an outcome of its own: applied, waiting for another
+        try, or failed after its last. An entry without a workspace changes the message of the
+        workspace first by name. A caller bound to a workspace replays that workspace's entries."""
         inbox = cut_lineage(pending.prune(self.tables.read("pending"), self.now()))
         waiting = inbox.where("status = 'pending'")
-        known = cut_lineage(self.tables.read("chunks").join(waiting, "message_id", "left_semi")
-                        .select("message_id").distinct())
-        found = waiting.join(known, "message_id", "left_semi")
-        if found.take(1):
-            self.update_messages(found.select("message_id", F.nullif("content", F.lit("")).alias("content"), "sections"))
-        outcomes = waiting.select("message_id").join(known.withColumn("ok", F.lit(True)), "message_id", "left").select(
-            "message_id", F.when(F.col("ok").isNull(), "message not found in any workspace").alias("error"))
-        after = cut_lineage(pending.settle(inbox, outcomes, self.now()))
+        if self.only:
+            waiting = waiting.where(F.col("workspace_id") == self.only)
+        stored = cut_lineage(self.tables.read("chunks").join(waiting.select("message_id"), "message_id", "left_semi")
+                             .select(*dml.MESSAGE).distinct())
+        owner = cut_lineage(stats.owning_workspace(stored)).withColumnRenamed("workspace_id", "owner")
+        entry = waiting.join(owner, "message_id", "left").select(
+            *[c for c in waiting.columns if c != "workspace_id"], F.col("workspace_id").alias("queued_for"),
+            F.when(F.col("workspace_id") == pending.ANY_WORKSPACE, F.col("owner")).otherwise(F.col("workspace_id")).alias("workspace_id"))
+        # of two entries that mean the same message the later one counts
+        edits = cut_lineage(dml.latest(entry.join(stored, dml.MESSAGE, "left_semi").select(
+            *dml.MESSAGE, F.nullif("content", F.lit("")).alias("content"), "sections", "queued_at", "queued_for"),
+            dml.MESSAGE, ["queued_at", "queued_for"]))
+        applied = cut_lineage(self._apply(edits.select(*dml.MESSAGE, "content", "sections"), tolerant=True))
+        outcomes = (entry.join(stored.withColumn("there", F.lit(True)), dml.MESSAGE, "left")
+                    .join(applied.withColumn("ok", F.lit(True)), dml.MESSAGE, "left")
+                    .select(F.col("queued_for").alias("workspace_id"), "message_id",
+                            F.when(F.col("there").isNull(), "message not found in any workspace")
+                            .when(F.col("ok").isNull(), "embedding failed").alias("error")))
+        after = cut_lineage(pending.settle(inbox, cut_lineage(outcomes), self.now()))
         self.tables.merge("pending", after)
-        done = after.join(waiting.select("message_id"), "message_id", "left_semi").groupBy("status").count().collect()
+        done = after.join(waiting.select(*dml.MESSAGE), dml.MESSAGE, "left_semi").groupBy("status").count().collect()
         counts = {r["status"]: r["count"] for r in done}
         return {"applied": counts.get("applied", 0), "requeued": counts.get("pending", 0), "failed": counts.get("failed", 0)}
 
@@ -637,15 +662,19 @@ class Memory:
         self.tables.merge("chunks", chunks)
         self.tables.delete("chunks", tail)
         edges = cut_lineage(codegraph.edge_rows(parsed))
-        self.tables.merge("code_edges", edges.withColumns({
+        named = edges.withColumns({
             "workspace_id": F.lit(workspace),
-            "id": tx.edge_id("codeedge_", *[F.col(c) for c in ("src", "rel", "dst")])}).dropDuplicates(["id"]))
+            "id": tx.edge_id("codeedge_", *[F.col(c) for c in ("src", "rel", "dst")])})
+        made = cut_lineage(first_seen(named, ["workspace_id", "id"], [F.col("file")]))
+        before = self.tables.read("code_edges").where(F.col("workspace_id") == workspace)
+        self.tables.delete("code_edges", cut_lineage(before.join(made, ["workspace_id", "id"], "left_anti")))
+        self.tables.merge("code_edges", made)
         return codegraph.index_report(seen, parsed, todo, edges, MAX_CODE_FILE_BYTES)
 
     def symbols(self, workspace: str, file: str = "", limit: int = 200, offset: int = 0) -> DataFrame:
         """F10."""
         rows = self._rows("chunks").where(F.col("workspace_id") == self._own(workspace))
-        return page(codegraph.file_symbols(rows, file), [F.col("file")], search.clamp(limit, 200, 500), max(offset, 0))
+        return page(codegraph.file_symbols(rows, file), [F.col("file")], search.wanted(limit, 200), max(offset, 0))
 
     def callers(self, workspace: str, symbol: str) -> DataFrame:
         """I5."""

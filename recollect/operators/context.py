@@ -50,7 +50,7 @@ def representation(conclusions: DataFrame, max_conclusions: int = 25,
     # ids are ranked, then the texts of the few that are kept are looked up
     top = top_per_key(conclusions.select(*keys, "id", "created_at"), list(keys),
                       [F.col("created_at").desc(), F.col("id")], k)
-    top = join_lookup(conclusions.select("id", "document"), top, ["id"], "inner")
+    top = join_lookup(conclusions.select(*dict.fromkeys([*keys, "id"]), "document"), top, list(dict.fromkeys([*keys, "id"])), "inner")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "document"))),
                         lambda c: F.concat(F.lit("- "), c["document"]))
     return top.groupBy(*keys).agg(F.concat_ws("\n", lines).alias("representation"),

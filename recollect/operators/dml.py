@@ -9,6 +9,9 @@ from recollect.functions.text import chunk_plain, content_hash, keep_metadata, s
 from recollect.operators.skew import absent, first_seen
 from recollect.settings import CHUNK_SIZE
 
+# What identifies a message: ids are unique inside a workspace only.
+MESSAGE = ["workspace_id", "message_id"]
+
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows replace the stored ones with the same key."""
@@ -75,26 +78,25 @@ def chunk_diff(edits: DataFrame, old: Column, new: Column) -> DataFrame:
 
 def stale_tail(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Stored chunks past the end of their message's new version."""
-    lengths = incoming.groupBy("message_id").agg(F.max("total_chunks").alias("_n"))
-    return stored.join(lengths, "message_id").where(F.col("chunk_index") >= F.col("_n")).drop("_n")
+    lengths = incoming.groupBy(*MESSAGE).agg(F.max("total_chunks").alias("_n"))
+    return stored.join(lengths, MESSAGE).where(F.col("chunk_index") >= F.col("_n")).drop("_n")
 
 
 def reassemble(chunks: DataFrame) -> DataFrame:
-    """the chunks of each message in order, and its text. Messages are bounded in size on
-    entry, and equal chunk ids are taken once, so a message's list is short."""
-    once = first_seen(chunks.select("id", "message_id", "chunk_index", "document"), ["id"],
+    """the chunks of each message in order, and its text; equal chunk ids are taken once."""
+    once = first_seen(chunks.select("id", *MESSAGE, "chunk_index", "document"), ["workspace_id", "id"],
                       [F.col("chunk_index")])
     parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "document"))),
                         lambda c: c["document"])
-    return once.groupBy("message_id").agg(parts.alias("parts")).withColumn("text", F.array_join("parts", ""))
+    return once.groupBy(*MESSAGE).agg(parts.alias("parts")).withColumn("text", F.array_join("parts", ""))
 
 
-def latest(updates: DataFrame, key: str, order: list[str]) -> DataFrame:
+def latest(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """J5, batch form: the last update of each message wins, by a partial aggregate. `order`
     has to tell the updates of a message apart."""
-    body = [c for c in updates.columns if c != key]
+    body = [c for c in updates.columns if c not in keys]
     last = F.max_by(F.struct(*body), F.struct(*order)).alias("_u")
-    return updates.groupBy(key).agg(last).select(key, "_u.*")
+    return updates.groupBy(*keys).agg(last).select(*keys, "_u.*")
 
 
 def add_sessions(scopes: DataFrame, name: str, sessions: list[str]) -> DataFrame:

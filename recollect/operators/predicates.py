@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import clean_space, valid_name, valid_role
-from recollect.settings import MAX_CONTENT_BYTES, SHARED_WORKSPACE, TIMELESS_IMPORTANCE
+from recollect.settings import SHARED_WORKSPACE, TIMELESS_IMPORTANCE
 
 SIDECARS = ("_conclusions", "_reasoning", "_codeedges")
 
@@ -83,15 +83,18 @@ def subscribed(events: Column, event: str) -> Column:
     return (F.coalesce(F.size(events), F.lit(0)) <= 0) | F.array_contains(events, event)
 
 
-def validate_messages(rows: DataFrame) -> DataFrame:
-    """Drops incomplete rows and adds an `error`, null where the row is fine. The
-    checks are made in the order in which the first failing one is reported."""
+def validate_messages(rows: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Adds an `error`, null where the row is fine; every row comes back. The checks are made
+    in the order in which the first failing one is reported. `max_bytes` bounds a message at the edge of a
+    service; tables of messages have no such bound."""
     given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     meta = F.coalesce(F.size("metadata"), F.lit(0))
-    return rows.where(given("session_id") & given("role") & given("content")).withColumn(
+    too_large = (F.octet_length("content") > max_bytes) if max_bytes else F.lit(False)
+    return rows.withColumn(
         "error",
-        F.when(~valid_role(F.col("role")), "role must be 'user', 'assistant', or 'system'")
-        .when(F.octet_length("content") > MAX_CONTENT_BYTES, "content too large")
+        F.when(~(given("session_id") & given("role") & given("content")), "session_id, role and content are required")
+        .when(~valid_role(F.col("role")), "role must be 'user', 'assistant', or 'system'")
+        .when(too_large, "content too large")
         .when(~given("workspace_id"), "workspace_id is required")
         .when(~valid_name(F.col("workspace_id")) | ~valid_name(F.col("session_id")),
               "invalid id format")

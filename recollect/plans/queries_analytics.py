@@ -140,7 +140,18 @@ def observation_context(spark, sf):
 
 
 def representation(spark, sf):
-    told = context.representation(fx.conclusions(spark, sf), 25)
+    return _representation(fx.conclusions(spark, sf))
+
+
+def representation_shared_ids(spark, sf):
+    """The same when every workspace has conclusions of the same ids."""
+    m = fx.messages(spark, sf)
+    shared = F.concat(F.floor(F.col("conv_id") / 6).cast("string"), F.lit(":"), F.col("turn").cast("string"))
+    return _representation(m.select(shared.alias("id"), "workspace_id", "document", "created_at"))
+
+
+def _representation(rows):
+    told = context.representation(rows, 25)
     return told.select("workspace_id", "conclusions", F.sha2("representation", 256).alias("digest"))
 
 
@@ -259,6 +270,9 @@ SELECT * FROM w WHERE used <= 300""",
 n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, message_id) AS p FROM msg)
 SELECT t.message_id AS target_id, n.message_id, n.p - t.p AS offset
 FROM n JOIN n t ON n.session_id = t.session_id AND abs(n.p - t.p) <= 2 WHERE t.role = 'system'""",
+    "representation_shared_ids": f"""WITH {fx.MESSAGES_SQL},
+concl AS (SELECT (conv_id // 6) || ':' || turn AS id, workspace_id, document, created_at FROM msg), {_REPRESENTATION.format(k=25)}
+SELECT workspace_id, conclusions, sha256(representation) AS digest FROM told""",
     "representation": f"""WITH {fx.MESSAGES_SQL}, {fx.CONCLUSIONS_SQL}, {_REPRESENTATION.format(k=25)}
 SELECT workspace_id, conclusions, sha256(representation) AS digest FROM told""",
     "brief": f"""WITH {_STALE}, {_REPRESENTATION.format(k=10)},

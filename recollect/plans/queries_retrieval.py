@@ -112,6 +112,15 @@ def hybrid_search(spark, sf):
     return search.floor(hits, FLOOR).select("id", _r("distance"), _r("score"), "source")
 
 
+def hybrid_scoped_peer(spark, sf):
+    """Scope and peer hide rows from both legs."""
+    n = F.floor(F.col("doc_id") / 6)
+    rows = fx.vector_notes(spark, sf).withColumns({
+        "scope": F.when(n % 2 == 0, "in").otherwise("out"), "peer_id": F.concat(F.lit("p"), (n % 3).cast("string"))})
+    hits = search.hybrid(rows, _query(spark, sf), N, search.Scope(workspace="agent2", scope="in", peer="p1"), fx.now())
+    return hits.select("id", _r("distance"), _r("score"), "source")
+
+
 def hybrid_unscoped(spark, sf):
     hits = search.hybrid(fx.vector_notes(spark, sf), _query(spark, sf), N, search.Scope(), fx.now())
     return hits.select("id", _r("distance"), _r("score"), "source")
@@ -289,6 +298,7 @@ FROM done"""
 
 
 _SCOPED2 = "workspace_id IN ('agent2', '_global')"
+_HIDDEN = "doc_id // 6 % 2 = 0 AND doc_id // 6 % 3 = 1"
 _OPEN = "lower(trim(workspace_id)) <> 'finance'"
 
 
@@ -381,6 +391,8 @@ s AS (SELECT *, min(distance) OVER (PARTITION BY workspace_id) AS lo,
 SELECT id, round({_rerank_sql(_TOKENS, _NAMES, 'lo', 'hi')}, 6) AS rerank FROM s""",
     "hybrid_search": _hybrid_sql(_SCOPED2, "workspace_id = 'agent2'").replace(
         "FROM done", f"FROM done WHERE greatest(0, 1 - distance) >= {FLOOR}"),
+    "hybrid_scoped_peer": _hybrid_sql(
+        f"{_SCOPED2} AND {_HIDDEN}", f"workspace_id = 'agent2' AND {_HIDDEN}"),
     "hybrid_unscoped": _hybrid_sql(
         _OPEN, "workspace_id = (SELECT workspace_id FROM sem WHERE rank = 0)"),
     "hybrid_fallback": _hybrid_sql(_SCOPED2, "workspace_id = 'agent2'", ["zzqqxx"], ["zzqqxx"]),

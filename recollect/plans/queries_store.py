@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recollect.engine import Memory
 from recollect.functions import text as tx
 from recollect.operators import dml, knn, limiter, pending, predicates
 from recollect.plans import fixtures as fx
+from recollect.settings import MAX_CONTENT_BYTES
 from recollect.sources import sinks
 from recollect.sources.brain import ExtractiveBrain
 from recollect.sources.embedding import HashingEmbedder, embed_rows
@@ -40,8 +42,9 @@ def update_prune(spark, sf):
     """L4: documents rewritten to their first piece; the rest of their chunks goes."""
     d = fx.texts(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("message_id"), "text")
-    stored = d.select("message_id", F.posexplode(tx.chunk_plain(F.col("text"), 1000)).alias("chunk_index", "part"))
-    short = d.select("message_id", F.lit(1).alias("total_chunks"))
+    d = d.withColumn("workspace_id", F.lit("w"))
+    stored = d.select(*dml.MESSAGE, F.posexplode(tx.chunk_plain(F.col("text"), 1000)).alias("chunk_index", "part"))
+    short = d.select(*dml.MESSAGE, F.lit(1).alias("total_chunks"))
     return dml.stale_tail(stored, short).groupBy("message_id").agg(F.count(F.lit(1)).alias("dropped"))
 
 
@@ -61,7 +64,7 @@ def message_chunks(spark, sf):
 
 
 def message_errors(spark, sf):
-    """What is wrong with messages that are wrong."""
+    """What is wrong with messages that are wrong, by the rules of a service's edge."""
     d = fx.notes(spark, sf)
     sent = d.select(
         F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("workspace_id")).alias("workspace_id"),
@@ -69,13 +72,13 @@ def message_errors(spark, sf):
         F.when(F.col("doc_id") % 11 == 0, "robot").when(F.col("doc_id") % 13 == 0, "")
         .otherwise("user").alias("role"), F.col("document").alias("content"),
         F.lit(None).cast("map<string,string>").alias("metadata"))
-    return predicates.validate_messages(sent).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    return predicates.validate_messages(sent, MAX_CONTENT_BYTES).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
 def reassembled(spark, sf):
     d = fx.texts(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("message_id"), "text")
-    pieces = d.select("message_id", F.posexplode(F.split("text", "(?<=\n)")).alias("chunk_index", "document"))
+    pieces = d.select(F.lit("w").alias("workspace_id"), "message_id", F.posexplode(F.split("text", "(?<=\n)")).alias("chunk_index", "document"))
     stored = pieces.withColumn("id", F.concat_ws("_", "message_id", "chunk_index"))
     return dml.reassemble(stored).select("message_id", F.sha2("text", 256).alias("digest"))
 
@@ -123,9 +126,9 @@ def pending_latest_wins(spark, sf):
 def pending_replay(spark, sf):
     """A replay in which entries of odd users fail, the third failure being the last."""
     u = _updates(spark, sf)
-    inbox = dml.latest(u.where("content <> ''"), "message_id", ["queued_at", "content"]).select(*u.columns)
+    inbox = dml.latest(u.where("content <> ''"), dml.MESSAGE, ["queued_at", "content"]).select(*u.columns)
     odd = F.substring("message_id", 2, 20).cast("bigint") % 2 == 1
-    outcomes = inbox.select("message_id", F.when(odd, "no vector").alias("error"))
+    outcomes = inbox.select(*dml.MESSAGE, F.when(odd, "no vector").alias("error"))
     after = pending.settle(inbox, outcomes, fx.now(), 4)
     return after.select("message_id", "status", "attempts", "last_error")
 
@@ -189,21 +192,70 @@ def stream_usage_daily(spark, sf):
     events = feeds.parquet_stream(spark, sf, source, glob="events.parquet")
     lines = fx.usage_lines(events)
     out, log = feeds.scratch(spark, "usage"), feeds.scratch(spark, "usage-log")
-    feeds.start_updates(feeds.usage_counts(lines), out, log).awaitTermination()
-    return feeds.latest_counts(spark, out, ["day", "agent", "action"])
+    feeds.start_counts(lines, out, log).awaitTermination()
+    return feeds.total_counts(spark, out, ["day", "agent", "action"])
 
 
-def stream_dedup(spark, sf):
-    """Distinct user and event type, deduplicated as a stream within sixty days."""
-    source = fx.table(spark, sf, "events").schema
-    events = feeds.parquet_stream(spark, sf, source, glob="events.parquet").select(
-        "user_id", "event_type", F.col("ts").cast("timestamp").alias("created_at"))
+def _unique(spark, events):
+    rows = events.select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("created_at"))
     out, log = feeds.scratch(spark, "dedup"), feeds.scratch(spark, "dedup-log")
-    unique = feeds.unique_within(events, ["user_id", "event_type"], "created_at", "60 days")
-    feeds.start_append(unique, out, log).awaitTermination()
+    feeds.start_unique(rows, ["user_id", "event_type"], [F.col("created_at"), F.col("event_id")], out, log).awaitTermination()
     return spark.read.parquet(out).select("user_id", "event_type")
 
 
+def stream_dedup(spark, sf):
+    """Distinct user and event type, deduplicated as a stream."""
+    source = fx.table(spark, sf, "events").schema
+    return _unique(spark, feeds.parquet_stream(spark, sf, source, glob="events.parquet"))
+
+
+def _shuffled(spark, sf):
+    """The events as a stream of files, one in a batch, whose times go forth and back."""
+    events = fx.table(spark, sf, "events")
+    folder = feeds.scratch(spark, "late")
+    events.repartition(6, F.date_trunc("week", "ts")).write.parquet(folder)
+    return feeds.parquet_stream(spark, folder, events.schema, files_per_trigger=1)
+
+
+def stream_usage_late(spark, sf):
+    """The same counts when whole weeks come late."""
+    out, log = feeds.scratch(spark, "usage"), feeds.scratch(spark, "usage-log")
+    feeds.start_counts(fx.usage_lines(_shuffled(spark, sf)), out, log).awaitTermination()
+    return feeds.total_counts(spark, out, ["day", "agent", "action"])
+
+
+def stream_dedup_late(spark, sf):
+    return _unique(spark, _shuffled(spark, sf))
+
+
+def _memory(spark):
+    return Memory(spark, feeds.scratch(spark, "memory"), HashingEmbedder(16), buckets=2)
+
+
+def _shared_ids(spark, sf):
+    """Documents as messages whose ids come again in every workspace."""
+    return fx.notes(spark, sf).select(
+        F.concat(F.lit("m"), F.floor(F.col("doc_id") / 6).cast("string")).alias("message_id"), "workspace_id",
+        F.lit("s").alias("session_id"), "role", F.col("document").alias("content"), "created_at")
+
+
+def batch_write_shared_ids(spark, sf):
+    """L2: each workspace keeps its own message of an id; repeated content is stored once in it."""
+    memory = _memory(spark)
+    memory.add_batch(_shared_ids(spark, sf))
+    return dml.reassemble(memory.tables.read("chunks")).select(*dml.MESSAGE, F.sha2("text", 256).alias("digest"))
+
+
+def update_in_one_workspace(spark, sf):
+    """L4: an edit changes the message of its own workspace only."""
+    memory = _memory(spark)
+    sent = _shared_ids(spark, sf)
+    memory.add_batch(sent)
+    memory.update_messages(sent.where("workspace_id = 'agent2'").select(
+        *dml.MESSAGE, F.concat(F.lit("new text of "), "message_id").alias("content")))
+    return dml.reassemble(memory.tables.read("chunks")).select(*dml.MESSAGE, F.sha2("text", 256).alias("digest"))
+
+
 # --- the same in SQL --------------------------------------------------------------------------
 
 _ROWS = fx.MESSAGES_SQL + ", r AS (SELECT message_id, role, created_at, sha256(document) AS digest FROM msg)"
@@ -211,6 +263,9 @@ _PENDING = """
 u AS (SELECT 'm' || user_id AS message_id, 'v' || event_id AS content, ts FROM events
       WHERE event_type <> 'error'),
 last AS (SELECT message_id, arg_max(content, (ts, content)) AS content FROM u GROUP BY 1)"""
+_STORED = """
+stored AS (SELECT workspace_id, 'm' || (doc_id // 6) AS message_id, document FROM note WHERE document <> ''
+           QUALIFY row_number() OVER (PARTITION BY workspace_id, document ORDER BY 'm' || (doc_id // 6)) = 1)"""
 _CUT = """
 w(doc_id, text, i, pos, part) AS (
   SELECT doc_id, text, 0, 1::BIGINT, NULL::VARCHAR FROM documents
@@ -237,15 +292,16 @@ SELECT note.id || '_chunk_' || (i - 1) AS id, message_id, workspace_id, role, i
        count(*) OVER (PARTITION BY doc_id) AS total_chunks,
        sha256(workspace_id || '|' || session_id || '|' || document) AS content_hash,
        source AS source_path, 4.0::DOUBLE AS importance, sha256(part) AS digest
-FROM note JOIN w USING (doc_id) WHERE i > 0 AND doc_id % 11 <> 0 AND strlen(document) <= 100000""",
+FROM note JOIN w USING (doc_id) WHERE i > 0 AND doc_id % 11 <> 0""",
     "message_errors": """WITH m AS (
   SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'robot' WHEN doc_id % 13 = 0 THEN '' ELSE 'user' END AS role,
          text FROM documents)
-SELECT CASE WHEN role = 'robot' THEN 'role must be ''user'', ''assistant'', or ''system'''
+SELECT CASE WHEN role = '' OR text = '' THEN 'session_id, role and content are required'
+            WHEN role = 'robot' THEN 'role must be ''user'', ''assistant'', or ''system'''
             WHEN strlen(text) > 100000 THEN 'content too large'
             WHEN doc_id % 5 = 0 THEN 'workspace_id is required'
             WHEN doc_id % 7 = 0 THEN 'invalid id format' END AS error, count(*) AS n
-FROM m WHERE role <> '' AND text <> '' GROUP BY 1""",
+FROM m GROUP BY 1""",
     "reassembled": "SELECT 'd' || doc_id AS message_id, sha256(text) AS digest FROM documents",
     "set_except": f"""WITH {fx.MESSAGES_SQL}
 SELECT workspace_id, session_id FROM msg WHERE role = 'user'
@@ -295,6 +351,13 @@ l AS (SELECT *, lag(status) OVER (PARTITION BY provider ORDER BY "at") AS before
 SELECT provider, "at", status FROM l WHERE status = 'ok' AND before IS DISTINCT FROM 'ok'""",
     "stream_usage_daily": f"WITH {fx.USAGE_SQL} SELECT day, agent, action, count(*) AS n FROM usage GROUP BY ALL",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_usage_late": f"WITH {fx.USAGE_SQL} SELECT day, agent, action, count(*) AS n FROM usage GROUP BY ALL",
+    "stream_dedup_late": "SELECT DISTINCT user_id, event_type FROM events",
+    "batch_write_shared_ids": f"""WITH {fx.NOTES_SQL}, {_STORED}
+SELECT workspace_id, message_id, sha256(document) AS digest FROM stored""",
+    "update_in_one_workspace": f"""WITH {fx.NOTES_SQL}, {_STORED}
+SELECT workspace_id, message_id,
+       sha256(CASE workspace_id WHEN 'agent2' THEN 'new text of ' || message_id ELSE document END) AS digest FROM stored""",
 }
 
 QUERIES = {name: globals()[name] for name in [*ORACLE, "derived_conclusions", "embedded_documents"]}

@@ -48,7 +48,7 @@ def vault_messages(spark, sf):
 
 def keyword_tags(spark, sf):
     v = fx.vault(spark, sf)
-    tags = tx.keyword_tags(F.col("path"), F.substring("text", 1, 80))
+    tags = tx.keyword_tags(F.col("path"), F.col("text"))
     return v.select("doc_id", F.concat_ws(",", tags).alias("tags"))
 
 
@@ -225,7 +225,7 @@ SELECT path AS source_path, left(sha256(path), 16) || ':' || i AS vault_chunk_id
        (SELECT sha256(text) FROM vault WHERE vault.doc_id = chunk.doc_id) AS file_hash
 FROM chunk""",
     "keyword_tags": f"""WITH {fx.VAULT_SQL}
-SELECT doc_id, {_tags("path || ' ' || substr(text, 1, 80)")} AS tags FROM vault""",
+SELECT doc_id, {_tags("path || ' ' || text")} AS tags FROM vault""",
     "extract_entities": f"""WITH {fx.VAULT_SQL}
 SELECT doc_id, {_entities('text', "'Note Of/Deep Part'")} AS entities FROM vault""",
     "wikilinks": f"""WITH {fx.VAULT_SQL}

@@ -57,9 +57,9 @@ class Scope:
                        self.excluded)
 
 
-def clamp(n: int | None, default: int = 10, cap: int = 100) -> int:
-    """F17."""
-    return n if n and 0 < n <= cap else default
+def wanted(n: int | None, default: int = 10) -> int:
+    """the number of results asked for; a larger request is honoured, not cut."""
+    return n if n and n > 0 else default
 
 
 def content_rows(rows: DataFrame) -> DataFrame:
@@ -95,11 +95,10 @@ def lexical(rows: DataFrame, query: Query, n: int, where: Column) -> DataFrame:
     return rank_bounded(bm25(corpus, query.terms), [F.col("bm25").desc(), F.col("id")], n)
 
 
-def _fused(vec: DataFrame, lex: DataFrame, keys: list[str], n: int, now: Column) -> DataFrame:
-    """Fused hits with their metadata; all inputs are bounded hit lists."""
+def _fused(vec: DataFrame, lex: DataFrame, keys: list[str], n: int, now: Column, group: list[str] | None = None) -> DataFrame:
+    """Fused hits with their metadata, the best `n` of each `group`; all inputs are bounded hit lists."""
     fused = rrf([vec, lex], keys)
-    order = [F.col("fused").desc(), F.col("id")]
-    group = [k for k in keys if k != "id"]
+    order = [F.col("fused").desc(), F.col("id"), F.col("workspace_id")]
     top = (top_per_key(fused, group, order, n) if group else rank_bounded(fused, order, n)).drop("rank")
     body = list(dict.fromkeys([*keys, "id", *METADATA]))
     details = first_seen(vec.select(*body).unionByName(lex.select(*body)), keys, [F.lit(0)])
@@ -108,30 +107,32 @@ def _fused(vec: DataFrame, lex: DataFrame, keys: list[str], n: int, now: Column)
         "source", F.lit("hybrid"))
 
 
-def with_documents(hits: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """The texts of a final, bounded hit list, looked up by id: the ids become a filter that
-    reaches the scan."""
+def with_documents(hits: DataFrame, rows: DataFrame, n: int, home: str = "workspace_id") -> DataFrame:
+    """The texts of a final, bounded hit list, looked up by workspace (column `home` of the hits) and id:
+    both become filters that reach the scan and prune folders."""
     hits = hold(hits, n)
-    ids = [row["id"] for row in hits.select("id").collect()]
-    texts = rows.where(F.col("id").isin(ids)).select("id", "document")
-    return hits.join(F.broadcast(texts), "id", "left")
+    keys = hits.select(home, "id").collect()
+    texts = rows.where(F.col("workspace_id").isin(sorted({k[0] for k in keys})) & F.col("id").isin(sorted({k[1] for k in keys})))
+    texts = texts.select(F.col("workspace_id").alias(home), "id", "document")
+    return hits.join(F.broadcast(texts), [home, "id"], "left")
 
 
 def hybrid(rows: DataFrame, query: Query, n: int, scope: Scope, now: Column) -> DataFrame:
-    """M2: both legs fused. Without lexical hits the vector hits are returned as they are,
-    labelled `semantic-fallback`. An unscoped search takes its texts from the workspace of the
-    best vector hit."""
+    """M2: both legs fused; what scope, peer, session and role hide is hidden from both. Without lexical
+    hits the vector hits are returned as they are, labelled `semantic-fallback`. An unscoped search takes its
+    texts from the workspace of the best vector hit."""
     vec = semantic(rows, query, 2 * n, scope, now)
     workspace = F.lit(scope.workspace) if scope.workspace else (
         vec.where(F.col("rank") == 0).select("workspace_id").scalar())
-    where = ((F.col("workspace_id") == workspace) & equals(session_id=scope.session)
+    where = ((F.col("workspace_id") == workspace)
+             & equals(session_id=scope.session, scope=scope.scope, peer_id=scope.peer)
              & role_or_unknown(scope.role))
     lex = lexical(rows, query, n, where)
     none = lex.select((F.count(F.lit(1)) == 0).alias("none")).scalar()
     columns = ["id", *METADATA, "distance", "score", "source"]
     fallback = (vec.where(none).where(F.col("rank") < n)
                 .withColumn("source", F.lit("semantic-fallback")))
-    fused = _fused(vec, lex, ["id"], n, now).where(~none)
+    fused = _fused(vec, lex, ["workspace_id", "id"], n, now).where(~none)
     order = Window.partitionBy(F.lit(0)).orderBy("distance", "id")
     fused = fused.withColumn("rank", F.row_number().over(order) - 1)
     hits = fused.select(*columns, "rank").unionByName(fallback.select(*columns, "rank"))
@@ -160,11 +161,13 @@ def search_all(rows: DataFrame, query: Query, n: int, now: Column, min_score: fl
     deep = 2 * m if use_hybrid else m
     open_rows = content_rows(rows).where(not_excluded(F.col("workspace_id"), excluded))
     order = [F.col("distance"), F.col("id")]
+    mixed = [*order, F.col("home")]
     near = cut_lineage(top_per_key(
         with_distance(open_rows.select("id", *METADATA, *_vector(rows)), query.vector),
         ["workspace_id"], order, deep).drop("rank"))
     # texts join last: the candidates are few, the texts stay where they are
-    own = cut_lineage(join_lookup(open_rows.select("id", "document"), near, ["id"], "inner"))
+    own = cut_lineage(join_lookup(open_rows.select("workspace_id", "id", "document"), near, ["workspace_id", "id"], "inner")
+                      .withColumn("home", F.col("workspace_id")))
     body = [c for c in own.columns if c != "workspace_id"]
     # at most `deep` rows: the shared workspace's own best
     shared = own.where(F.col("workspace_id") == SHARED_WORKSPACE).agg(
@@ -172,24 +175,26 @@ def search_all(rows: DataFrame, query: Query, n: int, now: Column, min_score: fl
     lists = (open_rows.where(F.col("workspace_id") != SHARED_WORKSPACE).select("workspace_id").distinct()
              .select("workspace_id", F.explode(shared).alias("hit"))
              .select("workspace_id", "hit.*"))
-    vec = top_per_key(own.unionByName(lists), ["workspace_id"], order, deep).drop("rank")
+    vec = top_per_key(own.unionByName(lists), ["workspace_id"], mixed, deep).drop("rank")
     vec = decay(vec, now).withColumn("score", score(F.col("distance")))
     vec = rerank(vec, query.tokens, ["workspace_id"])
-    columns = ["workspace_id", "id", "score", "source"]
+    columns = ["workspace_id", "home", "id", "score", "source"]
     if use_hybrid:
         vec = cut_lineage(vec)
-        scored = bm25(open_rows.select(*HIT), query.terms, ["workspace_id"])
+        scored = bm25(open_rows.select(*HIT), query.terms, ["workspace_id"]).withColumn("home", F.col("workspace_id"))
         lex = cut_lineage(top_per_key(scored, ["workspace_id"],
                                       [F.col("bm25").desc(), F.col("id")], m))
-        fused = _fused(vec, lex, ["workspace_id", "id"], m, now)
+        fused = _fused(vec, lex, ["workspace_id", "home", "id"], m, now, ["workspace_id"])
         alone = vec.where(F.col("rank") < m).join(
             lex.select("workspace_id").distinct(), "workspace_id", "left_anti").withColumn(
                 "source", F.lit("semantic-fallback"))
         hits = fused.select(*columns).unionByName(alone.select(*columns))
     else:
         hits = vec.withColumn("source", F.lit("semantic")).select(*columns)
-    best = first_seen(floor(hits, min_score), ["id"], [-F.col("score"), F.col("workspace_id")])
-    return with_documents(rank_bounded(best, [F.col("score").desc(), F.col("id")], n), open_rows, n)
+    # a row of the shared workspace may be on every list: it counts once, where it does best
+    best = first_seen(floor(hits, min_score), ["home", "id"], [-F.col("score"), F.col("workspace_id")])
+    top = rank_bounded(best, [F.col("score").desc(), F.col("id"), F.col("home")], n)
+    return with_documents(top, open_rows, n, "home").drop("home")
 
 
 def temporal(rows: DataFrame, query: Query, n: int, offset: int, scope: Scope, now: Column,

@@ -54,11 +54,12 @@ TABLES = {
     "peer_cards": PEER_CARDS, "scopes": SCOPES, "workspaces": WORKSPACES, "usage": USAGE,
     "pending": PENDING, "api_keys": API_KEYS, "webhooks": WEBHOOKS,
 }
-# The columns that identify one row of each table.
+# The columns that identify one row of each table. Ids are unique inside a workspace only.
 KEYS = {
-    "chunks": ["id"], "sessions": ["workspace_id", "session_id"], "conclusions": ["id"],
-    "reasoning": ["id"], "code_edges": ["id"], "peers": ["workspace_id", "peer_name"],
+    "chunks": ["workspace_id", "id"], "sessions": ["workspace_id", "session_id"],
+    "conclusions": ["workspace_id", "id"], "reasoning": ["workspace_id", "id"],
+    "code_edges": ["workspace_id", "id"], "peers": ["workspace_id", "peer_name"],
     "peer_cards": ["workspace_id", "peer_id"], "scopes": ["workspace_id", "scope_name"],
-    "workspaces": ["workspace_id"], "pending": ["message_id"], "api_keys": ["id"],
+    "workspaces": ["workspace_id"], "pending": ["workspace_id", "message_id"], "api_keys": ["id"],
     "webhooks": ["workspace_id", "url"],
 }

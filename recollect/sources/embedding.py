@@ -97,25 +97,40 @@ class GoogleEmbedder(Embedder):
         return out
 
 
-def vectors_for(texts, embedder: Embedder):
-    """The vectors of a text column, in Arrow batches."""
+def vectors_for(texts, embedder: Embedder, tolerant: bool = False):
+    """The vectors of a text column, in Arrow batches. If `tolerant`, a text that the provider
+    refuses gets no vector, and the others of its batch theirs."""
+    def one_by_one(texts: list[str]) -> list:
+        if len(texts) == 1 or not tolerant:
+            try:
+                return embedder.embed(texts)
+            except Exception:
+                if not tolerant:
+                    raise
+                return [None]
+        try:
+            return embedder.embed(texts)
+        except Exception:
+            middle = len(texts) // 2
+            return [*one_by_one(texts[:middle]), *one_by_one(texts[middle:])]
+
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             filled = texts.fillna("").tolist()
-            yield pd.Series(embedder.embed(filled) if filled else [], dtype="object")
+            yield pd.Series(one_by_one(filled) if filled else [], dtype="object")
 
     embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(embed, "array<float>")(texts)
 
 
 def embed_rows(rows: DataFrame, embedder: Embedder, text: str = "document",
-               inflight: int = 4, out: str = "embedding") -> DataFrame:
+               inflight: int = 4, out: str = "embedding", tolerant: bool = False) -> DataFrame:
     """Adds the vectors. For a remote provider every distinct text is sent once (A16), by at
     most `inflight` tasks at a time (A17); local providers are cheaper than that shuffle."""
     if not embedder.remote:
-        return rows.withColumn(out, vectors_for(F.col(text), embedder))
+        return rows.withColumn(out, vectors_for(F.col(text), embedder, tolerant))
     digest = F.sha2(text, 256)
     distinct = rows.groupBy(digest.alias("_digest")).agg(F.first(text).alias("_text"))
     known = distinct.repartition(inflight).select(
-        "_digest", vectors_for(F.col("_text"), embedder).alias(out))
+        "_digest", vectors_for(F.col("_text"), embedder, tolerant).alias(out))
     return rows.withColumn("_digest", digest).join(known, "_digest").drop("_digest")

@@ -6,13 +6,14 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from recollect.functions.text import chunk_plain
 from recollect.operators import pending, usage
-from recollect.operators.skew import running
+from recollect.operators.skew import absent, first_seen, running
 from recollect.session import checkpoint_dir, cut_lineage
 from recollect.sources import sinks
 from recollect.sources.brain import Brain
@@ -29,38 +30,45 @@ def parquet_stream(spark: SparkSession, path: str, schema, files_per_trigger: in
             .option("pathGlobFilter", glob).parquet(path))
 
 
-def usage_counts(lines: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Counts per local day, action and agent. The watermark bounds the state; lines that
-    come later than it are not counted."""
-    counted = usage.normalise(lines.withWatermark("ts", delay))
-    # local midnight lies at 16:00 UTC
-    return counted.groupBy(F.window("ts", "1 day", "1 day", "16 hours"), "day", "agent", "action").agg(
-        F.count(F.lit(1)).alias("n")).drop("window")
+def usage_counts(lines: DataFrame) -> DataFrame:
+    """Counts per local day, action and agent."""
+    return usage.normalise(lines).groupBy("day", "agent", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
-def start_updates(counts: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Writes every changed count with its batch number. A batch that is run again overwrites
-    its own folder, so each counts once."""
+def start_counts(lines: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Appends what each batch adds to the counts. There is no watermark, so a line counts however late it
+    comes, and no state but the stored counts; a batch that is run again overwrites its own folder, so each
+    counts once."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        usage_counts(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return (lines.writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(store).trigger(**(trigger or {"availableNow": True})).start())
 
 
-def latest_counts(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The last value of each key that `start_updates` wrote."""
-    return spark.read.parquet(out).groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+def total_counts(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The counts of all batches that `start_counts` wrote."""
+    return spark.read.parquet(out).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
-def unique_within(rows: DataFrame, keys: list[str], ts: str = "created_at", delay: str = "1 hour") -> DataFrame:
-    """Drops repeats of a key that come within the delay; state older than it is let go."""
-    return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
-
-
-def start_append(rows: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    return (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+def start_unique(rows: DataFrame, keys: list[str], order: list[Column], out: str, checkpoint: str,
+                 **trigger) -> StreamingQuery:
+    """Keeps the first row of each key, however far apart its repeats come: a batch is reduced to
+    one row for each key and then to keys that no other batch has stored. A batch that is run again
+    leaves its own folder out of account and overwrites it."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = cut_lineage(first_seen(batch, keys, order))
+        try:
+            stored = spark.read.parquet(out).where(F.col("batch") != batch_id).select(*keys)
+            fresh = absent(fresh, stored, keys)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (rows.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(store).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def scratch(spark: SparkSession, name: str) -> str:

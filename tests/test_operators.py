@@ -228,10 +228,11 @@ def test_validation(spark):
         ("w w", "s", "user", "x"), ("w", "", "user", "x")],
         "workspace_id STRING, session_id STRING, role STRING, content STRING").withColumn(
             "metadata", F.lit(None).cast("map<string,string>"))
-    got = [r["error"] for r in predicates.validate_messages(rows).collect()]
+    got = [r["error"] for r in predicates.validate_messages(rows, 100_000).collect()]
     assert sorted(str(e) for e in got) == sorted([
         "None", "role must be 'user', 'assistant', or 'system'", "content too large", "workspace_id is required",
-        "invalid id format"])
+        "invalid id format", "session_id, role and content are required"])
+    assert sum(r["error"] is None for r in predicates.validate_messages(rows).collect()) == 2
 
 
 def test_inbox(spark):
@@ -243,7 +244,7 @@ def test_inbox(spark):
     inbox = pending.enqueue(rows([("m1", "old", 0, 3)]), rows([("m1", "a", 1, 9), ("m1", "b", 2, 9), ("m2", "", 3, 9), ("m3", "c", 0, 9)]))
     assert sorted((r["message_id"], r["content"], r["attempts"]) for r in inbox.collect()) == [("m1", "b", 0), ("m3", "c", 0)]
     assert [r["message_id"] for r in pending.evict(inbox, 1).collect()] == ["m1"]
-    outcome = spark.createDataFrame([("m1", None), ("m3", "down")], "message_id STRING, error STRING")
+    outcome = spark.createDataFrame([("w", "m1", None), ("w", "m3", "down")], "workspace_id STRING, message_id STRING, error STRING")
     after = pending.settle(inbox, outcome, F.lit(t), max_attempts=1)
     assert sorted((r["message_id"], r["status"], r["attempts"]) for r in after.collect()) == [("m1", "applied", 0), ("m3", "failed", 1)]
     assert pending.prune(after, F.lit(t + timedelta(hours=2))).count() == 0

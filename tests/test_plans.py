@@ -83,5 +83,5 @@ def test_default_width_vectors(spark, tmp_path):
     assert wide.search("when is green tea served", "w").first()["document"].startswith("green tea")
 
 
-def test_clamps():
-    assert [search.clamp(n) for n in (0, 5, 101, None)] == [10, 5, 10, 10]
+def test_requests_are_honoured():
+    assert [search.wanted(n) for n in (0, 5, 101, None)] == [10, 5, 101, 10]
