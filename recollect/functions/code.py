@@ -1,8 +1,12 @@
-"""Symbols, imports and chunks of source files: line scans wrapped as one Arrow UDF."""
+"""Symbols, imports and chunks of source files: read off line tables in one Arrow UDF."""
 
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_left, bisect_right
+from functools import cached_property
+from itertools import accumulate, takewhile
 from typing import NamedTuple
 
 import pandas as pd
@@ -55,112 +59,123 @@ def language_of(path: str) -> str:
     return SYMBOL_LANGUAGES.get(ext) or TEXT_LANGUAGES.get(ext, "")
 
 
-def _indent(line: str) -> int:
-    lead = line[: len(line) - len(line.lstrip(" \t"))]
-    return len(lead) + 3 * lead.count("\t")
-
-
-def _body_end(lines: list[str], first: int, lang: str) -> int:
-    """The line after a symbol's body: dedent for Python, balanced braces otherwise."""
-    if lang == "python":
-        for i in range(first + 2, len(lines)):
-            if lines[i].strip() and _indent(lines[i]) <= _indent(lines[first]):
-                return i
-        return len(lines)
-    open_braces, opened = 0, False
-    for i in range(first, len(lines)):
-        open_braces += lines[i].count("{") - lines[i].count("}")
-        opened = opened or "{" in lines[i]
-        if opened and open_braces <= 0:
-            return i + 1
-    return len(lines)
+class Outline:
+    """Where the definitions of a source stand, read off tables made once for all lines: what a line
+    defines, how far it is indented, and how many braces are open behind it."""
+
+    def __init__(self, source: str, lang: str):
+        self.lang, self.lines = lang, source.split("\n")
+        self.bare = [line.strip() for line in self.lines]
+        self.defined = [self._definition(text) for text in self.bare]
+
+    def _definition(self, text: str) -> tuple[str, str] | None:
+        if text.startswith(COMMENT.get(self.lang, "\n")):
+            return None
+        hits = ((kind, pattern.match(text)) for kind, pattern in _SYMBOLS.get(self.lang, ()))
+        return next(((kind, hit[1]) for kind, hit in hits if hit), None)
+
+    def imports(self) -> list[str]:
+        pattern = _IMPORTS.get(self.lang)
+        found = [pattern.match(line) for line in self.lines] if pattern else []
+        return [name for hit in found if hit for name in hit.groups() if name]
+
+    @cached_property
+    def _margins(self) -> list[int]:
+        """Columns before the text, a tab counting four; blank lines have no margin to compare."""
+        lead = [line[: len(line) - len(line.lstrip(" \t"))].replace("\t", " " * 4) for line in self.lines]
+        return [len(x) if text else sys.maxsize for x, text in zip(lead, self.bare)]
+
+    @cached_property
+    def _open(self) -> list[int]:
+        """Braces open behind each line, counted from the top of the file."""
+        return list(accumulate(line.count("{") - line.count("}") for line in self.lines))
+
+    def _end(self, first: int) -> int:
+        """A Python body reaches to the next line, but one, that stands as far left as its head; others to the line
+        that closes the first brace opened."""
+        after = range(first, len(self.lines))
+        if self.lang == "python":
+            return next((i for i in after[2:] if self._margins[i] <= self._margins[first]), len(self.lines))
+        level = self._open[first - 1] if first else 0
+        opened = next((i for i in after if "{" in self.lines[i]), len(self.lines))
+        return 1 + next((i for i in range(opened, len(self.lines)) if self._open[i] <= level), len(self.lines) - 1)
+
+    def _comment_above(self, first: int, floor: int) -> str:
+        """The comment lines above a head, as far as only comments and blank lines lie between."""
+        marks = COMMENT[self.lang]
+        above = takewhile(lambda text: not text or text.startswith(marks), reversed(self.bare[floor:first]))
+        return "\n".join(reversed([text for text in above if text]))
+
+    def symbols(self) -> list[Symbol]:
+        """Definitions outside each other, in order."""
+        found: list[Symbol] = []
+        for first, defined in enumerate(self.defined):
+            floor = found[-1].end_line if found else 0
+            if defined and first >= floor:
+                end = self._end(first)
+                found.append(Symbol(defined[1], defined[0], self._comment_above(first, floor),
+                                    "\n".join(self.lines[first:end]), first, end))
+        return found
 
 
 def find_imports(source: str, lang: str) -> list[str]:
-    pattern = _IMPORTS.get(lang)
-    hits = (pattern.match(line) for line in source.split("\n")) if pattern else ()
-    return [name for m in hits if m for name in [next(filter(None, m.groups()), None)] if name]
+    return Outline(source, lang).imports()
 
 
 def find_symbols(source: str, lang: str) -> list[Symbol]:
-    """Top-level definitions with their body and the comment block right above."""
-    patterns = _SYMBOLS.get(lang, [])
-    lines = source.split("\n")
-    found: list[Symbol] = []
-    comment: list[str] = []
-    i = 0 if patterns else len(lines)
-    while i < len(lines):
-        text = lines[i].strip()
-        if text.startswith(COMMENT[lang]):
-            comment.append(text)
-        else:
-            hit = next(((k, m[1]) for k, p in patterns if (m := p.match(text))), None)
-            if hit:
-                end = _body_end(lines, i, lang)
-                found.append(Symbol(hit[1], hit[0], "\n".join(comment),
-                                    "\n".join(lines[i:end]), i, end))
-                i = end - 1
-            if text:
-                comment = []
-        i += 1
-    return found
+    return Outline(source, lang).symbols()
 
 
 def overview(path: str, lang: str, imports: list[str], symbols: list[Symbol]) -> str:
-    lines = [f"File: {path} ({lang})"]
-    if imports:
-        lines.append("Imports: " + ", ".join(imports))
-    return "\n".join(lines + ["Symbols:"] + [f"- {s.kind} {s.name}" for s in symbols]) + "\n"
+    listed = "".join(f"- {s.kind} {s.name}\n" for s in symbols)
+    named = f"Imports: {', '.join(imports)}\n" if imports else ""
+    return f"File: {path} ({lang})\n{named}Symbols:\n{listed}"
+
+
+def _runs(widths: list[int], next_stop) -> list[slice]:
+    """Consecutive runs: `next_stop(ends, first, base)` says where the run that begins at `first` stops,
+    given the running sums of the widths and the sum before it."""
+    ends, runs, first = list(accumulate(widths)), [], 0
+    while first < len(widths):
+        stop = next_stop(ends, first, ends[first - 1] if first else 0)
+        runs.append(slice(first, stop))
+        first = stop
+    return runs
 
 
 def split_text(source: str, size: int = CODE_CHUNK_FLOOR) -> list[str]:
     """Pieces of whole lines, each up to `size` bytes where a line allows it; lossless."""
-    pieces: list[list[str]] = []
-    room = 0
-    for line in re.findall(r"[^\n]*\n|[^\n]+", source):
-        width = len(line.encode())
-        if not pieces or width > room:
-            pieces.append([])
-            room = size
-        pieces[-1].append(line)
-        room -= width
-    return ["".join(p) for p in pieces]
-
-
-def chunk_file(path: str, source: str, floor: int = CODE_CHUNK_FLOOR) -> list[tuple[str, list[str], str]]:
+    lines = re.findall(r"[^\n]*\n|[^\n]+", source)
+    fits = lambda ends, first, base: max(first + 1, bisect_right(ends, base + size, first))
+    return ["".join(lines[run]) for run in _runs([len(x.encode()) for x in lines], fits)]
+
+
+def merged(texts: list[str], floor: int) -> list[slice]:
+    """Runs of symbol texts that reach `floor` bytes. The text that reaches it belongs to the run, unless
+    it overshoots a run that is half full without it."""
+    def stop(ends: list[int], first: int, base: int) -> int:
+        reaching = bisect_left(ends, base + floor, first)
+        if reaching == len(ends):
+            return reaching
+        without = ends[reaching - 1] - base if reaching > first else 0
+        overshoots = ends[reaching] - base > floor
+        return reaching if without and without >= floor // 2 and overshoots else reaching + 1
+
+    return _runs([len(t.encode()) for t in texts], stop)
+
+
+def chunk_file(path: str, source: str, floor: int = CODE_CHUNK_FLOOR, outline: Outline | None = None) -> list[tuple[str, list[str], str]]:
     """(chunk type, entities, document): an overview and merged symbol chunks, or line
     pieces for files without symbols."""
     lang = language_of(path)
-    if not lang:
-        return []
-    symbols = find_symbols(source, lang)
-    if not symbols:
-        name = path.rsplit("/", 1)[-1]
-        return [("text", [name], p) for p in split_text(source, floor)] if source.strip() else []
-    out = [("file_overview", [s.name for s in symbols],
-            overview(path, lang, find_imports(source, lang), symbols))]
-    names: list[str] = []
-    texts: list[str] = []
-    held = 0
-
-    def flush():
-        nonlocal names, texts, held
-        if texts:
-            out.append(("symbol", names, "".join(texts)))
-        names, texts, held = [], [], 0
-
-    for s in symbols:
-        text = f"{s.name} ({s.kind}):\n" + (s.doc + "\n" if s.doc else "") + s.body + "\n\n"
-        width = len(text.encode())
-        if floor // 2 <= held and 0 < held and held + width > floor:
-            flush()
-        names.append(s.name)
-        texts.append(text)
-        held += width
-        if held >= floor:
-            flush()
-    flush()
-    return out
+    outline = outline or Outline(source, lang)
+    symbols = outline.symbols() if lang else []
+    if symbols:
+        texts = [f"{s.name} ({s.kind}):\n{s.doc + chr(10) if s.doc else ''}{s.body}\n\n" for s in symbols]
+        return [("file_overview", [s.name for s in symbols], overview(path, lang, outline.imports(), symbols)),
+                *(("symbol", [s.name for s in symbols[run]], "".join(texts[run])) for run in merged(texts, floor))]
+    pieces = split_text(source, floor) if lang and source.strip() else []
+    return [("text", [path.rsplit("/", 1)[-1]], piece) for piece in pieces]
 
 
 PARSED = ("struct<language:string,imports:array<string>,"
@@ -175,9 +190,10 @@ def parsed_code(path: Column, source: Column) -> Column:
         rows = []
         for p, text in zip(paths, sources):
             lang = language_of(p)
+            outline = Outline(text, lang)
             rows.append((
-                lang, find_imports(text, lang), [s._asdict() for s in find_symbols(text, lang)],
-                [dict(chunk_type=t, entities=e, document=d) for t, e, d in chunk_file(p, text)]))
+                lang, outline.imports(), [s._asdict() for s in outline.symbols()],
+                [dict(chunk_type=t, entities=e, document=d) for t, e, d in chunk_file(p, text, outline=outline)]))
         return pd.DataFrame(rows, columns=["language", "imports", "symbols", "chunks"])
 
     return F.pandas_udf(parse, PARSED)(path, source)

@@ -11,27 +11,26 @@ from pyspark.sql import functions as F
 _SEPARATORS = re.compile(r"[^a-zA-Z0-9]+")
 
 
-def _is_break(word: str, start: int, i: int) -> bool:
-    """Whether a new sub-token begins at `i`, the current one having begun at `start`."""
-    before, here = word[i - 1], word[i]
-    if here.isupper() and (before.islower() or before.isdigit()):
-        return True
-    if before.isdigit() != here.isdigit():
-        # a short run of letters stays glued to its digits (utf8), a long one does not
-        return i - start > 4
-    return before.isupper() and here.isupper() and word[i + 1: i + 2].islower()
+# Runs of one kind inside a word: capitals up to one that begins a capitalised run, such a run,
+# small letters, digits.
+_RUNS = re.compile(r"[A-Z]+(?![a-z])|[A-Z][a-z]+|[a-z]+|[0-9]+")
+GLUED = 4
 
 
 def split_identifier(text: str) -> list[str]:
-    """H7: sub-tokens at separators, case changes and the ends of long letter or digit runs."""
+    """H7: the runs of each word; digits and the small letters behind them stay with a token of up
+    to `GLUED` signs (utf8), a longer one ends there."""
     tokens: list[str] = []
-    for word in filter(None, _SEPARATORS.split(text)):
-        start = 0
-        for i in range(1, len(word)):
-            if _is_break(word, start, i):
-                tokens.append(word[start:i].lower())
-                start = i
-        tokens.append(word[start:].lower())
+    for word in _SEPARATORS.split(text):
+        token = ""
+        for run in _RUNS.findall(word):
+            turns = token and run[0].isdigit() != token[-1].isdigit() and not run[0].isupper()
+            if token and not (turns and len(token) <= GLUED):
+                tokens.append(token.lower())
+                token = ""
+            token += run
+        if token:
+            tokens.append(token.lower())
     return tokens
 
 
