@@ -24,7 +24,7 @@ from recollect.plans import brief as overview
 from recollect.plans import search
 from recollect.session import cut_and_count, cut_lineage
 from recollect.settings import (CONTEXT_TOKENS, MAX_CODE_FILE_BYTES, MAX_CONTENT_BYTES, MAX_QUERY_BYTES, SHARED_WORKSPACE,
-                                TRACE_DEPTH, Settings)
+                                TRACE_DEPTH, USAGE_RETENTION_DAYS, Settings)
 from recollect.sources import files, sinks, vault
 from recollect.sources.brain import Brain, ExtractiveBrain, reorder
 from recollect.sources.embedding import Embedder, HashingEmbedder, embed_rows
@@ -449,7 +449,7 @@ class Memory:
         """I1 with previews, or I2."""
         edges = self._edges(workspace)
         if reverse:
-            return provenance.trace_reverse(edges, self._seed(conclusion), depth)
+            return provenance.trace_reverse(edges, self._seed(conclusion), depth).orderBy("depth", "id")
         chunks = self._rows("chunks").where(F.col("workspace_id") == self._own(workspace))
         return provenance.with_previews(provenance.trace_forward(edges, self._seed(conclusion), depth), chunks)
 
@@ -708,7 +708,7 @@ class Memory:
         """M14."""
         lines = usage.normalise(self.tables.read("usage"))
         today = F.to_date(F.from_utc_timestamp(self.now(), "Asia/Kuala_Lumpur"))
-        return usage.last_days(usage.daily(usage.retained(lines, today)), today, days)
+        return usage.last_days(usage.daily(usage.retained(lines, today, max(days, USAGE_RETENTION_DAYS))), today, days)
 
     def create_key(self, workspace: str) -> str:
         """L14."""

@@ -13,15 +13,18 @@ from recollect.session import cut_lineage
 MIN_ENTITY_WEIGHT = 0.7
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Both directions of (from, to, relation, weight); entities are entered only over
-    heavy edges."""
+def adjacency(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Both directions of (from, to, relation, weight), of all nodes or those given (`node`); entities
+    are entered only over heavy edges."""
     out = edges.select(F.col("from").alias("node"), F.col("to").alias("neighbour"),
                        F.lit(0).alias("direction"), "weight")
     back = edges.select(F.col("to").alias("node"), F.col("from").alias("neighbour"),
                         F.lit(1).alias("direction"), "weight")
     light = F.col("neighbour").startswith("entity:") & (F.col("weight") < MIN_ENTITY_WEIGHT)
-    return out.unionByName(back).where(~light).groupBy("node", "neighbour").agg(
+    both = out.unionByName(back).where(~light)
+    if nodes is not None:
+        both = both.join(nodes, "node", "left_semi")
+    return both.groupBy("node", "neighbour").agg(
         F.min("direction").alias("direction"))
 
 
@@ -34,12 +37,13 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, max_neighbours: in
     so each node keeps that many and a node with very many neighbours is never multiplied out.
     """
     keep = 2 * max_neighbours + seeds_per_set
-    near = cut_lineage(top_per_key(adjacency(edges), ["node"],
-                                   [F.col("direction"), F.col("neighbour")], keep).drop("rank"))
     frontier = seeds.select("seed", "id", "position")
     visited = frontier.select("seed", "id")
     found = None
     for hop in range(1, hops + 1):
+        # only the edges at the frontier are grouped and ranked
+        at = cut_lineage(frontier.select(F.col("id").alias("node")).distinct())
+        near = top_per_key(adjacency(edges, at), ["node"], [F.col("direction"), F.col("neighbour")], keep).drop("rank")
         reached = frontier.join(near, frontier["id"] == near["node"]).select(
             "seed", F.col("neighbour").alias("id"), F.lit(hop).alias("hop"),
             F.col("position").alias("parent"), "direction")

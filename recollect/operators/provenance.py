@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import preview
-from recollect.session import cut_and_count
-from recollect.settings import TRACE_DEPTH, TRACE_DEPTH_CAP
+from recollect.session import cut_and_count, cut_lineage
+from recollect.settings import TRACE_DEPTH
 
 
-def clamp_depth(depth: int) -> int:
-    return min(depth, TRACE_DEPTH_CAP) if depth > 0 else TRACE_DEPTH
+def wanted_depth(depth: int) -> int:
+    return depth if depth > 0 else TRACE_DEPTH
 
 
 def links(edges: DataFrame) -> DataFrame:
@@ -58,13 +58,13 @@ def _nothing(seeds: DataFrame) -> DataFrame:
 
 def trace_forward(edges: DataFrame, seeds: DataFrame, depth: int = TRACE_DEPTH) -> DataFrame:
     """What a conclusion rests on. Premises are followed, messages end the walk."""
-    known = links(edges)
+    known = cut_lineage(links(edges))  # read again at every level
 
     def step(frontier: DataFrame) -> DataFrame:
         return frontier.join(known, frontier["id"] == known["source"]).select(
             "seed", F.col("target").alias("id"), "via", (F.col("via") == "premise").alias("go_on"))
 
-    out = _walk(seeds, step, clamp_depth(depth))
+    out = _walk(seeds, step, wanted_depth(depth))
     out = _nothing(seeds) if out is None else out
     # an id reached both ways on its level is a premise
     return out.withColumn("kind", F.when(F.col("via") == "premise", "conclusion").otherwise("message"))
@@ -72,20 +72,20 @@ def trace_forward(edges: DataFrame, seeds: DataFrame, depth: int = TRACE_DEPTH)
 
 def trace_reverse(edges: DataFrame, seeds: DataFrame, depth: int = TRACE_DEPTH) -> DataFrame:
     """The conclusions that depend on an id, with their distance in hops."""
-    known = links(edges)
+    known = cut_lineage(links(edges))  # read again at every level
 
     def step(frontier: DataFrame) -> DataFrame:
         return frontier.join(known, frontier["id"] == known["target"]).select(
             "seed", F.col("source").alias("id"), F.lit("cited_by").alias("via"),
             F.lit(True).alias("go_on"))
 
-    out = _walk(seeds, step, clamp_depth(depth))
+    out = _walk(seeds, step, wanted_depth(depth))
     return _nothing(seeds) if out is None else out
 
 
 def reasoning_chain(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """The edges behind a conclusion, to any depth."""
-    known = links(edges).where("via = 'premise'")
+    known = cut_lineage(links(edges).where("via = 'premise'"))
 
     def step(frontier: DataFrame) -> DataFrame:
         return frontier.join(known, frontier["id"] == known["source"]).select(

@@ -4,30 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
-from recollect.session import cut_and_count, cut_lineage, hold
+from recollect.session import cut_lineage, hold
 
-BROADCAST_ROWS = 50_000
-SALTS = 16
+# Compressed columns of this size are at most a few hundred megabytes as a hash table.
+BROADCAST_BYTES = 16 << 20
+
+
+def written_bytes(table: DataFrame) -> int:
+    """The size of a table read from files, as they lie there."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "left",
-                max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join to a lookup table with one row per key.
 
-    The lookup is written and counted first: within `max_rows` it is broadcast and `rows`
-    are not shuffled. Beyond it both sides are shuffled on key and salt, with the lookup
-    repeated once per salt, so that a hot key is spread over `SALTS` tasks.
+    The lookup is written first, and the size of its files decides: within `max_bytes` it is broadcast
+    and `rows` are not shuffled. Beyond it both sides are shuffled once, on the key; the partitions that
+    hot keys fill are found while the join runs and split over several tasks (adaptive skew join), so that
+    nothing is repeated for keys that are not hot.
     """
-    lookup, count = cut_and_count(lookup)
-    if count <= max_rows:
-        return rows.join(F.broadcast(lookup), on, how)
-    salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # the salt follows from the row, so that a task run again deals its rows out the same way
-    told = [f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType)]
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*told), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, [*on, "_salt"], how).drop("_salt")
+    lookup = cut_lineage(lookup)
+    small = written_bytes(lookup) <= max_bytes
+    return rows.join(F.broadcast(lookup) if small else lookup.hint("merge"), on, how)
 
 
 def absent(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -45,5 +45,5 @@ def scan(messages: DataFrame, conclusions: DataFrame, edges: DataFrame, now: Col
 
 def report(candidates: DataFrame, limit: int = 50) -> DataFrame:
     """oldest first. The limit follows the sort."""
-    limit = limit if 0 < limit <= 200 else 50
+    limit = limit if limit > 0 else 50
     return candidates.orderBy(F.col("age_days").desc(), "id").limit(limit)

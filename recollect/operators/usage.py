@@ -71,14 +71,14 @@ def report(usage: DataFrame) -> DataFrame:
 
 def days_until(spark, last_day: Column, n: int) -> DataFrame:
     """The calendar of the `n` days up to `last_day`."""
-    n = n if 0 < n <= USAGE_RETENTION_DAYS else (30 if n <= 0 else USAGE_RETENTION_DAYS)
+    n = n if n > 0 else 30
     last = last_day.cast("date")
     days = spark.range(1).select(F.explode(F.sequence(F.date_sub(last, n - 1), last)).alias("date"))
     return days.select(F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 
 def last_days(per_day: DataFrame, last_day: Column, n: int = 30) -> DataFrame:
-    """The trailing series; quiet days count zero. The calendar has at most 90 rows."""
+    """The trailing series; quiet days count zero. The calendar has as many rows as days are asked for."""
     calendar = days_until(per_day.sparkSession, last_day, n)
     joined = F.broadcast(calendar).join(per_day, "day", "left")
     counts = [*COUNTERS.values(), "total"]

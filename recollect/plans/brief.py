@@ -23,7 +23,7 @@ def top_entities(chunks: DataFrame, k: int = 10) -> DataFrame:
 def brief(chunks: DataFrame, sessions: DataFrame, conclusions: DataFrame, edges: DataFrame,
           now: Column, max_conclusions: int = 10, max_age_days: int = stale.STALE_DAYS) -> DataFrame:
     """Every part is one row per workspace, so the joins are between small tables."""
-    k = max_conclusions if 0 < max_conclusions <= 50 else 10
+    k = max_conclusions if max_conclusions > 0 else 10
     docs = chunks.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("document_count"))
     seen = sessions.groupBy("workspace_id").agg(F.countDistinct("session_id").alias("session_count"))
     told = context.representation(conclusions, k).withColumnRenamed("conclusions", "conclusion_count")

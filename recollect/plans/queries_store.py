@@ -239,11 +239,16 @@ def _shared_ids(spark, sf):
         F.lit("s").alias("session_id"), "role", F.col("document").alias("content"), "created_at")
 
 
+def _first_chunks(memory):
+    """The first chunk of each message; its hash is of the whole content."""
+    return memory.tables.read("chunks").where("chunk_index = 0").select(*dml.MESSAGE, "content_hash")
+
+
 def batch_write_shared_ids(spark, sf):
     """L2: each workspace keeps its own message of an id; repeated content is stored once in it."""
     memory = _memory(spark)
     memory.add_batch(_shared_ids(spark, sf))
-    return dml.reassemble(memory.tables.read("chunks")).select(*dml.MESSAGE, F.sha2("text", 256).alias("digest"))
+    return _first_chunks(memory)
 
 
 def update_in_one_workspace(spark, sf):
@@ -253,7 +258,7 @@ def update_in_one_workspace(spark, sf):
     memory.add_batch(sent)
     memory.update_messages(sent.where("workspace_id = 'agent2'").select(
         *dml.MESSAGE, F.concat(F.lit("new text of "), "message_id").alias("content")))
-    return dml.reassemble(memory.tables.read("chunks")).select(*dml.MESSAGE, F.sha2("text", 256).alias("digest"))
+    return _first_chunks(memory)
 
 
 # --- the same in SQL --------------------------------------------------------------------------
@@ -354,10 +359,11 @@ SELECT provider, "at", status FROM l WHERE status = 'ok' AND before IS DISTINCT
     "stream_usage_late": f"WITH {fx.USAGE_SQL} SELECT day, agent, action, count(*) AS n FROM usage GROUP BY ALL",
     "stream_dedup_late": "SELECT DISTINCT user_id, event_type FROM events",
     "batch_write_shared_ids": f"""WITH {fx.NOTES_SQL}, {_STORED}
-SELECT workspace_id, message_id, sha256(document) AS digest FROM stored""",
+SELECT workspace_id, message_id, sha256(workspace_id || '|s|' || document) AS content_hash FROM stored""",
     "update_in_one_workspace": f"""WITH {fx.NOTES_SQL}, {_STORED}
 SELECT workspace_id, message_id,
-       sha256(CASE workspace_id WHEN 'agent2' THEN 'new text of ' || message_id ELSE document END) AS digest FROM stored""",
+       sha256(workspace_id || '|s|' || CASE workspace_id WHEN 'agent2' THEN 'new text of ' || message_id ELSE document END)
+         AS content_hash FROM stored""",
 }
 
 QUERIES = {name: globals()[name] for name in [*ORACLE, "derived_conclusions", "embedded_documents"]}

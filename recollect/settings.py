@@ -14,7 +14,7 @@ RRF_K = 60
 DECAY_START_HOURS, DECAY_RATE_PER_DAY = 168.0, 0.01
 TIMELESS_IMPORTANCE = 4.0
 STALE_DAYS = 90
-TRACE_DEPTH, TRACE_DEPTH_CAP = 5, 10
+TRACE_DEPTH = 5
 CONTEXT_TOKENS = 10_000
 USAGE_RETENTION_DAYS = 90
 USAGE_TZ = "Asia/Kuala_Lumpur"
