@@ -565,35 +565,38 @@ class Memory:
         return feeds.start_deriver(messages, self.brain, self._store_derived, checkpoint, **trigger)
 
     def dream_all(self) -> int:
-        """J4 over every workspace, one after the other."""
-        return sum(self.dream(row["workspace_id"]) for row in self.workspaces().toLocalIterator())
+        """J4 over every workspace, in one plan."""
+        return self._dream(self._rows("chunks") if not self.only else self._rows("chunks").where(F.col("workspace_id") == self.only))
 
     def dream(self, workspace: str) -> int:
         """A summary of every session of three messages or more, unless a conclusion near
         to it is known. Returns how many were made."""
-        workspace = self._own(workspace)
-        rows = self._rows("chunks").where(F.col("workspace_id") == workspace)
-        busy = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DREAM_MIN_MESSAGES)
+        return self._dream(self._rows("chunks").where(F.col("workspace_id") == self._own(workspace)))
+
+    def _dream(self, rows: DataFrame) -> int:
+        session = ["workspace_id", "session_id"]
+        busy = rows.groupBy(*session).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DREAM_MIN_MESSAGES)
         # rows are told apart by chunk id, and each chunk counts with its own tokens
-        mine = rows.join(busy, "session_id", "left_semi").select(
-            "session_id", F.col("id").alias("message_id"), "document", "created_at")
-        kept = context.within_budget(mine, DREAM_TOKENS).select("message_id").join(mine, "message_id")
+        mine = rows.join(busy, session, "left_semi").select(*session, F.col("id").alias("message_id"), "document", "created_at")
+        kept = context.within_budget(mine, DREAM_TOKENS, tuple(session)).select(*dml.MESSAGE).join(mine, dml.MESSAGE)
         # bounded by the token budget
-        texts = kept.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(
+        texts = kept.groupBy(*session).agg(F.array_join(F.transform(F.array_sort(
             F.collect_list(F.struct("created_at", "message_id", "document"))), lambda m: m["document"]), "\n").alias("text"))
-        probe = embed_rows(texts.withColumn("document", tx.first_bytes(F.col("text"), 500)), self.embedder)
-        probes, count = cut_and_count(probe)
-        if not count:
-            return 0
-        known = self._rows("conclusions").where(F.col("workspace_id").isin(workspace, SHARED_WORKSPACE))
-        fresh = probes.join(knn.near_any(probes, known, "session_id", DREAM_NEAREST), "session_id", "left_anti")
+        probes = cut_lineage(embed_rows(texts.withColumn("document", F.col("text")), self.embedder))
+        known = self._rows("conclusions").select("workspace_id", "embedding")
+        # the shared workspace's conclusions are near to every workspace
+        shared = knn.near_any(probes.withColumn("group", F.lit(SHARED_WORKSPACE)),
+                              known.withColumnRenamed("workspace_id", "group"), session, DREAM_NEAREST, "group")
+        near = knn.near_any(probes, known, session, DREAM_NEAREST).unionByName(shared).distinct()
+        fresh = probes.join(near, session, "left_anti")
         made = fresh.select(
-            "session_id", F.lit(workspace).alias("workspace_id"), F.lit("").alias("peer_id"),
+            *session, F.lit("").alias("peer_id"),
             feeds.summaries(F.col("text"), self.brain, 500).alias("document"), F.lit("dreamer").alias("source"),
             self.now().alias("created_at")).where("document <> ''").withColumn(
                 "id", F.concat(F.lit("concl_"), F.left(F.sha2(F.concat_ws("|", "workspace_id", "session_id", "document"), 256), F.lit(24))))
         made, count = cut_and_count(made)
-        self.add_conclusions(made)
+        if count:
+            self.add_conclusions(made)
         return count
 
     # -- deferred updates --------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.vectors import cosine_distance
-from recollect.operators.skew import rank_bounded, running
+from recollect.operators.skew import join_lookup, rank_bounded
 from recollect.session import cut_lineage
 
 
@@ -29,33 +29,46 @@ def nearest(rows: DataFrame, query: list[float], k: int, where: Column | None =
                         [F.col("distance"), F.col(id_)], k)
 
 
-def near_any(queries: DataFrame, rows: DataFrame, key: str, distance: float, vector: str = "embedding",
-             block: int = 1_000) -> DataFrame:
-    """The keys of queries that have a row nearer than `distance`.
+def near_any(queries: DataFrame, rows: DataFrame, keys: list[str], distance: float, group: str = "workspace_id",
+             vector: str = "embedding", block: int = 512) -> DataFrame:
+    """The `keys` of queries that have a row of their group nearer than `distance`, exact.
 
-    Queries are taken in blocks of bounded size, each shipped to the tasks as one matrix. A task
-    reads its rows once per block and emits a key at most once, so no pairs are ever formed.
+    Both sides are packed into blocks of about `block` vectors of a group; each pair of blocks of a group is
+    compared as two matrices inside one task, which gives the keys of near queries and no pairs. A large
+    group has many blocks, so it is spread over many tasks. Rows whose vector has another width than
+    the query's can't be compared; they are counted by `other_widths`.
     """
-    found = None
-    numbered = cut_lineage(running(queries.select(key, vector), [], [F.col(key)], rank="_n", total="_t"))
-    count = numbered.count()
-    kind = queries.schema[key].dataType.simpleString()
-    for start in range(0, count, block):
-        part = numbered.where(F.col("_n").between(start + 1, start + block)).select(key, vector).collect()
-        keys = [r[key] for r in part]
-        matrix = _unit(np.array([r[vector] for r in part], dtype="float64"))
-
-        def scan(batches, keys=keys, matrix=matrix):
-            near = np.zeros(len(keys), dtype=bool)
-            for batch in batches:
-                stored = [v for v in batch[vector] if v is not None and len(v) == matrix.shape[1]]
-                if stored:
-                    near |= (matrix @ _unit(np.stack(stored).astype("float64")).T).max(axis=1) > 1 - distance
-            yield pd.DataFrame({key: pd.Series([k for k, hit in zip(keys, near) if hit], dtype="object")})
-
-        hits = rows.select(vector).mapInPandas(scan, f"`{key}` {kind}").distinct()
-        found = hits if found is None else found.unionByName(hits)
-    return queries.select(key).limit(0) if found is None else found
+    asked = _packed(queries, group, block, vector, F.struct(*keys)).select(group, F.col("items").alias("asked"))
+    known = _packed(rows, group, block, vector, F.lit(0)).select(group, F.col("items").alias("known"))
+    kinds = ", ".join(f"`{k}` {queries.schema[k].dataType.simpleString()}" for k in keys)
+
+    def compare(batches):
+        for batch in batches:
+            for questions, stored in zip(batch["asked"], batch["known"]):
+                near = []
+                for width in {len(q["v"]) for q in questions}:
+                    some = [q for q in questions if len(q["v"]) == width]
+                    others = [s["v"] for s in stored if len(s["v"]) == width]
+                    if others:
+                        best = (_unit(np.stack([q["v"] for q in some])) @ _unit(np.stack(others)).T).max(axis=1)
+                        near += [q["key"] for q, b in zip(some, best) if b > 1 - distance]
+                yield pd.DataFrame([tuple(k[name] for name in keys) for k in near], columns=keys, dtype="object")
+
+    return asked.join(known, group).select("asked", "known").mapInPandas(compare, kinds).distinct()
+
+
+def _packed(rows: DataFrame, group: str, block: int, vector: str, key: Column) -> DataFrame:
+    """Blocks of about `block` vectors of a group; a row's block follows from its content."""
+    held = rows.where(F.size(vector) > 0)
+    sizes = cut_lineage(held.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks")))
+    placed = join_lookup(held.select(group, key.alias("key"), F.col(vector).cast("array<double>").alias("v")), sizes, [group], "inner")
+    return placed.groupBy(group, F.pmod(F.xxhash64("key", "v"), F.col("_blocks")).alias("_b")).agg(
+        F.collect_list(F.struct("key", "v")).alias("items"))
+
+
+def other_widths(rows: DataFrame, width: int, vector: str = "embedding") -> DataFrame:
+    """How many rows a search by vectors of `width` can't see: those of another width and those without a vector."""
+    return rows.agg(F.count_if(F.coalesce(F.size(vector), F.lit(-1)) != width).alias("unseen"))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

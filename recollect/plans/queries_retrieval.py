@@ -11,6 +11,7 @@ from recollect.plans import fixtures as fx
 from recollect.plans import search
 
 N = 10
+DREAM_NEAREST = 0.75  # about half of the vectors have one that near
 FLOOR = 0.22
 
 
@@ -106,6 +107,14 @@ def workflow_rerank(spark, sf):
         lex_tokens(fx.QUERY_TEXT), F.col("low"), F.col("high")), 6).alias("rerank"))
 
 
+def dream_candidates(spark, sf):
+    """Vectors of odd id that no vector of even id of their workspace is near to."""
+    v = fx.vectors(spark, sf)
+    odd, even = v.where("vec_id % 2 = 1"), v.where("vec_id % 2 = 0")
+    near = knn.near_any(odd, even, ["id"], DREAM_NEAREST, block=64)
+    return odd.select("id", "workspace_id").join(near, "id", "left_anti")
+
+
 def hybrid_search(spark, sf):
     hits = search.hybrid(fx.vector_notes(spark, sf), _query(spark, sf), N,
                          search.Scope(workspace="agent2"), fx.now())
@@ -389,6 +398,10 @@ d AS (SELECT *, {_DIST} AS distance FROM vnote WHERE embedding IS NOT NULL),
 s AS (SELECT *, min(distance) OVER (PARTITION BY workspace_id) AS lo,
              max(distance) OVER (PARTITION BY workspace_id) AS hi FROM d)
 SELECT id, round({_rerank_sql(_TOKENS, _NAMES, 'lo', 'hi')}, 6) AS rerank FROM s""",
+    "dream_candidates": f"""WITH {fx.VECTORS_SQL}
+SELECT id, workspace_id FROM vec a WHERE vec_id % 2 = 1 AND NOT EXISTS (
+  SELECT 1 FROM vec b WHERE b.vec_id % 2 = 0 AND a.workspace_id = b.workspace_id
+  AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 1 - {DREAM_NEAREST})""",
     "hybrid_search": _hybrid_sql(_SCOPED2, "workspace_id = 'agent2'").replace(
         "FROM done", f"FROM done WHERE greatest(0, 1 - distance) >= {FLOOR}"),
     "hybrid_scoped_peer": _hybrid_sql(

@@ -85,10 +85,14 @@ def test_nearest_plan_keeps_a_top_k(spark):
 
 
 def test_near_any(spark):
-    queries = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [-1.0, 0.0])], "k STRING, embedding ARRAY<FLOAT>")
-    rows = spark.createDataFrame([([1.0, 0.1],), ([0.0, 2.0],), (None,)], "embedding ARRAY<FLOAT>")
-    got = knn.near_any(queries, rows, "k", 0.15, block=2)
-    assert sorted(r["k"] for r in got.collect()) == ["a", "b"]
+    queries = spark.createDataFrame([("a", "w", [1.0, 0.0]), ("b", "w", [0.0, 1.0]), ("c", "w", [-1.0, 0.0]), ("d", "v", [1.0, 0.0])],
+                                    "k STRING, workspace_id STRING, embedding ARRAY<FLOAT>")
+    rows = spark.createDataFrame([("w", [1.0, 0.1]), ("w", [0.0, 2.0]), ("w", None), ("v", [1.0, 0.0, 0.0])],
+                                 "workspace_id STRING, embedding ARRAY<FLOAT>")
+    for block in (1, 512):
+        got = knn.near_any(queries, rows, ["workspace_id", "k"], 0.15, block=block)
+        assert sorted(r["k"] for r in got.collect()) == ["a", "b"]
+    assert knn.other_widths(rows, 2).first()["unseen"] == 2
 
 
 def hot_rows(spark, n=3000):
