@@ -236,7 +236,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     n = (total + 5) // 3 * 3
     pieces = cut_lineage(_pieces(found.join(placed.drop("size"), ["id", "tag", "start"])))
     blocks = _text(pieces, n)
-    starts = _later_starts(blocks, suffix_array.suffix_ranks(blocks, n))
+    starts = _later_starts(blocks, suffix_array.suffix_ranks(blocks, n, 258))
     return whole.union(_runs(pieces, cut_lineage(starts)).select("id", "tag", F.lit(False).alias("copy"), "gone"))
 
 

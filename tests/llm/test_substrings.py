@@ -69,14 +69,14 @@ def test_equal_strings_have_equal_anchors():
             assert found[0] & found[1]
 
 
-@pytest.mark.parametrize("local", [1 << 20, 20])
-def test_suffix_ranks(spark, monkeypatch, local):
+@pytest.mark.parametrize("local, alphabet", [(1 << 20, 0), (20, 0), (20, 4)])
+def test_suffix_ranks(spark, monkeypatch, local, alphabet):
     monkeypatch.setattr(suffix_array, "LOCAL", local)
     monkeypatch.setattr(suffix_array, "BLOCK", 30)
     rng = np.random.default_rng(local)
     v = np.concatenate([np.tile(rng.integers(1, 4, 25), 3), np.zeros(3, np.int64)])
     text = suffix_array.to_blocks(spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "pos long, value long"), len(v))
-    got = dict((r.block, np.frombuffer(r["values"], np.int64)) for r in suffix_array.suffix_ranks(text, len(v)).collect())
+    got = dict((r.block, np.frombuffer(r["values"], np.int64)) for r in suffix_array.suffix_ranks(text, len(v), alphabet).collect())
     order = sorted(range(len(v)), key=lambda i: v[i:].tolist())
     want = np.empty(len(v), np.int64)
     want[order] = range(len(v))
