@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from recollect import schema
 from recollect.functions import text as tx
 from recollect.functions.markdown import spliced
-from recollect.operators import (codegraph, context, dml, knn, pending, predicates, provenance,
+from recollect.operators import (codegraph, context, dml, graph, knn, pending, predicates, provenance,
                                  stale, stats, usage)
 from recollect.operators.skew import first_seen, page
 from recollect.plans import brief as overview
@@ -26,7 +26,7 @@ from recollect.session import cut_and_count, cut_lineage
 from recollect.settings import (CONTEXT_TOKENS, MAX_CODE_FILE_BYTES, MAX_CONTENT_BYTES, MAX_QUERY_BYTES, SHARED_WORKSPACE,
                                 TRACE_DEPTH, USAGE_RETENTION_DAYS, Settings)
 from recollect.sources import files, sinks, vault
-from recollect.sources.brain import Brain, ExtractiveBrain, reorder
+from recollect.sources.brain import Brain, ExtractiveBrain, reorder, tagged
 from recollect.sources.embedding import Embedder, HashingEmbedder, embed_rows
 from recollect.sources.tables import Tables
 from recollect.streaming import feeds
@@ -45,13 +45,14 @@ class NotFound(LookupError):
 class Memory:
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None,
                  brain: Brain | None = None, settings: Settings | None = None, buckets: int = 16,
-                 only_workspace: str | None = None, clock=None):
+                 only_workspace: str | None = None, clock=None, auto_tag: bool = False):
         self.spark = spark
         self.settings = settings or Settings.from_env()
         self.tables = Tables(spark, root, buckets)
         self.embedder = embedder or HashingEmbedder(self.settings.embed_dimensions)
         self.brain = brain or ExtractiveBrain()
         self.only = only_workspace
+        self.auto_tag = auto_tag
         self._clock = clock or (lambda: datetime.now(timezone.utc))
 
     # -- helpers -----------------------------------------------------------------------------
@@ -128,6 +129,8 @@ class Memory:
             ["workspace_id", "content_hash"], [F.col("message_id")],
             self._stored_for(sent).select("workspace_id", "content_hash"))
         fresh = chunks.join(keepers.select(*dml.MESSAGE), dml.MESSAGE, "left_semi")
+        if self.auto_tag:  # K5
+            fresh = tagged(fresh, self.brain)
         self.tables.merge("chunks", embed_rows(fresh, self.embedder, inflight=self.settings.embed_inflight))
         return checked.select("workspace_id", "message_id", "session_id", "role", F.col("error").isNull().alias("stored"), "error")
 
@@ -138,6 +141,14 @@ class Memory:
                 .foreachBatch(lambda batch, _: self.add_batch(batch) and None)
                 .trigger(**(trigger or {"processingTime": "2 seconds"})).start())
 
+    def import_workspace(self, path: str, workspace: str) -> DataFrame:
+        """An exported workspace, written as messages; returns their receipts."""
+        return self.add_batch(files.import_workspace(self.spark, path, self._own(workspace)))
+
+    def message_sizes(self, workspace: str) -> DataFrame:
+        """The chunks of each message."""
+        return stats.chunks_per_message(self._rows("chunks").where(F.col("workspace_id") == self._own(workspace)))
+
     def _stored_for(self, batch: DataFrame, most: int = 200) -> DataFrame:
         """The chunk rows of a batch's workspaces; a short list of them prunes the scan."""
         named = [r["workspace_id"] for r in batch.select("workspace_id").distinct().limit(most + 1).collect()]
@@ -608,8 +619,14 @@ class Memory:
             (self.now() if f.name == "queued_at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields])
         self.tables.merge("pending", pending.enqueue(self.tables.read("pending").limit(0), full))
 
-    def pending_updates(self) -> DataFrame:
-        return self._rows("pending").orderBy("queued_at", "message_id")
+    def pending_updates(self, waiting_only: bool = False) -> DataFrame:
+        """the queued updates, oldest first."""
+        rows = self._rows("pending")
+        return pending.ready(rows) if waiting_only else rows.orderBy("queued_at", "message_id")
+
+    def start_inbox(self, updates: DataFrame, checkpoint: str, **trigger):
+        """J5 as a stream."""
+        return feeds.start_inbox(updates, self.tables, checkpoint, **trigger)
 
     def drain(self) -> dict:
         """Replays what is queued, each entry with an outcome of its own: applied, waiting for another
@@ -683,6 +700,13 @@ class Memory:
         """I5."""
         return codegraph.callers(self._rows("code_edges").where(F.col("workspace_id") == self._own(workspace)), symbol)
 
+    # -- graphs ------------------------------------------------------------------------------
+    def graph_neighbours(self, path: str, nodes: list[str], hops: int = 1, n: int = 5) -> DataFrame:
+        """I4: the first `n` nodes around the given ones in a stored graph."""
+        _, edges = files.read_graph(self.spark, path)
+        seeds = self.spark.createDataFrame([("seed", node, i) for i, node in enumerate(nodes)], "seed STRING, id STRING, position INT")
+        return graph.expand(edges, seeds, hops, n, max(len(nodes), 1)).select("id", "hop", "position").orderBy("position")
+
     # -- vault -------------------------------------------------------------------------------
     def index_vault(self, workspace: str, root: str, known_entities: list[str] | None = None,
                     registry: DataFrame | None = None, reindex: bool = False) -> DataFrame:
@@ -703,6 +727,10 @@ class Memory:
         """Lines without an action are telemetry and are not kept."""
         self.tables.append("usage", lines.where(F.coalesce("action", F.lit("")) != ""))
 
+    def load_usage(self, path: str) -> None:
+        """A folder of usage lines."""
+        self.record_usage(files.usage_log(self.spark, path))
+
     def record_requests(self, requests: DataFrame) -> None:
         """Requests (ts, method, path, source, agent, workspace) as usage lines."""
         self.record_usage(requests.withColumn("action", tx.classify_request(F.col("method"), F.col("path"))))
@@ -730,8 +758,10 @@ class Memory:
         self.tables.merge("webhooks", self._one(
             {"workspace_id": self._own(workspace), "url": url, "events": self._texts(events)}, "webhooks"))
 
-    def webhooks(self, workspace: str) -> DataFrame:
-        return self._rows("webhooks").where(F.col("workspace_id") == self._own(workspace))
+    def webhooks(self, workspace: str, event: str = "") -> DataFrame:
+        """The endpoints of a workspace, or those that an event goes to."""
+        rows = self._rows("webhooks").where(F.col("workspace_id") == self._own(workspace))
+        return sinks.subscribers(rows, event) if event else rows
 
     def fire(self, events: DataFrame, post) -> None:
         """A29."""

@@ -32,7 +32,7 @@ def analytics(rows: DataFrame) -> DataFrame:
 
 def chunks_per_message(rows: DataFrame) -> DataFrame:
     """D4."""
-    return rows.groupBy("message_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return rows.groupBy("workspace_id", "message_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def entity_top(rows: DataFrame, k: int = 10, items: str = "entities") -> DataFrame:

@@ -6,7 +6,12 @@ import json
 import re
 from abc import ABC, abstractmethod
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from recollect.functions.identifiers import query_terms
+from recollect.functions.text import csv_list
 from recollect.sources.http import post_json
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]?")
@@ -92,6 +97,20 @@ def tag(brain: Brain, header_path: str, text: str) -> dict[str, str]:
             "summary": str(found.get("summary", "")).strip(), "entities": ",".join(items("entities"))}
 
 
+def tagged(rows: DataFrame, brain: Brain) -> DataFrame:
+    """K5 on chunk rows: tags, entities and a summary line from the model where a row has none, in Arrow batches."""
+    def ask(headers: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tag(brain, h, t) for h, t in zip(headers, texts)], columns=["tags", "summary", "entities"])
+
+    ask.__annotations__ = {"headers": pd.Series, "texts": pd.Series, "return": pd.DataFrame}
+    told = F.pandas_udf(ask, "tags string, summary string, entities string")(
+        F.coalesce("header_path", F.lit("")), F.coalesce("document", F.lit("")))
+    return rows.withColumn("_told", told).withColumns({
+        "tags": F.coalesce("tags", csv_list(F.col("_told.tags"))),
+        "entities": F.coalesce("entities", csv_list(F.col("_told.entities"))),
+        "summary_1line": F.coalesce("summary_1line", F.nullif(F.col("_told.summary"), F.lit("")))}).drop("_told")
+
+
 def valid_order(order: list, size: int) -> bool:
     """A permutation of the hit positions."""
     return sorted(order) == list(range(size)) if all(isinstance(i, int) for i in order) else False
