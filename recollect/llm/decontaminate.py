@@ -228,7 +228,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` without any hit, all columns as they are; one pass over them for each block of items."""
     for _, texts in _item_blocks(items):
         held = docs.sparkSession.sparkContext.broadcast(index(texts))
-        told = docs.select(F.struct("*").alias("_whole"), F.col("text"))
+        told = docs.select(F.struct("*").alias("_whole"))
         docs = told.mapInArrow(_dropper(held), told.schema).select("_whole.*")
     return docs
 
@@ -236,11 +236,11 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _dropper(held):
     def run(batches):
         for batch in batches:
-            for part in flat.slices(batch):
+            for part in flat.slices(flat.with_text(batch)):
                 got = search(Words(*flat.flatten(part.column("text"))), held.value)
                 keep = np.ones(part.num_rows, bool)
                 if got is not None:
                     keep[got[0]] = False
-                yield part.filter(pa.array(keep))
+                yield part.select(["_whole"]).filter(pa.array(keep))
 
     return run

@@ -37,6 +37,13 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         start = stop
 
 
+def with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with the text inside its column `_whole` as a column of its own, without a copy."""
+    whole = batch.column("_whole")
+    text = whole.flatten()[whole.type.get_field_index("text")]
+    return batch.append_column("text", text)
+
+
 def lengths(texts: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 

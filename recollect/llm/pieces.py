@@ -29,6 +29,7 @@ from recollect.llm.units import Units, per_text
 BLANK = "▁"
 UNIT = re.compile(rf"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 ROW_WIDTHS = (4, 8, 12, 16, 24, 40, 64)
+UNITS_KEPT = 200_000  # by a Python worker: about 40 MB
 SYMBOL = 22  # bits of a symbol id: vocabulary, then characters outside it
 
 ENCODED = "doc_id long, ids array<int>, decoded string"
@@ -208,7 +209,7 @@ class Vocabulary:
 class Encoder:
     def __init__(self, model: bytes):
         self.vocabulary = Vocabulary(model)
-        self.units = Units(self.vocabulary.encode)
+        self.units = Units(self.vocabulary.encode, UNITS_KEPT)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts with the begin and end ids."""

@@ -21,6 +21,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recollect.llm import flat
 
@@ -250,14 +251,14 @@ def masked(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with each span replaced by its kind in brackets; n_chars, if there, follows."""
     def run(batches):
         for batch in batches:
-            for part in flat.slices(batch):
+            for part in flat.slices(flat.with_text(batch)):
                 made = [mask(t, s) for t, s in _by_text(part)]
                 nulls = part.column("text").is_null().to_pylist()
                 made = pa.array([None if null else m for m, null in zip(made, nulls)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("_whole"), made], names=["_whole", "text"])
 
-    told = docs.select(F.struct("*").alias("_whole"), F.col("text"))
+    told = docs.select(F.struct("*").alias("_whole"))
     swapped = {"text": F.col("text"), "n_chars": F.when(F.col("_whole.text") == F.col("text"), F.col("_whole.n_chars")).otherwise(
         F.char_length("text")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return told.mapInArrow(run, told.schema).select(*[
+    return told.mapInArrow(run, T.StructType([*told.schema.fields, T.StructField("text", T.StringType())])).select(*[
         swapped[c].alias(c) if c in swapped else F.col("_whole")[c].alias(c) for c in docs.columns])

@@ -95,20 +95,20 @@ def _repeated(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(of[np.cumsum(covered)[:-1] > 0], minlength=n)
 
 
-def measured(docs: DataFrame, *carried) -> DataFrame:
-    """One row per document: doc_id, lang, source, the columns named and, instead of the text, n_words,
+def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """One row per document: doc_id, lang, source, if wanted the `_whole` row, and n_words,
     word_chars (code points in words), n_symbols, n_lines (with a word), n_dup_lines (equal to an
     earlier one) and n_repeat_words (words in windows of five that occur twice or more)."""
     def run(batches):
         for batch in batches:
-            for part in flat.slices(batch):
+            for part in flat.slices(flat.with_text(batch) if whole else batch):
                 counts = count_rules(*flat.flatten(part.column("text")))
                 kept = [(name, part.column(name)) for name in part.schema.names if name != "text"]
                 made = [(name, pa.array(counts[name].astype(np.int64))) for name in names]
                 yield pa.RecordBatch.from_arrays([a for _, a in kept + made], names=[k for k, _ in kept + made])
 
     names = [c.split()[0] for c in COUNTS.split(", ")]
-    told = docs.select("doc_id", "lang", "source", *carried, "text")
+    told = docs.select("doc_id", "lang", "source", F.struct("*").alias("_whole") if whole else "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in told.schema.fields if f.name != "text")
     return told.mapInArrow(run, f"{schema}, {COUNTS}")
 
@@ -317,4 +317,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, as they are. Texts are counted once for the estimates and once
     for the verdict, which costs less than moving or writing them."""
     found = estimates(cut_lineage(measured(docs)))
-    return verdicts(measured(docs, F.struct("*").alias("_whole")), found).where("kept").select("_whole.*")
+    return verdicts(measured(docs, whole=True), found).where("kept").select("_whole.*")
