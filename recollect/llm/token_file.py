@@ -34,9 +34,12 @@ from recollect.session import checkpoint_dir, cut_lineage
 
 BLOCK_IDS = 1 << 20
 END_ID = 2
+MARK = "<|endoftext|>"
+WORDS_KEPT = 1_500_000  # by a Python worker: about 250 MB
 
 # A full stop or comma after a letter and before a blank is a token of its own; taken off, it leaves more words alike.
 STOP = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?= )")
+RUN_ON = re.compile(r"[^ \t\n\r0-9A-Za-zÀ-ÖØ-öø-ÿ][.,] ")
 SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
@@ -90,19 +93,42 @@ class Encoder:
 
     def __init__(self, model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.library = Tokenizer.from_str(model.decode())
-        self.units = Units(self._encode)
+        # Words met for the first time fill no cache here. For words in small Latin-1 letters the vocabulary's
+        # normaliser (composition, white space, lower case) changes nothing, so they are spared it.
+        self.new_words, self.small_words = (Tokenizer.from_str(model.decode()) for _ in range(2))
+        self.small_words.normalizer = normalizers.Sequence([])
+        for tokenizer in (self.new_words, self.small_words):
+            tokenizer.model._resize_cache(0)
+        self.units = Units(self._encode, WORDS_KEPT)
+        self.mark = self.library.token_to_id(MARK)
         probe = "Ab, cd.\nef  gh's 12"
         if self.library.encode(probe, add_special_tokens=False).ids != [
                 i for w in probe.split() for i in self.library.encode(w, add_special_tokens=False).ids]:
             raise ValueError("tokens of this vocabulary reach over white space")
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.library.encode_batch(units, add_special_tokens=False)]
-        counts = np.array([len(g) for g in got], np.int64)
-        return np.array([i for g in got for i in g], np.int32), counts
+        """Many units in one call, a special token between them; units that hold one go by themselves."""
+        ids, counts = [], []
+        for a in range(0, len(units), 1_000):
+            part = units[a:a + 1_000]
+            text = MARK.join(part)
+            if self.mark is None or text.count("<|") != len(part) - 1:
+                got = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
+                counts.append([len(g) for g in got])
+                ids.append(np.array([i for g in got for i in g], np.int32))
+                continue
+            small = text.isascii() or max(text) < "\u0100"
+            by = self.small_words if small and text == text.lower() else self.new_words
+            got = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            at = np.flatnonzero(got == self.mark)
+            if len(at) != len(part) - 1:
+                raise RuntimeError("the mark between units was not kept")
+            counts.append(np.diff(np.concatenate([[-1], at, [len(got)]])) - 1)
+            ids.append(got[got != self.mark])
+        return np.concatenate(ids), np.concatenate(counts).astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END_ID behind each, and where each begins."""
@@ -126,7 +152,12 @@ class Encoder:
             text = text.lower()  # sign by sign, as the vocabulary does
         except UnicodeEncodeError:
             pass
-        return [u for u in STOP.sub(r" \1", text + " ").split(" ") if u]
+        text += " "
+        if RUN_ON.search(text):
+            text = STOP.sub(r" \1", text)
+        else:
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return list(filter(None, text.split(" ")))
 
 
 def _encoder(held) -> Encoder:

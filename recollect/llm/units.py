@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 from recollect.llm import flat
 
-LIMIT = 600_000
+LIMIT = 600_000  # units that a memory holds, about 180 bytes each
 
 
 class Units:
     """Ids of units met so far. `encode` takes a list of distinct strings and returns their ids, one
-    after the other, and how many each has. Beyond `LIMIT` units the memory starts anew."""
+    after the other, and how many each has. Beyond `limit` units the memory starts anew."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, limit: int = LIMIT):
+        self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self):
@@ -24,13 +26,14 @@ class Units:
 
     def ids_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, one after the other, and the number of ids of each."""
-        if len(self.index) > LIMIT:
+        if len(self.index) > self.limit:
             self.clear()
-        got = list(map(self.index.get, units))
-        if None in got:
-            self._learn(list(dict.fromkeys(u for u, k in zip(units, got) if k is None)))
-            got = list(map(self.index.get, units))
-        k = np.array(got, np.int64)
+        k = np.fromiter(map(self.index.get, units, itertools.repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(k < 0)
+        if len(missing):
+            new = [units[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            k[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         starts = self.at[k]
         counts = self.at[k + 1] - starts
         return self.ids[flat.spread(starts, counts)], counts
