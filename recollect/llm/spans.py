@@ -1,12 +1,17 @@
 """Substring dedup (7): sliding sentence spans.
 
 A sentence is a row of words ([^\\x20\\x09-\\x0D]+) up to a word that ends in ".", "!" or "?", to a line end or to the end of the
-text; its content are the bytes from its first to its last word. From every sentence of a text a span goes on over at least
-`SENTENCES` sentences and `WORDS` words, as few as that takes, so equal passages give equal spans
-wherever they stand, and a few short sentences alone give none. Spans are hashed to 128 bits and counted over all
+text; its content are the bytes from its first to its last word. From every sentence of a text a span goes on, and to every
+sentence one leads up, over at least `LEAST` sentences and `WORDS` words, as few as that takes, so equal passages give equal spans
+wherever they stand, and a few short sentences alone give none. A passage of so many whole sentences and words is
+covered by its spans without a rest: up to where the one from its first sentence ends, from where the one to its last
+sentence begins, and between these by those that lead up to each sentence. A sentence of `LONG` words is a span of its own, and so
+is a text of a single sentence of `WORDS` words, which has equals among such texts only. Spans are hashed to 128 bits and counted over all
 documents; of a repeated span the occurrence first by (doc_id, hash of the text, sentence) stays, and every
 sentence that any other occurrence covers is removed, with the blanks behind it.
 
+That is the `wide` rule, which the query takes. Without it spans only go on, over `SENTENCES` sentences and `WORDS` words.
+
 Spans that occur once leave after the first aggregation, which sums up in each task before the shuffle; a span that a third of all documents
 share is one row of each task there, and its occurrences are split by adaptive skew joins afterwards.
 
@@ -27,6 +32,7 @@ from recollect.llm import flat, rows
 from recollect.session import cut_lineage
 
 SENTENCES, WORDS = 3, 15
+LEAST, LONG = 2, 51
 STOPS = b".!?"
 
 SPANS = "id long, tag long, h1 long, h2 long, first int, last int"
@@ -50,13 +56,10 @@ class Sentences:
         self.stops = np.cumsum(counts)
         self.begins = self.stops - counts
 
-    def spans(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def spans(self, data: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First and last (exclusive) sentence of every span, and two hashes of each."""
         n = len(self.of)
-        first = np.arange(n)
-        last = np.maximum(first + SENTENCES, np.searchsorted(self.words, self.words[:-1] + WORDS))
-        some = last <= self.stops[self.of] if n else np.zeros(0, bool)
-        first, last = first[some], last[some]
+        first, last = self._wide() if wide else self._onward(SENTENCES)
         hashes = []
         for seed in (0, 1):
             own = flat.run_hashes(data, self.starts, self.ends, seed)
@@ -66,15 +69,35 @@ class Sentences:
             hashes.append(flat.mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)))
         return first, last, hashes[0], hashes[1]
 
-
-def hashed(docs: DataFrame) -> DataFrame:
+    def _onward(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The span that goes on from each sentence, as far as the text has one."""
+        first = np.arange(len(self.of))
+        last = np.maximum(first + least, np.searchsorted(self.words, self.words[:-1] + WORDS))
+        some = last <= self.stops[self.of]
+        return first[some], last[some]
+
+    def _wide(self) -> tuple[np.ndarray, np.ndarray]:
+        """Spans from and to each sentence and single long sentences, each once."""
+        at = np.arange(len(self.of))
+        start = np.minimum(at + 1 - LEAST, np.searchsorted(self.words, self.words[1:] - WORDS, side="right") - 1)
+        some = start >= self.begins[self.of]
+        size = np.diff(self.words)
+        only = self.stops[self.of] - self.begins[self.of] < LEAST
+        alone = (size >= LONG) | (only & (size >= WORDS))
+        first, last = self._onward(LEAST)
+        pairs = np.unique(np.concatenate([first, start[some], at[alone]]) * (len(at) + 1)
+                          + np.concatenate([last, at[some] + 1, at[alone] + 1]))
+        return pairs // (len(at) + 1), pairs % (len(at) + 1)
+
+
+def hashed(docs: DataFrame, wide: bool = False) -> DataFrame:
     """A row for each span: key of the document, hashes, first and last (exclusive) sentence."""
     def run(batches):
         for batch in batches:
             for part in flat.slices(batch):
                 data, at = flat.flatten(part.column("text"))
                 s = Sentences(data, at)
-                first, last, h1, h2 = s.spans(data)
+                first, last, h1, h2 = s.spans(data, wide)
                 own = s.of[first]
                 who = pa.array(own)
                 begin = s.begins[own]
@@ -86,9 +109,9 @@ def hashed(docs: DataFrame) -> DataFrame:
     return rows.keyed(docs).mapInArrow(run, SPANS)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, wide: bool = False) -> DataFrame:
     """For each document (id, tag) that loses sentences the spans (first, last) that it isn't the first to hold."""
-    spans = cut_lineage(hashed(docs))
+    spans = cut_lineage(hashed(docs, wide))
     twice = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     held = cut_lineage(spans.join(cut_lineage(twice), ["h1", "h2"]))
     first = held.groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "first")).alias("kept"))
@@ -96,7 +119,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     return later.groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("gone"))
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, wide: bool = False) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed and kept_text."""
     def run(batches):
         for batch in batches:
@@ -123,11 +146,11 @@ def removed(docs: DataFrame) -> DataFrame:
                     part.column("id"), pa.array(s.stops - s.begins), pa.array(n[s.stops] - n[s.begins]), made],
                     names=["id", "n_sentences", "n_removed", "kept_text"])
 
-    told = rows.keyed(docs).join(cut_lineage(repeated(docs)), ["id", "tag"], "left").select("id", "text", "gone")
+    told = rows.keyed(docs).join(cut_lineage(repeated(docs, wide)), ["id", "tag"], "left").select("id", "text", "gone")
     return told.mapInArrow(run, "id long, n_sentences long, n_removed long, kept_text string").select(
         rows.real_id(F.col("id")).alias("doc_id"), "n_sentences", "n_removed", "kept_text")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_sentences, n_removed and SHA-256 of the text that is kept."""
-    return removed(docs).select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    """One row per document: doc_id, n_sentences, n_removed and SHA-256 of the text that is kept, by the wide rule."""
+    return removed(docs, wide=True).select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
