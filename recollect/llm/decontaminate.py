@@ -3,7 +3,7 @@
 Words are letters, digits and non-ASCII signs with A-Z lowered; punctuation and line ends don't count. An item of m words
 is compared with windows of m words of a document by their shingles of five words (m, if fewer). A shingle
 weighs as many bytes as its words have, once for each time it occurs; the similarity is the weighted Jaccard
-similarity, and a window with 0.8 or more is a hit.
+similarity, and a window with 0.8 or more is a hit. A document of fewer words than the item is a single window, all of it.
 
 1. Windows that share no shingle with an item of their size can't reach any similarity; all others get a
    SimHash of `BITS` bits from the weighted shingles. Running sums give all windows of one size at once.
@@ -17,7 +17,7 @@ The items are a stated query set: they are taken in blocks of about `ITEM_BYTES`
 against all documents in a pass without a shuffle.
 
 Cases: null or empty texts and texts without words have no hit; items without words never hit. Items of
-fewer than five words hit where their words stand. Rows with a null id are searched as well, repeated
+fewer than five words hit where their words stand; a document with fewer words than a shingle of the item shares none. Rows with a null id are searched as well, repeated
 rows each give their own hits, items with equal texts are all reported. Of several windows of a
 document for one item the most similar counts, of equals the first. An empty table gives an empty result.
 """
@@ -146,13 +146,15 @@ def search(words: Words, groups: list[Items]):
             hit = some[np.isin(hashes[some], g.known)]
             last = words.stops[words.of[hit]] - g.size  # the last window that ends inside the text
             low, high = np.maximum(hit - (g.size - width), words.begins[words.of[hit]]), np.minimum(hit, last)
+            texts = np.unique(words.of[hit[last < words.begins[words.of[hit]]]])  # shorter than the item
             low, high = low[low <= high], high[low <= high]
-            if not len(low):
-                continue
-            windows = np.unique(flat.spread(low, high - low + 1))
-            who, items, similar = _windows(g, hashes, weights, windows, g.size - width + 1)
-            on = similar >= THRESHOLD - 1e-12
-            found.append((words.of[windows[who[on]]], g.number[items[on]], similar[on], windows[who[on]], np.full(on.sum(), g.size)))
+            sets = [(np.unique(flat.spread(low, high - low + 1)), g.size)] if len(low) else []
+            counts = words.stops[texts] - words.begins[texts]
+            sets += [(words.begins[texts[counts == n]], int(n)) for n in np.unique(counts)]
+            for windows, size in sets:
+                who, items, similar = _windows(g, hashes, weights, windows, size - width + 1)
+                on = similar >= THRESHOLD - 1e-12
+                found.append((words.of[windows[who[on]]], g.number[items[on]], similar[on], windows[who[on]], np.full(on.sum(), size)))
     if not found:
         return None
     text, item, similar, first, size = (np.concatenate(x) for x in zip(*found))

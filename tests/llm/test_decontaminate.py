@@ -86,6 +86,33 @@ def test_clean_keeps_rows_whole(spark):
     assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id not in hit or r.text == "another text with the same id")
 
 
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(9)
+    items = [(i, cases.prose(rng, n, 5000).replace("\n", " ")) for i, n in enumerate((5, 8, 9, 12, 20, 40, 77))]
+    words = {i: item.split() for i, item in items}
+    texts, cut = [], []
+    for i, w in words.items():
+        for text in (w[:-1], w[1:], w[:-2], w[1:-1], w[:-(len(w) // 6)], w[:len(w) // 2], [*w[:-2], "unseen"]):
+            texts.append(" ".join(text))
+            cut.append((i, [m[0] for m in words_of(texts[-1])]))
+    docs = cases.frame(spark, texts)
+    items_frame = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for doc_id, (_, doc) in enumerate(cut):
+        for i, item in items:
+            own = [m[0] for m in words_of(item)]
+            if len(doc) < len(own):
+                a, b = weighted(doc, 5), weighted(own, 5)
+                low = sum(min(a[k], b[k]) for k in a if k in b)
+                if (s := low / (sum(a.values()) + sum(b.values()) - low)) >= 0.8 - 1e-12:
+                    want[doc_id, i] = (round(s, 9), 0, len(doc) - 1, 1)
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word, r.last_word, r.n_windows)
+           for r in dc.hits(docs, items_frame).collect() if len(cut[r.doc_id][1]) < len(words_of(items[r.item_id][1]))}
+    assert got == want and len(want) > 15 and {i for _, i in want} > {4, 5, 6}
+    whole = [" ".join(words[4][:-1]), " ".join(words[4][:10])]
+    assert [r.text for r in dc.clean(cases.frame(spark, whole), items_frame).collect()] == whole[1:]
+
+
 def test_empty_tables(spark):
     docs = cases.frame(spark, ["some words"])
     items = spark.createDataFrame([], "item_id long, text string")
