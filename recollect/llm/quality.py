@@ -36,7 +36,7 @@ SYMBOLS = b"#*$%&|<>"
 P = 5
 SUPPORT = 0.75
 STEPS = 5
-MIN_ROWS = 200
+MIN_ROWS = 5 * P  # the usual least number of rows for an MCD
 CUT = 0.99999
 # Least standard deviation of each transformed statistic: most texts have no symbols, repeated lines or
 # windows at all, and a few of them don't make a text junk.

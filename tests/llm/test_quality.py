@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 import re
 from collections import Counter
@@ -83,6 +84,18 @@ def test_junk_goes_and_prose_stays(spark):
     assert kept.columns == docs.columns and kept.count() == quality.judge(docs).where("kept").count()
 
 
+def test_groups_of_some_dozens_have_their_own_estimate(spark):
+    rng = random.Random(6)
+    made = [("en", source, cases.prose(rng, rng.randrange(*size), 2000)) for source, size, n in (
+        ("a", (40, 60), 40), ("b", (900, 1100), 40), ("c", (40, 60), 10)) for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, lang, source, len(t)) for i, (lang, source, t) in enumerate(made)], cases.SCHEMA)
+    found = {json.loads(r.own)["source"]: r for r in quality.estimates(quality.measured(docs)).collect()}
+    assert abs(found["a"].m4 - np.log(50)) < 0.2 and abs(found["b"].m4 - np.log(1000)) < 0.2
+    assert found["c"].m4 not in (found["a"].m4, found["b"].m4)  # ten rows: the estimate of the language
+    judged = quality.judge(docs).collect()
+    assert all(r.distance2 is not None for r in judged)
+
+
 def test_few_and_no_rows(spark):
     few = cases.frame(spark, ["one two three four five six seven eight nine ten eleven", "short", None])
     assert sorted((r.doc_id, r.kept) for r in quality.judge(few).collect()) == [(0, True), (1, False), (2, False)]
