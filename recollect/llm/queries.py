@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, language, licenses, ngram_join, pieces, pii, quality, spans, substrings, token_file
+from recollect.llm import alignment, decontaminate, language, licenses, ngram_join, pieces, pii, quality, spans, substrings, token_file
 from recollect.llm.rows import documents
 from recollect.session import checkpoint_dir
 
@@ -55,6 +55,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_file": op1_token_file,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -66,5 +70,6 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_array": op9_suffix_array,
     "op10_quality_rules": op10_quality_rules,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
 }
 ORACLE: dict[str, str] = {}
