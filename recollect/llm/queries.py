@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import alignment, decontaminate, language, licenses, ngram_join, pieces, pii, quality, spans, substrings, token_file
+from recollect.llm import (alignment, conversations, decontaminate, language, licenses, near_vectors, ngram_join, oracle, pieces,
+                           pii, quality, spans, substrings, token_file)
 from recollect.llm.rows import documents
 from recollect.session import checkpoint_dir
 
@@ -59,6 +60,15 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.links(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = documents(spark, sf_dir, "conversations")
+    return conversations.digests(table, conversations.damage(table))
+
+
 QUERIES = {
     "op1_token_file": op1_token_file,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -71,5 +81,10 @@ QUERIES = {
     "op9_suffix_array": op9_suffix_array,
     "op10_quality_rules": op10_quality_rules,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
+}
+ORACLE = {
+    "op12_embedding_near_dedup": oracle.NEAR_VECTORS,
+    "op13_conversation_repair": oracle.CONVERSATIONS,
 }
-ORACLE: dict[str, str] = {}
