@@ -273,6 +273,7 @@ class Tools:
         self.name = f"alignment{zlib.crc32(files[0])}-{zlib.crc32(files[1])}"
         own = Encoders(*files)
         self.sizes = spark.sparkContext.broadcast((own.a.sizes, own.b.sizes))
+        self.kind = "<u2" if max(len(own.a.sizes), len(own.b.sizes)) <= 1 << 16 else "<u4"  # of ids between the passes
 
     def encoders(self) -> Encoders:
         return flat.in_worker(self.name, lambda: Encoders(*self.files.value))
@@ -282,19 +283,19 @@ class Tools:
 
     def aligned(self, batch: pa.RecordBatch):
         """The batch in slices, each with its links."""
-        for part in flat.slices(batch, "a", 1 << 20):
-            a, b = ([np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in part.column(c)] for c in ("a", "b"))
+        for part in flat.slices(batch, "a", 1 << 19):
+            a, b = ([np.frombuffer(x.as_py(), self.kind).astype(np.int64) for x in part.column(c)] for c in ("a", "b"))
             yield part, Aligned(a, b, *self.sizes.value)
 
 
 def encoded(docs: DataFrame, tools: Tools) -> DataFrame:
-    """row, doc_id and the ids of A and B (unsigned 32-bit) of each document, written."""
+    """row, doc_id and the ids of A and B of each document, written."""
     def run(batches):
         encoders = tools.encoders()
         for batch in batches:
             for part in flat.slices(batch):
                 a, b = encoders.encode([t or "" for t in part.column("text").to_pylist()])
-                made = [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()) for ids in (a, b)]
+                made = [pa.array([x.astype(tools.kind).tobytes() for x in ids], pa.binary()) for ids in (a, b)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], names=["doc_id", "a", "b"])
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, a binary, b binary")
