@@ -29,6 +29,8 @@ from recollect.sources import files, sinks, vault
 from recollect.sources.brain import Brain, ExtractiveBrain, reorder, tagged
 from recollect.sources.embedding import Embedder, HashingEmbedder, embed_rows
 from recollect.sources.tables import Tables
+from recollect.sources.text_index import TextIndex
+from recollect.sources.vector_index import VectorIndex
 from recollect.streaming import feeds
 
 # How far each reasoning level of a chat goes.
@@ -45,7 +47,7 @@ class NotFound(LookupError):
 class Memory:
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None,
                  brain: Brain | None = None, settings: Settings | None = None, buckets: int = 16,
-                 only_workspace: str | None = None, clock=None, auto_tag: bool = False):
+                 only_workspace: str | None = None, clock=None, auto_tag: bool = False, index_texts: bool = False):
         self.spark = spark
         self.settings = settings or Settings.from_env()
         self.tables = Tables(spark, root, buckets)
@@ -53,6 +55,7 @@ class Memory:
         self.brain = brain or ExtractiveBrain()
         self.only = only_workspace
         self.auto_tag = auto_tag
+        self.texts = TextIndex(self.tables) if index_texts else None
         self._clock = clock or (lambda: datetime.now(timezone.utc))
 
     # -- helpers -----------------------------------------------------------------------------
@@ -66,6 +69,12 @@ class Memory:
         row = self.spark.range(1).select(tx.resolve_workspace(F.lit(name)).alias("w")).first()
         return row["w"]
 
+    @staticmethod
+    def _resolved(column: str) -> Column:
+        """H6 for a column; the shared workspace and no workspace stay as they are."""
+        named = (F.coalesce(column, F.lit("")) != "") & (F.col(column) != SHARED_WORKSPACE)
+        return F.when(named, tx.resolve_workspace(F.col(column))).otherwise(F.col(column)).alias(column)
+
     def _own(self, workspace: str) -> str:
         workspace = self.workspace_id(workspace) if workspace else ""
         if self.only and workspace != self.only:
@@ -90,6 +99,41 @@ class Memory:
     def _texts(items: list[str] | None) -> Column:
         return F.array(*[F.lit(i) for i in items or []]).cast("array<string>")
 
+    # -- the chunk table and its text index --------------------------------------------------
+    def _put(self, chunks: DataFrame) -> None:
+        chunks = cut_lineage(chunks)
+        self.tables.merge("chunks", chunks)
+        if self.texts:
+            self.texts.add(chunks)
+
+    def _drop(self, keys: DataFrame) -> None:
+        """Chunks by workspace, id and message."""
+        keys = cut_lineage(keys.select("id", *dml.MESSAGE))
+        self.tables.delete("chunks", keys)
+        if self.texts:
+            self.texts.remove(keys)
+
+    def _drop_where(self, gone: Column) -> None:
+        self.tables.delete_where("chunks", gone)
+        if self.texts:
+            self.texts.prune(self.tables.read("chunks"))
+
+    def reindex_texts(self) -> None:
+        """The text index of all chunks as they are stored, for a store that was filled without it."""
+        self.texts = self.texts or TextIndex(self.tables)
+        self.texts.sync(self.tables.read("chunks").select("workspace_id", "id", "document"))
+        self.texts.compact()
+
+    def index_vectors(self) -> VectorIndex:
+        """A1: the inverted file of the chunks' vectors: built at first, then brought up to date."""
+        path = self.tables.path("vector_index")
+        rows = search.content_rows(self.tables.read("chunks")).select("id", "embedding", *search.METADATA, "scope", "peer_id", "peer_ids")
+        if not self.tables.exists("vector_index/probes"):
+            return VectorIndex.build(rows, path)
+        index = VectorIndex(self.spark, path)
+        index.refresh(rows)
+        return index
+
     def _query(self, text: str) -> search.Query:
         if not text:
             raise ValueError("query is required")
@@ -112,9 +156,7 @@ class Memory:
             "message_id": F.coalesce("message_id", F.concat(F.lit("msg_"), F.left(F.sha2(F.concat_ws(
                 "|", "workspace_id", "session_id", "role", "content"), 256), F.lit(24)))),
             "created_at": F.coalesce("created_at", self.now()),
-            "workspace_id": F.when(F.col("workspace_id") == SHARED_WORKSPACE, F.col("workspace_id"))
-            .when(F.coalesce("workspace_id", F.lit("")) != "", tx.resolve_workspace(F.col("workspace_id")))
-            .otherwise(F.col("workspace_id"))})
+            "workspace_id": self._resolved("workspace_id")})
         checked = cut_lineage(predicates.validate_messages(rows, max_bytes))
         if self.only:
             other = F.col("error").isNull() & (F.col("workspace_id") != self.only)
@@ -131,7 +173,10 @@ class Memory:
         fresh = chunks.join(keepers.select(*dml.MESSAGE), dml.MESSAGE, "left_semi")
         if self.auto_tag:  # K5
             fresh = tagged(fresh, self.brain)
-        self.tables.merge("chunks", embed_rows(fresh, self.embedder, inflight=self.settings.embed_inflight))
+        # a message written again: what its old text had beyond the new one goes
+        tail = cut_lineage(dml.stale_tail(self._stored_for(sent).select("id", *dml.MESSAGE, "chunk_index"), fresh.select(*dml.MESSAGE, "total_chunks")))
+        self._put(embed_rows(fresh, self.embedder, inflight=self.settings.embed_inflight))
+        self._drop(tail)
         return checked.select("workspace_id", "message_id", "session_id", "role", F.col("error").isNull().alias("stored"), "error")
 
     def start_ingest(self, messages: DataFrame, checkpoint: str, **trigger):
@@ -193,7 +238,7 @@ class Memory:
         gone = predicates.equals(workspace_id=self._own(workspace), message_id=message_id)
         count = self._rows("chunks").where(gone).count()
         if count:
-            self.tables.delete_where("chunks", gone)
+            self._drop_where(gone)
         return count
 
     def update_messages(self, edits: DataFrame) -> None:
@@ -228,8 +273,8 @@ class Memory:
         refused = made.where("embedding IS NULL").select(*dml.MESSAGE).distinct()
         written = made.join(refused, dml.MESSAGE, "left_anti")
         tail = cut_lineage(plan.where("action = 'delete'").select("id", *dml.MESSAGE).join(refused, dml.MESSAGE, "left_anti"))
-        self.tables.merge("chunks", written)
-        self.tables.delete("chunks", tail)
+        self._put(written)
+        self._drop(tail)
         return old.select(*dml.MESSAGE).join(refused, dml.MESSAGE, "left_anti")
 
     def update_message(self, workspace: str, message_id: str, content: str | None = None,
@@ -247,7 +292,7 @@ class Memory:
             raise ValueError("invalid date")
         gone = (F.col("workspace_id") == self._own(workspace)) & (F.col("created_at") < limit)
         count = self._rows("chunks").where(gone).count()
-        self.tables.delete_where("chunks", gone)
+        self._drop_where(gone)
         return count
 
     # -- search ------------------------------------------------------------------------------
@@ -294,7 +339,10 @@ class Memory:
     def grep(self, needle: str, workspace: str, session: str = "", limit: int = 50) -> DataFrame:
         """M6."""
         where = predicates.equals(workspace_id=self._own(workspace), session_id=session)
-        return search.grep(self._chunks().drop("embedding"), needle, limit, where)
+        rows = self._chunks().drop("embedding")
+        if self.texts:  # only the texts that the index names are read
+            rows = self.texts.texts_of(self.texts.candidates([needle], [self._own(workspace)]), rows)
+        return search.grep(rows, needle, limit, where)
 
     # -- workspaces --------------------------------------------------------------------------
     def create_workspace(self, name: str, **extra) -> str:
@@ -678,9 +726,11 @@ class Memory:
                 F.lit("importance"), F.lit("3"), F.lit("agent"), F.lit("codeindex"),
                 F.lit("entities"), F.array_join("entities", ",")).alias("metadata"))
         chunks = cut_lineage(embed_rows(dml.to_chunks(rows), self.embedder, inflight=self.settings.embed_inflight))
-        tail = cut_lineage(dml.stale_tail(mine, chunks).select("id", "message_id", "workspace_id"))
-        self.tables.merge("chunks", chunks)
-        self.tables.delete("chunks", tail)
+        gone = mine.where("chunk_type = 'codefile'").join(seen.select(F.col("path").alias("source_path")), "source_path", "left_anti")
+        tail = dml.stale_tail(mine, chunks).select("id", *dml.MESSAGE).unionByName(gone.select("id", *dml.MESSAGE))
+        tail = cut_lineage(tail.distinct())
+        self._put(chunks)
+        self._drop(tail)
         edges = cut_lineage(codegraph.edge_rows(parsed))
         named = edges.withColumns({
             "workspace_id": F.lit(workspace),
@@ -719,7 +769,11 @@ class Memory:
             "id": F.concat("message_id", F.lit("_chunk_0")), "document": F.col("content"), "chunk_index": F.lit(0),
             "total_chunks": F.lit(1), "created_at": self.now(),
             "content_hash": tx.content_hash(F.col("workspace_id"), F.col("session_id"), F.col("content"))}).drop("content")
-        self.tables.merge("chunks", embed_rows(chunks, self.embedder, inflight=self.settings.embed_inflight))
+        chunks = cut_lineage(chunks)
+        left = self.tables.read("chunks").where((F.col("workspace_id") == workspace) & (F.col("source_type") == "vault-md"))
+        left = cut_lineage(vault.left_over(left, todo, chunks, found, registry))
+        self._put(embed_rows(chunks, self.embedder, inflight=self.settings.embed_inflight))
+        self._drop(left)
         return found.select("path", "digest")
 
     # -- usage, keys, webhooks ---------------------------------------------------------------
@@ -778,15 +832,13 @@ class Memory:
             queued.alias("pending_updates"), F.lit(0).alias("dropped_total"))
 
     def evaluate(self, facts: DataFrame, queries: DataFrame, n: int = 10) -> float:
-        """Stores the facts, asks the queries, and returns the recall. The queries of an
-        evaluation set are a short list."""
+        """Stores the facts, asks all queries (workspace_id, query, expected) at once, and returns the recall."""
         self.add_batch(facts)
-        asked = queries.collect()
-        hits = 0
-        for q in asked:
-            found = self.search(q["query"], q["workspace_id"], n=n).select("document").collect()
-            hits += any(q["expected"].lower() in r["document"].lower() for r in found)
-        return hits / max(len(asked), 1)
+        asked = queries.select(F.monotonically_increasing_id().alias("q"), self._resolved("workspace_id"), F.col("query").alias("document"), "expected")
+        if self.only and not asked.where(F.col("workspace_id") != self.only).isEmpty():
+            raise PermissionError("workspace mismatch")
+        asked = cut_lineage(embed_rows(cut_lineage(asked), self.embedder, inflight=self.settings.embed_inflight))
+        return search.recall(self._chunks(), asked.drop("document"), n, self.now(), self.settings.min_score).first()["recall"]
 
 
 def parse_tool(reply: str) -> tuple[str, dict]:

@@ -50,13 +50,58 @@ def near_any(queries: DataFrame, rows: DataFrame, keys: list[str], distance: flo
                     some = [q for q in questions if len(q["v"]) == width]
                     others = [s["v"] for s in stored if len(s["v"]) == width]
                     if others:
-                        best = (_unit(np.stack([q["v"] for q in some])) @ _unit(np.stack(others)).T).max(axis=1)
+                        best = (unit_rows(np.stack([q["v"] for q in some])) @ unit_rows(np.stack(others)).T).max(axis=1)
                         near += [q["key"] for q, b in zip(some, best) if b > 1 - distance]
                 yield pd.DataFrame([tuple(k[name] for name in keys) for k in near], columns=keys, dtype="object")
 
     return asked.join(known, group).select("asked", "known").mapInPandas(compare, kinds).distinct()
 
 
+def top_matches(queries: DataFrame, rows: DataFrame, keys: list[str], k: int, group: str = "workspace_id",
+                vector: str = "embedding", block: int = 512) -> DataFrame:
+    """keys, id, distance: the `k` nearest rows (`id`) of each query among the rows of its group, ties by id, exact. A query may stand in
+    several groups; its best rows of all of them are found. Vectors with components that are no numbers match nothing.
+
+    Blocks of queries meet blocks of rows as in `near_any`; each pair of blocks hands on at most `k` rows for each query, and the
+    best of those are kept by a partial aggregate. No pairs of rows leave a task.
+    """
+    asked = _packed(queries, group, block, vector, F.struct(*keys)).select(group, F.col("items").alias("asked"))
+    known = _packed(rows, group, block, vector, F.struct("id")).select(group, F.col("items").alias("known"))
+    id_kind = rows.schema["id"].dataType
+    kinds = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in keys)
+
+    def compare(batches):
+        for batch in batches:
+            for questions, stored in zip(batch["asked"], batch["known"]):
+                found = []
+                for width in {len(q["v"]) for q in questions}:
+                    some = [q for q in questions if len(q["v"]) == width]
+                    others = [s for s in stored if len(s["v"]) == width]
+                    if not others:
+                        continue
+                    far = 1 - unit_rows(np.stack([q["v"] for q in some])) @ unit_rows(np.stack([s["v"] for s in others])).T
+                    far[np.isnan(far)] = np.inf
+                    last = np.partition(far, min(k, len(others)) - 1, axis=1)[:, min(k, len(others)) - 1]
+                    for q, line, limit in zip(some, far, last):
+                        best = sorted((line[j], _plain(others[j]["key"]["id"])) for j in np.flatnonzero((line <= limit) & (line < np.inf)))[:k]
+                        found += [(*(q["key"][c] for c in keys), i, d) for d, i in best]
+                yield pd.DataFrame(found, columns=[*keys, "id", "distance"], dtype="object")
+
+    pairs = asked.join(known, group).select("asked", "known").mapInPandas(compare, f"{kinds}, id {id_kind.simpleString()}, distance double")
+    # at most k rows for each query and pair of blocks
+    split = pairs.groupBy(*keys, F.pmod(F.xxhash64("id"), F.lit(16)).alias("_s")).agg(_first(k))
+    return (split.select(*keys, F.explode("h").alias("h")).select(*keys, "h.*").groupBy(*keys).agg(_first(k))
+            .select(*keys, F.explode("h").alias("h")).select(*keys, "h.id", "h.distance"))
+
+
+def _first(k: int) -> Column:
+    return F.slice(F.sort_array(F.collect_list(F.struct("distance", "id"))), 1, k).alias("h")
+
+
+def _plain(value):
+    return tuple(value.values()) if isinstance(value, dict) else value
+
+
 def _packed(rows: DataFrame, group: str, block: int, vector: str, key: Column) -> DataFrame:
     """Blocks of about `block` vectors of a group; a row's block follows from its content."""
     held = rows.where(F.size(vector) > 0)
@@ -71,6 +116,6 @@ def other_widths(rows: DataFrame, width: int, vector: str = "embedding") -> Data
     return rows.agg(F.count_if(F.coalesce(F.size(vector), F.lit(-1)) != width).alias("unseen"))
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
+def unit_rows(m: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)

@@ -48,9 +48,10 @@ def _score(terms: list[str], stat) -> Column:
 
 
 def bm25(rows: DataFrame, terms: list[str], keys: list[str] | None = None,
-         text: str = "document") -> DataFrame:
+         text: str = "document", corpus: tuple[int, float] | None = None) -> DataFrame:
     """Rows with a score above zero, without their text. The corpus is `rows`, or with `keys`
-    the rows of each key.
+    the rows of each key. If `rows` are only those of a larger corpus that hold a term, `corpus` gives its number of texts
+    and their mean length.
 
     The texts are read once and never shuffled: the counts are written as a narrow table. For a
     single corpus its numbers are taken while the matching rows are written; with keys they are
@@ -68,7 +69,8 @@ def bm25(rows: DataFrame, terms: list[str], keys: list[str] | None = None,
     else:
         numbers = Observation()
         matching = cut_lineage(tf.observe(numbers, *_stats(terms)).where(_any_term(terms)))
-        found = {name: F.lit(float(n or 0.0)) for name, n in numbers.get.items()}
+        taken = numbers.get | ({"_docs": corpus[0], "_avg": corpus[1]} if corpus else {})
+        found = {name: F.lit(float(n or 0.0)) for name, n in taken.items()}
         scored = matching.withColumn("bm25", _score(terms, found.__getitem__))
     return scored.drop("_len", *_tf_columns(terms))
 

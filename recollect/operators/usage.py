@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import day_key, sanitize_agent
+from recollect.operators.skew import running
+from recollect.session import cut_lineage
 from recollect.settings import USAGE_RETENTION_DAYS, USAGE_TZ
 
 ACTIONS = ("search", "store", "ask", "chat", "code", "upload")
@@ -94,15 +96,16 @@ def sliding_count(events: DataFrame, key: str, ts: Column, seconds: float = 1.0,
                   out: str = "in_window") -> DataFrame:
     """For every distinct time of a key, the events in the `seconds` up to it (inclusive).
 
-    Equal times are counted first. Each count goes to its own time slot and, as context, to the
-    next one, and slots are windowed apart: a hot key is cut into slots, and at the limiter's
-    one-second slots no group exceeds two million rows (the distinct microseconds).
+    Equal times are counted first. Each count stands once at its own time and once, with nothing to add, at the begin of its window;
+    running sums over both kinds by range partitions then tell what there was up to now and before the window, and the difference is the
+    answer. No key, window or stretch of time is ever one task's.
     """
     width = int(seconds * 1_000_000)
-    counted = events.groupBy(key, F.unix_micros(ts).alias("us")).agg(F.count(F.lit(1)).alias("n"))
-    own = F.floor(F.col("us") / width).cast("bigint")
-    spread = counted.withColumn("slot", F.explode(F.array(own, own + 1)))
-    frame = "RANGE BETWEEN {w} PRECEDING AND CURRENT ROW".format(w=width)
-    summed = spread.withColumn(out, F.expr(
-        f"sum(n) OVER (PARTITION BY `{key}`, slot ORDER BY us {frame})"))
-    return summed.where(F.col("slot") == own).select(key, F.timestamp_micros("us").alias("ts"), "n", out)
+    counted = cut_lineage(events.groupBy(key, F.unix_micros(ts).alias("us")).agg(F.count(F.lit(1)).alias("n")))
+    # at equal times what begins a window comes before what happens
+    begins = counted.select(key, (F.col("us") - width).alias("at"), F.lit(0).alias("kind"), "us", F.lit(0).cast("bigint").alias("n"))
+    both = begins.unionByName(counted.select(key, F.col("us").alias("at"), F.lit(1).alias("kind"), "us", "n"))
+    summed = running(both.withColumn("_key", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))), ["_key"],
+                     [F.col("at"), F.col("kind")], F.col("n"), total="upto")
+    signed = F.when(F.col("kind") == 1, F.col("upto")).otherwise(-F.col("upto"))
+    return summed.groupBy(key, "us").agg(F.sum("n").alias("n"), F.sum(signed).alias(out)).select(key, F.timestamp_micros("us").alias("ts"), "n", out)

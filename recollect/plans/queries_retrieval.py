@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from recollect.functions.identifiers import lex_tokens, query_terms
@@ -9,6 +11,10 @@ from recollect.functions.vectors import score
 from recollect.operators import fusion, knn, lexical, predicates, skew
 from recollect.plans import fixtures as fx
 from recollect.plans import search
+from recollect.session import checkpoint_dir
+from recollect.sources.tables import Tables
+from recollect.sources.text_index import TextIndex
+from recollect.sources.vector_index import VectorIndex
 
 N = 10
 DREAM_NEAREST = 0.75  # about half of the vectors have one that near
@@ -41,6 +47,33 @@ def knn_excluded(spark, sf):
     return hits.orderBy("distance", "id").limit(N).select("id", "workspace_id", _r("distance"))
 
 
+def _vector_index(spark, sf):
+    rows = fx.vectors(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/recollect-index-{uuid.uuid4().hex}"
+    return rows, VectorIndex.build(rows, path)
+
+
+def _every_twentieth(rows):
+    return rows.where("vec_id % 20 = 0").select(F.col("id").alias("q"), "embedding", F.lit(0).alias("one"))
+
+
+def knn_indexed(spark, sf):
+    """The ten nearest rows of every twentieth vector, exact, through the inverted file."""
+    rows, index = _vector_index(spark, sf)
+    hits = index.search_many(_every_twentieth(rows), N, exact=True)
+    return hits.select("q", "id", "workspace_id", _r("distance"))
+
+
+def knn_index_recall(spark, sf):
+    """The same queries by the probed lists alone, next to brute force: at least nine of ten neighbours are found."""
+    rows, index = _vector_index(spark, sf)
+    asked = _every_twentieth(rows)
+    true = knn.top_matches(asked, rows.select("id", "embedding", F.lit(0).alias("one")), ["q"], N, "one").select("q", "id", F.lit(1).alias("true"))
+    got = index.search_many(asked, N).select("q", "id", F.lit(1).alias("got"))
+    both = true.join(got, ["q", "id"], "left")
+    return both.agg(F.countDistinct("q").alias("queries"), (F.count("got") >= 0.9 * F.count("true")).alias("recall_reached"))
+
+
 def conclusion_search(spark, sf):
     hits = search.conclusions(fx.vectors(spark, sf), fx.query_vector(spark, sf), N, "ws2")
     return hits.select("id", "workspace_id", _r("distance"), _r("score"), "rank")
@@ -185,6 +218,44 @@ def grep_first(spark, sf):
     return search.grep(rows, "The", 50, F.col("workspace_id") == "agent2").select("id", "session_id")
 
 
+def _text_index(spark, rows):
+    index = TextIndex(Tables(spark, f"{checkpoint_dir(spark).rstrip('/')}/recollect-texts-{uuid.uuid4().hex}"))
+    index.add(rows.select("workspace_id", "id", "document"))
+    return index
+
+
+def grep_indexed(spark, sf):
+    """`grep_messages` through the text index."""
+    rows = fx.messages(spark, sf).withColumnRenamed("message_id", "id")
+    return _text_index(spark, rows).grep(rows, "ENT").select("id", "workspace_id")
+
+
+def grep_index_changed(spark, sf):
+    """The index after a change: assistants' texts got an ending, system rows went."""
+    rows = fx.messages(spark, sf).withColumnRenamed("message_id", "id").select("id", "workspace_id", "role", "document")
+    index = _text_index(spark, rows)
+    now = rows.where("role <> 'system'").withColumn("document", F.when(
+        F.col("role") == "assistant", F.concat("document", F.lit(" Zyx"))).otherwise(F.col("document")))
+    index.sync(now.select("workspace_id", "id", "document"))
+    return index.grep(now, "zyx").unionByName(index.grep(now, "qu")).select("id", "workspace_id", "role")
+
+
+def bm25_indexed(spark, sf):
+    """`bm25_topk` through the text index."""
+    rows = fx.notes(spark, sf).select("workspace_id", "id", "document")
+    scored = _text_index(spark, rows).bm25(rows, query_terms(fx.QUERY_TEXT)).select("id", "bm25")
+    return scored.orderBy(F.col("bm25").desc(), "id").limit(20).select("id", _r("bm25"))
+
+
+def recall_by_search(spark, sf):
+    """Every twentieth vector asks for the first letters of its note, odd ones in a workspace that is not theirs."""
+    rows = fx.vector_notes(spark, sf)
+    asked = rows.where("doc_id % 20 < 2 and embedding is not null").select(
+        F.col("id").alias("q"), F.when(F.col("doc_id") % 2 == 1, "agent3").otherwise(F.col("workspace_id")).alias("workspace_id"), "embedding",
+        F.left("document", F.lit(2)).alias("expected"))
+    return search.recall(rows, asked, 3, fx.now(), FLOOR).select("queries", "found", _r("recall"))
+
+
 def ask_context(spark, sf):
     hits = search.semantic(fx.vector_notes(spark, sf), _query(spark, sf), 5,
                            search.Scope(workspace="agent2"), fx.now())
@@ -367,6 +438,11 @@ ORACLE = {
     "knn_topk": _knn_sql("true"),
     "knn_scoped": _knn_sql("workspace_id IN ('ws3', '_global')"),
     "knn_excluded": _knn_sql(_OPEN),
+    "knn_indexed": f"""WITH {fx.VECTORS_SQL}
+SELECT q.id AS q, v.id, v.workspace_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS distance
+FROM vec q, vec v WHERE q.vec_id % 20 = 0
+QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY 1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.id) <= {N}""",
+    "knn_index_recall": "SELECT count(*) AS queries, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0",
     "conclusion_search": f"""WITH {fx.VECTORS_SQL},
 top AS (SELECT id, workspace_id, {_DIST} AS d FROM vec WHERE workspace_id IN ('ws2', '_global')
         ORDER BY d, id LIMIT {N})
@@ -428,6 +504,23 @@ SELECT message_id AS id, workspace_id FROM msg WHERE contains(lower(document), '
     "grep_first": f"""WITH {fx.MESSAGES_SQL}
 SELECT message_id AS id, session_id FROM msg
 WHERE workspace_id = 'agent2' AND contains(lower(document), 'the') ORDER BY 1 LIMIT 50""",
+    "grep_indexed": f"""WITH {fx.MESSAGES_SQL}
+SELECT message_id AS id, workspace_id FROM msg WHERE contains(lower(document), 'ent')""",
+    "grep_index_changed": f"""WITH {fx.MESSAGES_SQL},
+now AS (SELECT message_id AS id, workspace_id, role, document || CASE role WHEN 'assistant' THEN ' Zyx' ELSE '' END AS document
+        FROM msg WHERE role <> 'system')
+SELECT id, workspace_id, role FROM now WHERE contains(lower(document), 'zyx')
+UNION ALL SELECT id, workspace_id, role FROM now WHERE contains(lower(document), 'qu')""",
+    "bm25_indexed": f"""WITH {fx.NOTES_SQL},{_bm25_sql('note', _TOKENS)}
+SELECT id, round(lexed.bm25, 6) AS bm25 FROM lexed ORDER BY lexed.bm25 DESC, id LIMIT 20""",
+    "recall_by_search": f"""WITH {fx.VECTOR_NOTES_SQL},
+asked AS (SELECT id AS q, CASE WHEN doc_id % 2 = 1 THEN 'agent3' ELSE workspace_id END AS space, embedding AS e, left(document, 2) AS expected
+          FROM vnote WHERE doc_id % 20 < 2 AND embedding IS NOT NULL),
+near AS (SELECT q, expected, v.*, 1 - list_cosine_similarity(v.embedding::DOUBLE[], e::DOUBLE[]) AS distance
+         FROM asked JOIN vnote v ON v.workspace_id IN (space, '_global') AND v.embedding IS NOT NULL
+         QUALIFY row_number() OVER (PARTITION BY q ORDER BY distance, v.workspace_id, v.id) <= 3),
+found AS (SELECT DISTINCT q FROM near WHERE contains(lower(document), lower(expected)) AND greatest(0, 1 - ({_DECAY})) >= {FLOOR})
+SELECT count(*) AS queries, count(found.q) AS found, round(count(found.q) / count(*), 6) AS recall FROM asked LEFT JOIN found USING (q)""",
     "ask_context": f"""WITH {_semantic_sql(_SCOPED2, 5)}
 SELECT sha256(string_agg(document, chr(10) ORDER BY rank)) AS digest FROM sem WHERE score >= {FLOOR}""",
     "ne_keeps_null": f"""WITH {fx.NOTES_SQL},

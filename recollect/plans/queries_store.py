@@ -261,6 +261,25 @@ def update_in_one_workspace(spark, sf):
     return _first_chunks(memory)
 
 
+def rewrite_message(spark, sf):
+    """L2: a message written again has its new text only, however long the old one was."""
+    memory = _memory(spark)
+    sent = _shared_ids(spark, sf)
+    memory.add_batch(sent)
+    memory.add_batch(sent.where("workspace_id = 'agent2'").withColumn("content", F.concat(F.lit("short text of "), "message_id")))
+    return memory.tables.read("chunks").groupBy(*dml.MESSAGE).agg(
+        F.max("content_hash").alias("content_hash"), (F.count(F.lit(1)) == F.max("total_chunks")).alias("complete"),
+        (F.min("content_hash") == F.max("content_hash")).alias("of_one_text"))
+
+
+def session_blocks_shared_ids(spark, sf):
+    """Ids that come again in other workspaces are turns of their own."""
+    m = fx.messages(spark, sf).withColumnRenamed("document", "content").withColumn(
+        "message_id", F.concat(F.lit("m"), F.floor(F.col("conv_id") / 6).cast("string"), F.lit("_"), F.col("turn").cast("string")))
+    blocks = sinks.turn_blocks(m, ("agent2",))
+    return blocks.select("file", "message_id", F.sha2("block", 256).alias("digest"))
+
+
 # --- the same in SQL --------------------------------------------------------------------------
 
 _ROWS = fx.MESSAGES_SQL + ", r AS (SELECT message_id, role, created_at, sha256(document) AS digest FROM msg)"
@@ -341,6 +360,12 @@ w(user_id, rn, us, accepted, passed) AS (
 SELECT user_id, us, accepted FROM w""",
     "session_blocks": f"""WITH {fx.MESSAGES_SQL}, b AS (
   SELECT *, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM msg)
+SELECT CASE WHEN workspace_id = 'agent2' THEN 'agent2' ELSE '_shared/knowledge/' || workspace_id END
+         || '/vault/10-memory/sessions/' || session_id || '.md' AS file, message_id,
+       sha256('## ' || stamp || ' · ' || role || ' · ' || message_id || chr(10) || chr(10) || document || chr(10)
+              || chr(10) || '<!-- turn:' || message_id || ' -->' || chr(10) || chr(10)) AS digest FROM b""",
+    "session_blocks_shared_ids": f"""WITH {fx.MESSAGES_SQL}, b AS (
+  SELECT * REPLACE ('m' || (conv_id // 6) || '_' || turn AS message_id), strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM msg)
 SELECT CASE WHEN workspace_id = 'agent2' THEN 'agent2' ELSE '_shared/knowledge/' || workspace_id END
          || '/vault/10-memory/sessions/' || session_id || '.md' AS file, message_id,
        sha256('## ' || stamp || ' · ' || role || ' · ' || message_id || chr(10) || chr(10) || document || chr(10)
@@ -360,6 +385,10 @@ SELECT provider, "at", status FROM l WHERE status = 'ok' AND before IS DISTINCT
     "stream_dedup_late": "SELECT DISTINCT user_id, event_type FROM events",
     "batch_write_shared_ids": f"""WITH {fx.NOTES_SQL}, {_STORED}
 SELECT workspace_id, message_id, sha256(workspace_id || '|s|' || document) AS content_hash FROM stored""",
+    "rewrite_message": f"""WITH {fx.NOTES_SQL}, {_STORED}, now AS (
+SELECT workspace_id, message_id, document FROM stored WHERE workspace_id <> 'agent2'
+UNION ALL SELECT DISTINCT 'agent2', 'm' || (doc_id // 6), 'short text of m' || (doc_id // 6) FROM note WHERE workspace_id = 'agent2')
+SELECT workspace_id, message_id, sha256(workspace_id || '|s|' || document) AS content_hash, true AS complete, true AS of_one_text FROM now""",
     "update_in_one_workspace": f"""WITH {fx.NOTES_SQL}, {_STORED}
 SELECT workspace_id, message_id,
        sha256(workspace_id || '|s|' || CASE workspace_id WHEN 'agent2' THEN 'new text of ' || message_id ELSE document END)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recollect.functions.identifiers import lex_tokens, query_terms
 from recollect.functions.vectors import score
 from recollect.operators.fusion import decay, rerank, rrf
-from recollect.operators.knn import nearest, with_distance
+from recollect.operators.knn import nearest, top_matches, with_distance
 from recollect.operators.lexical import bm25
 from recollect.operators.predicates import (differs, equals, is_edge, not_excluded,
                                             role_or_unknown, visible, within)
@@ -220,6 +220,25 @@ def conclusions(rows: DataFrame, vector: list[float], n: int, workspace: str) ->
     return nearest(rows, vector, n, seen).withColumn("score", score(F.col("distance")))
 
 
+def recall(rows: DataFrame, asked: DataFrame, n: int, now: Column, min_score: float) -> DataFrame:
+    """Queries, found and recall of many searches at once. `asked` are (q, workspace_id, embedding, expected); a query is found if
+    one of the `n` nearest rows of its workspace and the shared one passes the floor and holds the expected text in any case.
+
+    Queries and rows of a workspace meet in blocks; keys and distances alone are handed on, and texts are joined to the hits."""
+    rows = content_rows(rows)
+    spaces = F.array_distinct(F.array(F.col("workspace_id"), F.lit(SHARED_WORKSPACE)))
+    each = asked.select("q", "embedding", F.explode(spaces).alias("workspace_id"))
+    hits = top_matches(each, rows.select(F.struct("workspace_id", "id").alias("id"), "workspace_id", "embedding"), ["q"], n)
+    hits = cut_lineage(hits.select("q", "id.*", "distance"))
+    keys = hits.select("workspace_id", "id").distinct()
+    texts = join_lookup(rows.select("workspace_id", "id", "role", "importance", "created_at", "document"), keys, ["workspace_id", "id"], "left_semi")
+    scored = decay(hits.join(texts, ["workspace_id", "id"]), now).withColumn("score", score(F.col("distance")))
+    holds = F.contains(F.lower("document"), F.lower("expected"))
+    found = floor(scored, min_score).join(asked.select("q", "expected"), "q").where(holds).select("q").distinct().withColumn("found", F.lit(1))
+    return asked.select("q").join(found, "q", "left").agg(
+        F.count(F.lit(1)).alias("queries"), F.count("found").alias("found"), F.coalesce(F.avg(F.coalesce("found", F.lit(0))), F.lit(0.0)).alias("recall"))
+
+
 def context_text(hits: DataFrame, min_score: float) -> DataFrame:
     """M8: the texts of the hits above the floor, in rank order; null when there are none."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "document"))),

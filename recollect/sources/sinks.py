@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import session_file_name, vault_owner_dir
+from recollect.operators.dml import MESSAGE
 from recollect.operators.predicates import subscribed
+from recollect.operators.skew import first_seen
 
 
 def allowed(workspace: Column, names: str) -> Column:
@@ -23,7 +25,7 @@ def allowed(workspace: Column, names: str) -> Column:
 
 
 def turn_blocks(messages: DataFrame, owners: tuple[str, ...] = ()) -> DataFrame:
-    """Each turn as the Markdown block its session file holds; a message counts once."""
+    """Each turn as the Markdown block its session file holds; a message counts once in its workspace."""
     at = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     marker = F.concat(F.lit("<!-- turn:"), "message_id", F.lit(" -->"))
     file = F.concat_ws("/", vault_owner_dir(F.col("workspace_id"), owners),
@@ -34,7 +36,8 @@ def turn_blocks(messages: DataFrame, owners: tuple[str, ...] = ()) -> DataFrame:
         F.lit("\nstatus: staging\ncreated_at: "), at, F.lit("\n---\n\n# Session "), "session_id", F.lit("\n\n"))
     block = F.concat(F.lit("## "), at, F.lit(" · "), "role", F.lit(" · "), "message_id", F.lit("\n\n"),
                      "content", F.lit("\n\n"), marker, F.lit("\n\n"))
-    return messages.dropDuplicates(["message_id"]).select(
+    once = first_seen(messages.select(*MESSAGE, "session_id", "role", "content", "created_at"), MESSAGE, [F.col("created_at"), F.col("content")])
+    return once.select(
         file.alias("file"), "created_at", "message_id", head.alias("head"), block.alias("block"),
         marker.alias("marker"))
 

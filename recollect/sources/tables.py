@@ -58,6 +58,13 @@ class Tables:
         stored = T.StructType(wanted.fields + [T.StructField("bucket", T.IntegerType())])
         return self.spark.read.schema(stored).parquet(self.path(name)).select(*wanted.names)
 
+    def having(self, name: str, values: list[str]) -> DataFrame:
+        """The rows whose last key column is one of the values: their buckets are folders, so no others are read."""
+        stored = self._stored(name)
+        buckets = [F.pmod(F.xxhash64(F.lit(v)), F.lit(self.buckets)).cast("int") for v in values]
+        own = F.col(schema.KEYS[name][-1]).isin(values)
+        return stored.where(F.col("bucket").isin(buckets) & own).drop("bucket") if values else stored.limit(0).drop("bucket")
+
     def _placed(self, name: str, rows: DataFrame) -> DataFrame:
         """Rows in the table's columns with their bucket; without a key any bucket will do."""
         keys = schema.KEYS.get(name)

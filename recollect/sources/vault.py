@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions.markdown import markdown_chunks
 from recollect.functions.text import (clean_space, extract_entities, importance_for, keyword_tags,
                                       parent_doc_id)
-from recollect.operators.skew import absent
+from recollect.operators.skew import absent, join_lookup
 from recollect.sources.tree import list_tree, read_files
 
 
@@ -28,6 +28,14 @@ def changed(files: DataFrame, registry: DataFrame | None, reindex: bool = False)
     return absent(files, registry, ["path", "digest"])
 
 
+def left_over(stored: DataFrame, todo: DataFrame, written: DataFrame, found: DataFrame, registry: DataFrame | None) -> DataFrame:
+    """Stored chunks that a new version of their file no longer has, and those of registered files that are gone."""
+    touched = todo.select(F.col("path").alias("source_path"))
+    if registry is not None:
+        touched = touched.unionByName(registry.join(found, "path", "left_anti").select(F.col("path").alias("source_path")))
+    return absent(join_lookup(stored, touched.distinct(), ["source_path"], "left_semi"), written, ["workspace_id", "message_id"])
+
+
 def messages(files: DataFrame, workspace: str, known_entities: list[str],
              language: str = "en") -> DataFrame:
     """Files as one message per chunk with their flat metadata, in the shape of the chunk table."""
