@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.engine import Memory
 from recollect.functions import text as tx
-from recollect.operators import dml, knn, limiter, pending, predicates
+from recollect.operators import dml, fingerprints, knn, limiter, pending, predicates
 from recollect.plans import fixtures as fx
 from recollect.settings import MAX_CONTENT_BYTES
 from recollect.sources import sinks
@@ -280,6 +280,15 @@ def session_blocks_shared_ids(spark, sf):
     return blocks.select("file", "message_id", F.sha2("block", 256).alias("digest"))
 
 
+def set_equality(spark, sf):
+    """Orders next to a copy in which some changed by one byte, some are missing and some stand twice or were added."""
+    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    key = F.col("o_orderkey")
+    copy = o.where(key % 89 != 0).withColumn("o_orderstatus", F.when(key % 97 == 0, "~").otherwise(F.col("o_orderstatus")))
+    copy = copy.unionByName(o.where(key % 83 == 0)).unionByName(o.where(key % 101 == 0).withColumn("o_orderkey", -key))
+    return fingerprints.differences(o, copy.repartition(3), ["o_orderkey"])
+
+
 # --- the same in SQL --------------------------------------------------------------------------
 
 _ROWS = fx.MESSAGES_SQL + ", r AS (SELECT message_id, role, created_at, sha256(document) AS digest FROM msg)"
@@ -385,6 +394,13 @@ SELECT provider, "at", status FROM l WHERE status = 'ok' AND before IS DISTINCT
     "stream_dedup_late": "SELECT DISTINCT user_id, event_type FROM events",
     "batch_write_shared_ids": f"""WITH {fx.NOTES_SQL}, {_STORED}
 SELECT workspace_id, message_id, sha256(workspace_id || '|s|' || document) AS content_hash FROM stored""",
+    "set_equality": """WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders),
+copy AS (SELECT * REPLACE (CASE WHEN o_orderkey % 97 = 0 THEN '~' ELSE o_orderstatus END AS o_orderstatus) FROM o WHERE o_orderkey % 89 <> 0
+         UNION ALL SELECT * FROM o WHERE o_orderkey % 83 = 0 UNION ALL SELECT * REPLACE (-o_orderkey AS o_orderkey) FROM o WHERE o_orderkey % 101 = 0),
+a AS (SELECT o_orderkey, list_sort(list(o::VARCHAR)) AS r FROM o GROUP BY 1), b AS (SELECT o_orderkey, list_sort(list(copy::VARCHAR)) AS r FROM copy GROUP BY 1)
+SELECT o_orderkey, coalesce(len(a.r), 0) AS live_rows, coalesce(len(b.r), 0) AS restored_rows,
+       CASE WHEN b.r IS NULL THEN 'missing' WHEN a.r IS NULL THEN 'extra' ELSE 'changed' END AS status
+FROM a FULL JOIN b USING (o_orderkey) WHERE a.r IS DISTINCT FROM b.r""",
     "rewrite_message": f"""WITH {fx.NOTES_SQL}, {_STORED}, now AS (
 SELECT workspace_id, message_id, document FROM stored WHERE workspace_id <> 'agent2'
 UNION ALL SELECT DISTINCT 'agent2', 'm' || (doc_id // 6), 'short text of m' || (doc_id // 6) FROM note WHERE workspace_id = 'agent2')

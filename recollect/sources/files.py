@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recollect import schema
 from recollect.functions.text import language_for
 from recollect.operators.dml import reconcile
+from recollect.operators.fingerprints import differences
 from recollect.settings import MAX_CODE_FILE_BYTES, METADATA_KEYS
 from recollect.sources.tree import list_tree, read_files
 
@@ -133,3 +134,10 @@ def verify_backup(tables, path: str, name: str = "chunks", key: str = "workspace
     """Per workspace the live and the restored row counts."""
     restored = tables.spark.read.schema(tables.schema(name)).parquet(f"{path}/{name}")
     return reconcile(tables.read(name), restored, key)
+
+
+def backup_differences(tables, path: str, name: str) -> DataFrame:
+    """The keys of a table under which its copy differs, byte for byte."""
+    live = tables.read(name)
+    copy = tables.spark.read.schema(live.schema).parquet(f"{path}/{name}")
+    return differences(live, copy, schema.KEYS[name])

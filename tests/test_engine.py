@@ -155,6 +155,13 @@ def test_recall(memory, spark):
 def test_backup_export_import(memory, spark, tmp_path):
     files.backup(memory.tables, str(tmp_path / "copy"))
     assert {r["status"] for r in files.verify_backup(memory.tables, str(tmp_path / "copy")).collect()} == {"equal"}
+    assert files.backup_differences(memory.tables, str(tmp_path / "copy"), "chunks").count() == 0
+    copy = memory.spark.read.parquet(str(tmp_path / "copy" / "chunks"))
+    hurt = copy.limit(1).select("id").first()["id"]
+    copy.withColumn("document", F.when(F.col("id") == hurt, F.concat("document", F.lit("!"))).otherwise(F.col("document"))).write.parquet(
+        str(tmp_path / "hurt" / "chunks"))
+    found = files.backup_differences(memory.tables, str(tmp_path / "hurt"), "chunks").collect()
+    assert [(r["id"], r["status"]) for r in found] == [(hurt, "changed")]
     files.export_workspace(memory.tables.read("chunks"), "team_a", str(tmp_path / "out"))
     again = files.import_workspace(spark, str(tmp_path / "out"), "moved")
     memory.add_batch(again)
