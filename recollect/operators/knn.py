@@ -57,6 +57,13 @@ def near_any(queries: DataFrame, rows: DataFrame, keys: list[str], distance: flo
     return asked.join(known, group).select("asked", "known").mapInPandas(compare, kinds).distinct()
 
 
+def in_parts(queries: DataFrame, rows: DataFrame, parts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Queries that are to meet all rows, for `top_matches` by `part`: rows are spread over the parts by their id, and every query
+    stands in each of them, so that they are joined by a key."""
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    return queries.withColumn("part", numbers), rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+
+
 def top_matches(queries: DataFrame, rows: DataFrame, keys: list[str], k: int, group: str = "workspace_id",
                 vector: str = "embedding", block: int = 512) -> DataFrame:
     """keys, id, distance: the `k` nearest rows (`id`) of each query among the rows of its group, ties by id, exact. A query may stand in

@@ -54,7 +54,7 @@ def _vector_index(spark, sf):
 
 
 def _every_twentieth(rows):
-    return rows.where("vec_id % 20 = 0").select(F.col("id").alias("q"), "embedding", F.lit(0).alias("one"))
+    return rows.where("vec_id % 20 = 0").select(F.col("id").alias("q"), "embedding")
 
 
 def knn_indexed(spark, sf):
@@ -68,7 +68,7 @@ def knn_index_recall(spark, sf):
     """The same queries by the probed lists alone, next to brute force: at least nine of ten neighbours are found."""
     rows, index = _vector_index(spark, sf)
     asked = _every_twentieth(rows)
-    true = knn.top_matches(asked, rows.select("id", "embedding", F.lit(0).alias("one")), ["q"], N, "one").select("q", "id", F.lit(1).alias("true"))
+    true = knn.top_matches(*knn.in_parts(asked, rows.select("id", "embedding")), ["q"], N, "part").select("q", "id", F.lit(1).alias("true"))
     got = index.search_many(asked, N).select("q", "id", F.lit(1).alias("got"))
     both = true.join(got, ["q", "id"], "left")
     return both.agg(F.countDistinct("q").alias("queries"), (F.count("got") >= 0.9 * F.count("true")).alias("recall_reached"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.operators.knn import nearest, top_matches, unit_rows
+from recollect.operators.knn import in_parts, nearest, top_matches, unit_rows
 from recollect.operators.skew import join_lookup, top_rows
 from recollect.session import cut_and_count, cut_lineage
 
@@ -161,9 +161,10 @@ class VectorIndex:
         own = self.rows().where(F.col("list") != LOOSE).select(*KEY, "list", "embedding")
         n = own.count()
         some = own.where(F.pmod(F.xxhash64("id", *KEY), F.lit(max(1, n // CALIBRATION_ROWS))) == 0).orderBy(F.xxhash64(*KEY)).limit(2 * CALIBRATION_ROWS)
-        asked = cut_lineage(some.select(F.concat_ws("/", *KEY).alias("q"), "embedding", F.lit(0).alias("all")))
-        true = top_matches(asked, own.select(F.col("list").alias("id"), "embedding", F.lit(0).alias("all")), ["q"], k, "all")
-        order = self._orders(asked.select("q", "embedding"))
+        asked = cut_lineage(some.select(F.concat_ws("/", *KEY).alias("q"), "embedding"))
+        every, parts = in_parts(asked, own.select("id", "list", "embedding"))
+        true = top_matches(every, parts.select(F.col("list").alias("id"), "embedding", "part"), ["q"], k, "part")
+        order = self._orders(asked)
         place = true.join(order, "q").select(F.expr("array_position(lists, id)").alias("place"))
         needed = place.agg(F.percentile("place", F.lit(recall)).alias("p")).first()["p"]
         probes = int(np.ceil(needed)) if needed else 1

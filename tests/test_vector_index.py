@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators.knn import nearest, top_matches
+from recollect.operators.knn import in_parts, nearest, top_matches
 from recollect.sources.vector_index import VectorIndex
 
 SCHEMA = "workspace_id STRING, id STRING, embedding ARRAY<FLOAT>, role STRING"
@@ -56,9 +56,12 @@ def test_exact_and_filtered(spark, index):
 
 def test_recall_of_many(spark, index):
     df, found = index
-    asked = df.where("id like 'r0_%0'").select(F.col("id").alias("q"), "embedding", F.lit(0).alias("one"))
-    rows = df.where("size(embedding) = 16 and id not in ('zero', 'odd')").select("id", "embedding", F.lit(0).alias("one"))
-    true = {(r.q, r.id) for r in top_matches(asked, rows, ["q"], 10, "one").collect()}
+    asked = df.where("id like 'r0_%0'").select(F.col("id").alias("q"), "embedding")
+    rows = df.where("size(embedding) = 16 and id not in ('zero', 'odd')").select("id", "embedding")
+    matched = top_matches(*in_parts(asked, rows), ["q"], 10, "part")
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    true = {(r.q, r.id) for r in matched.collect()}
     got = found.search_many(asked, 10)
     assert len(true & {(r.q, r.id) for r in got.collect()}) >= 0.9 * len(true)
     exact = {(r.q, r.id) for r in found.search_many(asked, 10, F.col("id").like("r0%"), exact=True).collect()}
