@@ -708,13 +708,18 @@ class Memory:
 
     # -- code --------------------------------------------------------------------------------
     def index_code(self, workspace: str, path: str, roots: list[str] | None = None) -> DataFrame:
-        """Indexes a source tree; unchanged files are skipped, edges are made anew from all
-        files. Returns the report."""
+        """Indexes a source tree; files stored with their present hash are neither parsed nor stored
+        again, and edges change only by what changed and removed files do to them. Returns the report."""
         workspace = self._own(workspace)
         seen = cut_lineage(files.scan_code(self.spark, path, roots))
-        parsed = codegraph.parse(files.code_sources(seen, path))
+        sources = cut_lineage(files.code_sources(seen, path).withColumn("file_hash", tx.file_hash(F.col("source"))))
         mine = self._rows("chunks").where(F.col("workspace_id") == workspace)
-        todo = cut_lineage(codegraph.changed_files(parsed, mine.where("source_path IS NOT NULL").select("source_path", "file_hash")))
+        held = self.tables.read("code_files").where(F.col("workspace_id") == workspace).drop("workspace_id")
+        chunked = mine.where("source_path IS NOT NULL").select("source_path", "file_hash")
+        listed = held.select(F.col("path").alias("source_path"), "file_hash")
+        parsed = codegraph.parse(codegraph.changed_files(sources, chunked).unionByName(codegraph.changed_files(sources, listed))
+                                 .dropDuplicates(["path"]).select("path", "source"))
+        todo = cut_lineage(codegraph.changed_files(parsed, chunked))
         rows = codegraph.file_messages(todo).select(
             "message_id", F.lit(workspace).alias("workspace_id"), F.lit("code-index").alias("session_id"),
             F.lit("system").alias("role"), "content", F.lit(None).cast("string").alias("scope"),
@@ -731,15 +736,20 @@ class Memory:
         tail = cut_lineage(tail.distinct())
         self._put(chunks)
         self._drop(tail)
-        edges = cut_lineage(codegraph.edge_rows(parsed))
-        named = edges.withColumns({
+        edges = self.tables.read("code_edges").where(F.col("workspace_id") == workspace)
+        changed = cut_lineage(codegraph.postings(codegraph.changed_files(parsed, listed)))
+        left = cut_lineage(held.select("path").join(sources.select("path"), "path", "left_anti"))
+        ended, fresh = (cut_lineage(part) for part in codegraph.edge_rows_delta(edges, held, changed, left))
+        named = fresh.withColumns({
             "workspace_id": F.lit(workspace),
             "id": tx.edge_id("codeedge_", *[F.col(c) for c in ("src", "rel", "dst")])})
-        made = cut_lineage(first_seen(named, ["workspace_id", "id"], [F.col("file")]))
-        before = self.tables.read("code_edges").where(F.col("workspace_id") == workspace)
-        self.tables.delete("code_edges", cut_lineage(before.join(made, ["workspace_id", "id"], "left_anti")))
-        self.tables.merge("code_edges", made)
-        return codegraph.index_report(seen, parsed, todo, edges, MAX_CODE_FILE_BYTES)
+        self.tables.delete("code_edges", ended)
+        self.tables.merge("code_edges", first_seen(named, ["workspace_id", "id"], [F.col("file")]))
+        # last, so that a run that breaks off before finds the same files changed again
+        self.tables.delete("code_files", left.withColumn("workspace_id", F.lit(workspace)))
+        self.tables.merge("code_files", changed.withColumn("workspace_id", F.lit(workspace)))
+        edges = self.tables.read("code_edges").where(F.col("workspace_id") == workspace)
+        return codegraph.index_report(seen, sources, todo, edges, MAX_CODE_FILE_BYTES)
 
     def symbols(self, workspace: str, file: str = "", limit: int = 200, offset: int = 0) -> DataFrame:
         """F10."""

@@ -52,6 +52,81 @@ def edge_rows(parsed: DataFrame) -> DataFrame:
     return calls.unionByName(imports)
 
 
+def postings(parsed: DataFrame) -> DataFrame:
+    """What the call graph keeps of a file: its symbols with the words of their bodies, and its imports."""
+    return parsed.select("path", "file_hash", F.transform(
+        "symbols", lambda s: F.struct(s["name"].alias("name"), code_tokens(s["body"]).alias("tokens"))).alias("symbols"), "imports")
+
+
+def _definitions(files: DataFrame) -> DataFrame:
+    return files.select("path", F.posexplode(F.transform("symbols", lambda s: s["name"])).alias("position", "callee")).select(
+        F.lower("callee").alias("token"), "callee", "path", "position")
+
+
+def _meanings(files: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, callee) for those of the tokens that are a symbol's name; the first definition counts."""
+    named = join_lookup(_definitions(files), tokens, ["token"], "left_semi")
+    return first_seen(named, ["token"], [F.col("path"), F.col("position")]).select("token", "callee")
+
+
+def _words(files: DataFrame) -> DataFrame:
+    """(caller, token, path, position) of every word in the body of a symbol."""
+    return files.select("path", F.posexplode("symbols").alias("position", "s")).select(
+        F.col("s.name").alias("caller"), F.explode("s.tokens").alias("token"), "path", "position")
+
+
+def call_edges_delta(stored: DataFrame, changed: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """I6, kept up to date: what changed and removed files do to the call edges.
+
+    `stored` are the postings before, `changed` those of new and edited files, `gone` the paths of
+    removed ones. Returns the (caller, token) pairs whose edge may have changed, and the edges
+    (caller, callee, file) these pairs have now; an edge belongs to the pair of its caller and the
+    lower-case name of its callee, and all other edges stand.
+
+    Pairs in question are the words of the files concerned, before and after (new callers with all
+    symbols), and all words that name a symbol whose first definition appeared, went or moved (all
+    callers with new symbols). Only stored postings are read: no body of an unchanged file. A file both
+    changed and gone counts as changed; paths that were never stored change nothing.
+    """
+    # one row for each file of the change, however large the change
+    touched = cut_lineage(changed.select("path").unionByName(gone.select("path")).distinct())
+    before = cut_lineage(join_lookup(stored, touched, ["path"], "left_semi"))
+    now = join_lookup(stored, touched, ["path"], "left_anti").unionByName(changed.select(*stored.columns))
+    names = cut_lineage(_definitions(before).unionByName(_definitions(changed)).select("token").distinct())
+    was, is_ = (_meanings(files, names).withColumnRenamed("callee", c) for files, c in ((stored, "was"), (now, "is")))
+    moved = was.join(is_, "token", "full_outer").where(~F.col("was").eqNullSafe(F.col("is"))).select("token")
+    theirs = _words(before).unionByName(_words(changed)).select("caller", "token")
+    others = join_lookup(_words(now), moved, ["token"], "left_semi").select("caller", "token")
+    pairs = cut_lineage(theirs.unionByName(others).distinct())
+    known = _meanings(now, pairs.select("token").distinct())
+    # words that name no symbol leave before anything is grouped
+    calls = join_lookup(join_lookup(_words(now), known, ["token"], "inner").where("caller <> callee"),
+                        pairs, ["caller", "token"], "left_semi")
+    made = first_seen(calls.select("caller", "callee", "path", "position"), ["caller", "callee"],
+                      [F.col("path"), F.col("position")])
+    return pairs, made.select("caller", "callee", F.col("path").alias("file"))
+
+
+def edge_rows_delta(edges: DataFrame, stored: DataFrame, changed: DataFrame,
+                    gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """I7, I8, kept up to date: the stored edges (src, rel, dst, file and others) that end, and the rows
+    (src, rel, dst, file) that are new or have another file now."""
+    pairs, calls = call_edges_delta(stored, changed, gone)
+    touched = changed.select("path").unionByName(gone.select("path")).distinct()
+    imports = changed.select(F.col("path").alias("src"), F.lit("imports").alias("rel"),
+                             F.explode("imports").alias("dst"), F.col("path").alias("file")).distinct()
+    made = cut_lineage(calls.select(F.col("caller").alias("src"), F.lit("calls").alias("rel"),
+                                    F.col("callee").alias("dst"), "file").unionByName(imports))
+    asked = join_lookup(edges.where("rel = 'calls'").withColumns({"caller": F.col("src"), "token": F.lower("dst")}),
+                        pairs, ["caller", "token"], "left_semi").select(*edges.columns)
+    theirs = join_lookup(edges.where("rel = 'imports'").withColumn("path", F.col("src")), touched, ["path"],
+                         "left_semi").select(*edges.columns)
+    affected = cut_lineage(asked.unionByName(theirs))
+    ended = affected.join(made.select("src", "rel", "dst"), ["src", "rel", "dst"], "left_anti").select(*edges.columns)
+    fresh = made.join(affected.select("src", "rel", "dst", "file"), ["src", "rel", "dst", "file"], "left_anti")
+    return ended, fresh.select("src", "rel", "dst", "file")
+
+
 def callers(edges: DataFrame, symbol: str | None = None) -> DataFrame:
     """Who calls a symbol, or the callers of every symbol."""
     calls = edges.where("rel = 'calls'")

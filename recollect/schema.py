@@ -46,6 +46,8 @@ MESSAGES_IN = """
 API_KEYS = "id STRING, workspace_id STRING, prefix STRING, created_at TIMESTAMP"
 WEBHOOKS = "workspace_id STRING, url STRING, events ARRAY<STRING>"
 TEXT_DOCS = "workspace_id STRING, id STRING, entry BIGINT, words INT"
+CODE_FILES = ("workspace_id STRING, path STRING, file_hash STRING, imports ARRAY<STRING>, "
+              "symbols ARRAY<STRUCT<name: STRING, tokens: ARRAY<STRING>>>")
 TEXT_GRAMS = "workspace_id STRING, entry BIGINT, gram STRING"
 GRAPH_NODES = "id STRING, type STRING, label STRING"
 GRAPH_EDGES = "from STRING, to STRING, relation STRING, weight DOUBLE"
@@ -55,7 +57,7 @@ TABLES = {
     "reasoning": REASONING, "code_edges": CODE_EDGES, "peers": PEERS,
     "peer_cards": PEER_CARDS, "scopes": SCOPES, "workspaces": WORKSPACES, "usage": USAGE,
     "pending": PENDING, "api_keys": API_KEYS, "webhooks": WEBHOOKS,
-    "text_docs": TEXT_DOCS, "text_grams": TEXT_GRAMS,
+    "text_docs": TEXT_DOCS, "text_grams": TEXT_GRAMS, "code_files": CODE_FILES,
 }
 # The columns that identify one row of each table. Ids are unique inside a workspace only.
 KEYS = {
@@ -64,5 +66,5 @@ KEYS = {
     "code_edges": ["workspace_id", "id"], "peers": ["workspace_id", "peer_name"],
     "peer_cards": ["workspace_id", "peer_id"], "scopes": ["workspace_id", "scope_name"],
     "workspaces": ["workspace_id"], "pending": ["workspace_id", "message_id"], "api_keys": ["id"],
-    "webhooks": ["workspace_id", "url"], "text_docs": ["workspace_id", "id"], "text_grams": ["workspace_id", "entry", "gram"],
+    "webhooks": ["workspace_id", "url"], "code_files": ["workspace_id", "path"], "text_docs": ["workspace_id", "id"], "text_grams": ["workspace_id", "entry", "gram"],
 }

@@ -138,6 +138,13 @@ def test_vault_and_code(memory, tmp_path):
     assert {r["file"]: r["symbols"] for r in memory.symbols("code").collect()} == {"__init__.py": ["helper"], "main.py": ["run"]}
     with pytest.raises(ValueError):
         memory.index_code("code", str(src), [str(notes)])
+    (src / "__init__.py").unlink()
+    (src / "main.py").write_text("import os\n\ndef run():\n    return fresh()\n")
+    (src / "new.py").write_text("def fresh():\n    return run()\n")
+    assert memory.index_code("code", str(src)).first()["edges"] == 3
+    assert memory.callers("code", "helper").count() == 0
+    assert [r["caller"] for r in memory.callers("code", "fresh").collect()] == ["run"]
+    assert {r["path"] for r in memory.tables.read("code_files").collect()} == {"main.py", "new.py"}
 
 
 def test_recall(memory, spark):
