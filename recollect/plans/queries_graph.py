@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recollect.operators import codegraph, graph, provenance
 from recollect.plans import fixtures as fx
 from recollect.plans.queries_text import KNOWN, MARKDOWN_SQL
+from recollect.session import cut_lineage
 
 
 def _last_turns(edges):
@@ -34,6 +35,13 @@ def reasoning_chain(spark, sf):
     return provenance.reasoning_chain(edges, _last_turns(edges)).select("seed", F.col("id").alias("edge"))
 
 
+def reasoning_depths(spark, sf):
+    """Everything behind the last conclusion of every conversation, with its distance."""
+    edges = fx.reasoning(spark, sf)
+    hops = provenance.links(edges).select("source", "target")
+    return provenance.reached(hops, _last_turns(edges)).select("seed", "id", "depth")
+
+
 def trace_previews(spark, sf):
     edges = fx.reasoning(spark, sf)
     trace = provenance.trace_forward(edges, _last_turns(edges), 3)
@@ -105,6 +113,33 @@ def call_edges(spark, sf):
     return codegraph.call_edges(_parsed(spark, sf))
 
 
+def call_edges_delta(spark, sf):
+    """The call graph after a change of files: before it the orders stood in files without their last line, parts had
+    other names, suppliers did not exist, and every nation had a file that calls its suppliers."""
+    files = fx.code_files(spark, sf)
+    nations = fx.table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list("s_suppkey")), lambda k: F.concat(F.lit("\tAskSupplier"), k.cast("string"), F.lit("()"))),
+        "\n").alias("body")).select(
+            F.concat(F.lit("nations/n"), F.col("s_nationkey").cast("string"), F.lit(".go")).alias("path"),
+            F.concat(F.lit("package nations\n\nfunc HandleNation"), F.col("s_nationkey").cast("string"), F.lit("() {\n"),
+                     F.col("body"), F.lit("\n}\n")).alias("source"))
+    order, part = F.col("path").startswith("orders/"), F.col("path").startswith("parts/")
+    older = files.where(order | part).withColumn(
+        "source", F.when(part, F.replace("source", F.lit("UsePart"), F.lit("TakePart")))
+        .otherwise(F.regexp_replace("source", r"\n[^\n]*\n}\n$", "\n}\n"))).unionByName(nations)
+    before, after = codegraph.parse(older), codegraph.parse(files)
+    stored = cut_lineage(codegraph.postings(before))
+    changed = cut_lineage(codegraph.postings(codegraph.changed_files(
+        after, before.select(F.col("path").alias("source_path"), "file_hash"))))
+    gone = before.select("path").join(after.select("path"), "path", "left_anti")
+    edges = codegraph.edge_rows(before)
+    ended, fresh = codegraph.edge_rows_delta(edges, stored, changed, gone)
+    key = ["src", "rel", "dst"]
+    kept = edges.join(ended.unionByName(fresh).select(*key), key, "left_anti")
+    return kept.unionByName(fresh).where("rel = 'calls'").select(
+        F.col("src").alias("caller"), F.col("dst").alias("callee"), "file")
+
+
 def import_edges(spark, sf):
     return _parsed(spark, sf).select(F.col("path").alias("src"), F.explode("imports").alias("dst"))
 
@@ -199,6 +234,12 @@ walk(seed, id) AS (
   UNION
   SELECT seed, target FROM walk JOIN cite ON cite.source = walk.id AND cite.via = 'premise')
 SELECT seed, edge.id AS edge FROM walk JOIN edge ON edge.conclusion_id = walk.id""",
+    "reasoning_depths": f"""WITH RECURSIVE {_LINKS},
+walk(seed, id, depth) AS (
+  SELECT seed, seed, 0 FROM last
+  UNION
+  SELECT seed, target, depth + 1 FROM walk JOIN cite ON cite.source = walk.id)
+SELECT seed, id, min(depth) AS depth FROM walk GROUP BY 1, 2""",
     "trace_previews": f"""WITH RECURSIVE {_FORWARD.format(depth=3)}
 SELECT seed, trace.id, coalesce(strlen(document) > 300, false) AS cut, document IS NOT NULL AS found
 FROM trace LEFT JOIN msg ON msg.message_id = trace.id""",
@@ -226,6 +267,7 @@ SELECT left('codefile_' || sha256(path), 24) AS message_id, path AS source_path,
          || CASE language WHEN 'go' THEN '// entry point' || chr(10) ELSE '' END
          || body || chr(10) || chr(10) || chr(10)) AS digest FROM file""",
     "call_edges": f"WITH {_CALLS} SELECT * FROM call",
+    "call_edges_delta": f"WITH {_CALLS} SELECT * FROM call",
     "import_edges": f"WITH {fx.CODE_SQL} SELECT path AS src, import AS dst FROM file",
     "callers": f"""WITH {_CALLS}
 SELECT callee AS symbol, count(*) AS callers, min(caller) AS first FROM call GROUP BY 1""",
