@@ -71,3 +71,65 @@ SELECT c.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0)::BIG
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+# words with the blanks behind them, summed up to sentences; spans as in the operator's wide rule. Fifteen sentences have fifteen words.
+SENTENCE_SPANS = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), listed AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS words FROM t
+), word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM listed
+), closed AS (
+  SELECT *, (right(rtrim(word, E' \t\n\x0b\x0c\r'), 1) IN ('.', '!', '?') OR contains(word, chr(10)))::INT AS closes FROM word
+), numbered AS (
+  SELECT *, sum(closes) OVER (PARTITION BY doc_id ORDER BY i) - closes AS s FROM closed
+), summed AS (
+  SELECT doc_id, s, count(*) AS n, string_agg(word, '' ORDER BY i) AS whole FROM numbered GROUP BY doc_id, s
+), sentence AS (
+  SELECT *, rtrim(whole, E' \t\n\x0b\x0c\r') AS content, sum(n) OVER (PARTITION BY doc_id ORDER BY s) AS words,
+    count(*) OVER (PARTITION BY doc_id) AS total FROM summed
+), far AS (
+  SELECT a.doc_id, a.s AS f, b.s + 1 AS l FROM sentence a JOIN sentence b
+  ON a.doc_id = b.doc_id AND b.s BETWEEN a.s + 1 AND a.s + 15 AND b.words - a.words + a.n >= 15
+), span AS (
+  SELECT doc_id, f, min(l) AS l FROM far GROUP BY doc_id, f
+  UNION SELECT doc_id, max(f), l FROM far GROUP BY doc_id, l
+  UNION SELECT doc_id, s, s + 1 FROM sentence WHERE n >= 51 OR (total = 1 AND n >= 15)
+), body AS (
+  SELECT span.doc_id, f, l, string_agg(content, chr(1) ORDER BY s) AS body
+  FROM span JOIN sentence ON span.doc_id = sentence.doc_id AND s >= f AND s < l GROUP BY span.doc_id, f, l
+), later AS (
+  SELECT doc_id, f, l FROM body QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, f) > 1
+), gone AS (
+  SELECT DISTINCT sentence.doc_id, s FROM later JOIN sentence ON later.doc_id = sentence.doc_id AND s >= f AND s < l
+), told AS (
+  SELECT doc_id, count(*) AS n_sentences, count(gone.s) AS n_removed,
+    coalesce(string_agg(whole, '' ORDER BY sentence.s) FILTER (gone.s IS NULL), '') AS kept
+  FROM sentence LEFT JOIN gone USING (doc_id, s) GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(regexp_extract(text, '^[\x20\x09-\x0D]*') || coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN told USING (doc_id)
+"""
+
+# distinct sets of five-word shingles, their exact similarities, and the sets that links lead to
+NGRAM_JOIN = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingled AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS shingles FROM listed
+), marked AS MATERIALIZED (SELECT doc_id, shingles, md5(array_to_string(shingles, chr(10))) AS mark FROM shingled WHERE len(shingles) > 0
+), sets AS MATERIALIZED (
+  SELECT mark, count(*) AS copies, min(doc_id) AS least, any_value(shingles) AS shingles, len(any_value(shingles)) AS size FROM marked GROUP BY mark
+), member AS (SELECT mark, size, hash(unnest(shingles)) AS shingle FROM sets
+), links AS MATERIALIZED (
+  SELECT a.mark AS a, b.mark AS b FROM member a JOIN member b ON a.shingle = b.shingle AND a.mark <> b.mark
+  AND 5 * a.size >= 4 * b.size AND 5 * b.size >= 4 * a.size
+  GROUP BY a.mark, b.mark, a.size, b.size HAVING 5 * count(*) >= 4 * (a.size + b.size - count(*))
+), reach(mark, other) AS (
+  SELECT mark, mark FROM sets UNION SELECT r.mark, l.b FROM reach r JOIN links l ON l.a = r.other
+), class AS (SELECT reach.mark, min(least) AS class_id FROM reach JOIN sets ON sets.mark = reach.other GROUP BY reach.mark
+), linked AS (SELECT a AS mark, sum(copies) AS n FROM links JOIN sets ON sets.mark = links.b GROUP BY a)
+SELECT shingled.doc_id, coalesce(class_id, shingled.doc_id) AS class_id,
+  (coalesce(copies, 1) - 1 + coalesce(n, 0))::BIGINT AS n_links
+FROM shingled LEFT JOIN marked USING (doc_id) LEFT JOIN sets USING (mark) LEFT JOIN class USING (mark) LEFT JOIN linked USING (mark)
+"""

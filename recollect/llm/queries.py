@@ -85,6 +85,8 @@ QUERIES = {
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE = {
+    "op7_sentence_spans": oracle.SENTENCE_SPANS,
+    "op8_ngram_jaccard_join": oracle.NGRAM_JOIN,
     "op12_embedding_near_dedup": oracle.NEAR_VECTORS,
     "op13_conversation_repair": oracle.CONVERSATIONS,
 }
