@@ -133,3 +133,27 @@ SELECT shingled.doc_id, coalesce(class_id, shingled.doc_id) AS class_id,
   (coalesce(copies, 1) - 1 + coalesce(n, 0))::BIGINT AS n_links
 FROM shingled LEFT JOIN marked USING (doc_id) LEFT JOIN sets USING (mark) LEFT JOIN class USING (mark) LEFT JOIN linked USING (mark)
 """
+
+# bytes as two hexadecimal digits each; every 100 bytes that stand earlier too, the bytes these cover, and the rest
+REPEATED_BYTES = r"""
+WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents
+), place AS (SELECT doc_id, digits, unnest(range(0, length(digits) // 2 - 99)) AS p FROM t
+), string AS (SELECT doc_id, p, md5(substring(digits, 2 * p + 1, 200)) AS string FROM place
+), later AS MATERIALIZED (
+  SELECT doc_id, p FROM string QUALIFY row_number() OVER (PARTITION BY string ORDER BY doc_id, p) > 1
+), stretch AS (
+  SELECT doc_id, p, sum(CASE WHEN p <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT *, lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM later)
+), span AS (SELECT doc_id, min(p) AS f, max(p) + 100 AS l FROM stretch GROUP BY doc_id, run
+), gap AS (
+  SELECT doc_id, f, l, coalesce(lag(l) OVER (PARTITION BY doc_id ORDER BY f), 0) AS since,
+    row_number() OVER (PARTITION BY doc_id ORDER BY f DESC) = 1 AS last FROM span
+), told AS (
+  SELECT doc_id, sum(l - f) AS n_removed, count(*) AS n_spans,
+    string_agg(substring(digits, 2 * since + 1, 2 * (f - since)) || CASE WHEN last THEN substring(digits, 2 * l + 1) ELSE '' END, '' ORDER BY f) AS kept
+  FROM gap JOIN t USING (doc_id) GROUP BY doc_id
+)
+SELECT t.doc_id, (length(digits) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, digits))) AS kept_sha256
+FROM t LEFT JOIN told USING (doc_id)
+"""

@@ -87,6 +87,7 @@ QUERIES = {
 ORACLE = {
     "op7_sentence_spans": oracle.SENTENCE_SPANS,
     "op8_ngram_jaccard_join": oracle.NGRAM_JOIN,
+    "op9_suffix_array": oracle.REPEATED_BYTES,
     "op12_embedding_near_dedup": oracle.NEAR_VECTORS,
     "op13_conversation_repair": oracle.CONVERSATIONS,
 }
