@@ -13,6 +13,7 @@ from recollect.sources import sinks
 from recollect.sources.brain import ExtractiveBrain
 from recollect.sources.embedding import HashingEmbedder, embed_rows
 from recollect.streaming import feeds
+from recollect.streaming.groups import in_groups
 
 
 def _rows(spark, sf):
@@ -228,6 +229,21 @@ def stream_dedup_late(spark, sf):
     return _unique(spark, _shuffled(spark, sf))
 
 
+def stream_groups_of_five(spark, sf):
+    """All messages as a stream of three batches; a workspace's messages leave in fives that reach over
+    batches, the rest waits."""
+    feed, out, log = feeds.scratch(spark, "feed"), feeds.scratch(spark, "fives"), feeds.scratch(spark, "fives-log")
+    m = fx.messages(spark, sf).select("message_id", "workspace_id", F.col("role").alias("peer_id"),
+                                      F.col("document").alias("content"), "created_at")
+    m.repartition(3, "message_id").write.parquet(feed)
+    grouped = in_groups(feeds.parquet_stream(spark, feed, m.schema, files_per_trigger=1), wait=None)
+    (grouped.select("workspace_id", "group", "message_id").writeStream.option("checkpointLocation", log)
+     .trigger(availableNow=True).start(out).awaitTermination())
+    return spark.read.parquet(out).groupBy("workspace_id", "group").agg(F.countDistinct("message_id").alias("n")).groupBy(
+        "workspace_id").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("messages"),
+                            F.min("n").alias("smallest"), F.max("group").alias("last_group"))
+
+
 def _memory(spark):
     return Memory(spark, feeds.scratch(spark, "memory"), HashingEmbedder(16), buckets=2)
 
@@ -391,6 +407,8 @@ SELECT provider, "at", status FROM l WHERE status = 'ok' AND before IS DISTINCT
     "stream_usage_daily": f"WITH {fx.USAGE_SQL} SELECT day, agent, action, count(*) AS n FROM usage GROUP BY ALL",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_usage_late": f"WITH {fx.USAGE_SQL} SELECT day, agent, action, count(*) AS n FROM usage GROUP BY ALL",
+    "stream_groups_of_five": f"""WITH {fx.MESSAGES_SQL}, n AS (SELECT workspace_id, count(*) // 5 AS groups FROM msg GROUP BY 1)
+SELECT workspace_id, groups, groups * 5 AS messages, 5 AS smallest, groups - 1 AS last_group FROM n WHERE groups > 0""",
     "stream_dedup_late": "SELECT DISTINCT user_id, event_type FROM events",
     "batch_write_shared_ids": f"""WITH {fx.NOTES_SQL}, {_STORED}
 SELECT workspace_id, message_id, sha256(workspace_id || '|s|' || document) AS content_hash FROM stored""",

@@ -17,6 +17,7 @@ from recollect.operators.skew import absent, first_seen, running
 from recollect.session import checkpoint_dir, cut_lineage
 from recollect.sources import sinks
 from recollect.sources.brain import Brain
+from recollect.streaming.groups import in_groups
 
 FACT_BYTES = 8000
 FACT_PROMPT = "Extract 1-3 concise facts/preferences about the peer from:\n"
@@ -77,17 +78,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def derive(messages: DataFrame, brain: Brain, now: Column, per_group: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Conclusions and their edges from a batch of messages (message_id, workspace_id,
-    peer_id, content, created_at).
-
-    Messages of a workspace are grouped in fives; a group longer than one prompt is spread over
-    several, so no text is left out. Each prompt gives a conclusion per line.
-    """
+    """Conclusions and their edges from a table of messages (message_id, workspace_id,
+    peer_id, content, created_at), those of a workspace in fives."""
     placed = running(messages, ["workspace_id"], [F.col("created_at"), F.col("message_id")], rank="place")
-    grouped = placed.withColumn("group", F.floor((F.col("place") - 1) / per_group)).groupBy(
-        "workspace_id", "group").agg(
-            F.array_sort(F.collect_list(F.struct("place", "message_id", "peer_id", "content"))).alias("m"))
-    prompts = grouped.select(
+    return conclude(placed.withColumn("group", F.floor((F.col("place") - 1) / per_group)), brain, now)
+
+
+def conclude(grouped: DataFrame, brain: Brain, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Conclusions and edges of messages with their `group` and `place`. A group longer than one prompt
+    is spread over several, so no text is left out. Each prompt gives a conclusion per line."""
+    groups = grouped.groupBy("workspace_id", "group").agg(
+        F.array_sort(F.collect_list(F.struct("place", "message_id", "peer_id", "content"))).alias("m"))
+    prompts = groups.select(
         "workspace_id", "group", F.col("m")[0]["peer_id"].alias("peer_id"),
         F.transform("m", lambda x: x["message_id"]).alias("message_ids"),
         F.posexplode(chunk_plain(F.array_join(F.transform("m", lambda x: x["content"]), "\n"), FACT_BYTES))
@@ -119,14 +121,19 @@ def summaries(text: Column, brain: Brain, max_chars: int) -> Column:
 
 
 def start_deriver(messages: DataFrame, brain: Brain, store, checkpoint: str, **trigger) -> StreamingQuery:
-    """J1 as a stream: `store(conclusions, edges)` keeps what a batch derived. Ids follow from
-    the messages, so that a repeated batch stores the same rows again."""
+    """J1 as a stream: `store(conclusions, edges)` keeps what a batch derived. Five messages of a workspace
+    make a group, however batches cut the stream; fewer are derived two seconds after the first of them. A run
+    over what is there (`availableNow`) has nothing to wait for and derives the rest of each batch at once. Ids
+    follow from the messages, so a repeated batch stores the same rows again."""
+    trigger = trigger or {"processingTime": "2 seconds"}
+    wait = 2.0 if "processingTime" in trigger else 0.0
+
     def run(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store(*derive(batch, brain, F.current_timestamp()))
+            store(*conclude(batch, brain, F.current_timestamp()))
 
-    return (messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
-            .trigger(**(trigger or {"processingTime": "2 seconds"})).start())
+    return (in_groups(messages, wait=wait).writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(run).trigger(**trigger).start())
 
 
 def start_writeback(messages: DataFrame, root: str, checkpoint: str, workspaces: str = "",
