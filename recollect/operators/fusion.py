@@ -58,30 +58,36 @@ def entity_feature(names: list[str], entities: Column, tags: Column) -> Column:
     return F.when(by_entity > 0, F.least(F.lit(1.0), 0.5 + 0.5 * by_entity)).otherwise(0.5 * by_tag)
 
 
-def rerank_score(terms: list[str], low: Column, high: Column) -> Column:
+def lexical_feature(terms: list[str]) -> Column:
+    """The share of a rerank score that needs the text. It depends on one row only, so a scan can take it
+    in passing and leave the text behind."""
+    tags = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
+    return _lexical_feature(terms, F.col("document"), F.coalesce(F.col("header_path"), F.lit("")), F.concat_ws(",", tags))
+
+
+def rerank_score(terms: list[str], low: Column, high: Column, lexical: Column | None = None) -> Column:
     """The weighted features of one hit, given the least and greatest distance of its set.
-    `terms` keep their repetitions."""
+    `terms` keep their repetitions; `lexical` is a feature taken before."""
     span = F.when(high - low < 0.01, F.lit(0.5)).otherwise(high - low)
     empty = F.array().cast("array<string>")
-    header = F.coalesce(F.col("header_path"), F.lit(""))
     tags = F.coalesce(F.col("tags"), empty)
     entities = F.coalesce(F.col("entities"), empty)
     names = sorted({t for t in terms if len(t.encode()) >= 3})
     importance = F.coalesce((F.col("importance") - 1) / 4.0, F.lit(0.0))
     return (0.55 * (1 - (F.col("distance") - low) / span)
-            + 0.25 * _lexical_feature(terms, F.col("document"), header, F.concat_ws(",", tags))
+            + 0.25 * (lexical_feature(terms) if lexical is None else lexical)
             + 0.08 * importance
             + 0.07 * entity_feature(names, entities, tags)
             + 0.05 * 0.5)
 
 
 def rerank(hits: DataFrame, terms: list[str], keys: list[str] | None = None,
-           id_: str = "id") -> DataFrame:
+           id_: str = "id", lexical: Column | None = None) -> DataFrame:
     """Reorders hit sets (bounded by the top-k before): adds `rerank` and the new zero-based
     `rank`. Sets of one hit keep their order."""
     keys = keys or []
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     scored = hits.withColumn(
-        "rerank", rerank_score(terms, F.min("distance").over(group), F.max("distance").over(group)))
+        "rerank", rerank_score(terms, F.min("distance").over(group), F.max("distance").over(group), lexical))
     order = group.orderBy(F.col("rerank").desc(), F.col("distance"), F.col(id_))
     return scored.withColumn("rank", F.row_number().over(order) - 1)

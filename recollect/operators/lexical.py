@@ -61,18 +61,20 @@ def bm25(rows: DataFrame, terms: list[str], keys: list[str] | None = None,
     if not terms:
         return tf.drop("_len").withColumn("bm25", F.lit(0.0)).limit(0)
     if keys:
-        tf = cut_lineage(tf)
-        stats = corpus_stats(tf, terms, keys)
-        names = [c for c in stats.columns if c not in keys]
-        scored = join_lookup(tf.where(_any_term(terms)), stats, keys, "inner").withColumn(
-            "bm25", _score(terms, F.col)).drop(*names)
-    else:
-        numbers = Observation()
-        matching = cut_lineage(tf.observe(numbers, *_stats(terms)).where(_any_term(terms)))
-        taken = numbers.get | ({"_docs": corpus[0], "_avg": corpus[1]} if corpus else {})
-        found = {name: F.lit(float(n or 0.0)) for name, n in taken.items()}
-        scored = matching.withColumn("bm25", _score(terms, found.__getitem__))
-    return scored.drop("_len", *_tf_columns(terms))
+        return bm25_counted(cut_lineage(tf), terms, keys)
+    numbers = Observation()
+    matching = cut_lineage(tf.observe(numbers, *_stats(terms)).where(_any_term(terms)))
+    taken = numbers.get | ({"_docs": corpus[0], "_avg": corpus[1]} if corpus else {})
+    found = {name: F.lit(float(n or 0.0)) for name, n in taken.items()}
+    return matching.withColumn("bm25", _score(terms, found.__getitem__)).drop("_len", *_tf_columns(terms))
+
+
+def bm25_counted(tf: DataFrame, terms: list[str], keys: list[str]) -> DataFrame:
+    """The rows of written `term_frequencies` with a score above zero in the corpus of their key."""
+    stats = corpus_stats(tf, terms, keys)
+    names = [c for c in stats.columns if c not in keys]
+    scored = join_lookup(tf.where(_any_term(terms)), stats, keys, "inner").withColumn("bm25", _score(terms, F.col))
+    return scored.drop(*names, "_len", *_tf_columns(terms))
 
 
 def _any_term(terms: list[str]) -> Column:

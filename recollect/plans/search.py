@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.identifiers import lex_tokens, query_terms
-from recollect.functions.vectors import score
-from recollect.operators.fusion import decay, rerank, rrf
-from recollect.operators.knn import nearest, top_matches, with_distance
-from recollect.operators.lexical import bm25
+from recollect.functions.vectors import cosine_distance, score
+from recollect.operators.fusion import decay, lexical_feature, rerank, rrf
+from recollect.operators.knn import nearest, top_matches
+from recollect.operators.lexical import bm25_counted, term_frequencies
 from recollect.operators.predicates import (differs, equals, is_edge, not_excluded,
                                             role_or_unknown, visible, within)
 from recollect.operators.skew import first_seen, join_lookup, rank_bounded, top_per_key
@@ -73,26 +73,30 @@ def semantic(rows: DataFrame, query: Query, n: int, scope: Scope, now: Column,
     """M1: nearest rows, decayed, scored and reordered; `rank` gives the order."""
     hits = nearest(content_rows(rows).where(scope.rows()).select(*HIT, *_vector(rows)),
                    query.vector, n).drop("rank")
-    hits = decay(hits, now).withColumn("score", score(F.col("distance")))
+    hits = _scored(hits, now)
     if reorder:
-        ranked = rerank(hits, query.tokens)
-        several = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > 1
-        return ranked.withColumn("source", F.when(several, "reranked").otherwise("semantic"))
+        return _reordered(hits, query)
     order = Window.partitionBy(F.lit(0)).orderBy("distance", "id")
     return hits.withColumns({"rerank": F.lit(None).cast("double"), "source": F.lit("semantic"),
                              "rank": F.row_number().over(order) - 1})
 
 
-def _vector(rows: DataFrame) -> list[str]:
-    return ["embedding", *(["norm"] if "norm" in rows.columns else [])]
+def _scored(hits: DataFrame, now: Column) -> DataFrame:
+    return decay(hits, now).withColumn("score", score(F.col("distance")))
+
+
+def _reordered(hits: DataFrame, query: Query, lexical: Column | None = None) -> DataFrame:
+    several = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > 1
+    return rerank(hits, query.tokens, lexical=lexical).withColumn("source", F.when(several, "reranked").otherwise("semantic"))
+
+
+def _by_people(rows: DataFrame) -> Column:
+    """The text leg leaves out what the code index wrote."""
+    return differs(F.col("peer_id"), "codeindex") if "peer_id" in rows.columns else F.lit(True)
 
 
-def lexical(rows: DataFrame, query: Query, n: int, where: Column) -> DataFrame:
-    """The BM25 leg: its corpus is every content row the filter keeps, without a scan window."""
-    corpus = content_rows(rows).where(where)
-    peer = differs(F.col("peer_id"), "codeindex") if "peer_id" in rows.columns else F.lit(True)
-    corpus = corpus.where(peer).select(*HIT)
-    return rank_bounded(bm25(corpus, query.terms), [F.col("bm25").desc(), F.col("id")], n)
+def _vector(rows: DataFrame) -> list[str]:
+    return ["embedding", *(["norm"] if "norm" in rows.columns else [])]
 
 
 def _fused(vec: DataFrame, lex: DataFrame, keys: list[str], n: int, now: Column, group: list[str] | None = None) -> DataFrame:
@@ -107,27 +111,53 @@ def _fused(vec: DataFrame, lex: DataFrame, keys: list[str], n: int, now: Column,
         "source", F.lit("hybrid"))
 
 
+def of_keys(rows: DataFrame, keys: list, columns: list[str]) -> DataFrame:
+    """Columns of a bounded list of rows, by workspace and id: both become filters that reach the scan and prune folders."""
+    found = rows.where(F.col("workspace_id").isin(sorted({k[0] for k in keys})) & F.col("id").isin(sorted({k[1] for k in keys})))
+    return found.select(*columns)
+
+
 def with_documents(hits: DataFrame, rows: DataFrame, n: int, home: str = "workspace_id") -> DataFrame:
-    """The texts of a final, bounded hit list, looked up by workspace (column `home` of the hits) and id:
-    both become filters that reach the scan and prune folders."""
+    """The texts of a final hit list of at most `n` rows; their workspace is column `home` of the hits."""
     hits = hold(hits, n)
-    keys = hits.select(home, "id").collect()
-    texts = rows.where(F.col("workspace_id").isin(sorted({k[0] for k in keys})) & F.col("id").isin(sorted({k[1] for k in keys})))
-    texts = texts.select(F.col("workspace_id").alias(home), "id", "document")
-    return hits.join(F.broadcast(texts), [home, "id"], "left")
+    texts = of_keys(rows, hits.select(home, "id").collect(), ["workspace_id", "id", "document"])
+    return hits.join(F.broadcast(texts.withColumnRenamed("workspace_id", home)), [home, "id"], "left")
+
+
+def _measured(rows: DataFrame, query: Query, terms: list[str], near: Column | None = None, **marks: Column) -> DataFrame:
+    """Distance, wording and term counts of every row, in one scan: a narrow table without texts, vectors or
+    metadata. Rows outside `near` or without a vector of the query's width have no distance; `marks` are kept as columns."""
+    stored = "norm" if "norm" in rows.columns else None
+    fits = F.size("embedding") == len(query.vector)
+    distance = F.when(fits if near is None else near & fits, cosine_distance("embedding", query.vector, stored))
+    seen = rows.select("workspace_id", "id", distance.alias("distance"), lexical_feature(query.tokens).alias("wording"),
+                       *[c.alias(name) for name, c in marks.items()], "document")
+    return cut_lineage(term_frequencies(seen, terms))
 
 
 def hybrid(rows: DataFrame, query: Query, n: int, scope: Scope, now: Column) -> DataFrame:
     """M2: both legs fused; what scope, peer, session and role hide is hidden from both. Without lexical
     hits the vector hits are returned as they are, labelled `semantic-fallback`. An unscoped search takes its
     texts from the workspace of the best vector hit."""
-    vec = semantic(rows, query, 2 * n, scope, now)
-    workspace = F.lit(scope.workspace) if scope.workspace else (
-        vec.where(F.col("rank") == 0).select("workspace_id").scalar())
-    where = ((F.col("workspace_id") == workspace)
-             & equals(session_id=scope.session, scope=scope.scope, peer_id=scope.peer)
-             & role_or_unknown(scope.role))
-    lex = lexical(rows, query, n, where)
+    content = content_rows(rows)
+    seen = F.coalesce(scope.rows(), F.lit(False))
+    told = F.coalesce(equals(workspace_id=scope.workspace, session_id=scope.session, scope=scope.scope, peer_id=scope.peer)
+                      & role_or_unknown(scope.role), F.lit(False)) & _by_people(rows)
+    measured = _measured(content.where(seen | told), query, query.terms, seen, told=told)
+    row = ["workspace_id", "id"]
+    near = rank_bounded(measured.where("distance IS NOT NULL").select(*row, "distance", "wording"),
+                        [F.col("distance"), F.col("id")], 2 * n)
+    keys = near.orderBy("rank").select(*row).collect()
+    workspace = scope.workspace or (keys[0][0] if keys else None)
+    corpus = measured.where(F.col("told") & (F.col("workspace_id") == workspace)).drop("told", "distance", "wording")
+    scored = (bm25_counted(corpus, query.terms, ["workspace_id"]) if query.terms
+              else corpus.withColumn("bm25", F.lit(0.0)).limit(0))
+    lex = rank_bounded(scored.select(*row, "bm25"), [F.col("bm25").desc(), F.col("id")], n)
+    # at most 3n rows: both legs are numbers up to here
+    known = cut_lineage(of_keys(content, keys + lex.select(*row).collect(), HIT))
+    facts = known.drop("document")
+    vec = _reordered(_scored(near.drop("rank").join(facts, row), now), query, F.col("wording"))
+    lex = lex.join(facts, row)
     none = lex.select((F.count(F.lit(1)) == 0).alias("none")).scalar()
     columns = ["id", *METADATA, "distance", "score", "source"]
     fallback = (vec.where(none).where(F.col("rank") < n)
@@ -136,7 +166,7 @@ def hybrid(rows: DataFrame, query: Query, n: int, scope: Scope, now: Column) ->
     order = Window.partitionBy(F.lit(0)).orderBy("distance", "id")
     fused = fused.withColumn("rank", F.row_number().over(order) - 1)
     hits = fused.select(*columns, "rank").unionByName(fallback.select(*columns, "rank"))
-    return with_documents(hits, rows, n)
+    return hits.join(F.broadcast(known.select(*row, "document")), row, "left")
 
 
 def floor(hits: DataFrame, minimum: float) -> DataFrame:
@@ -154,7 +184,8 @@ def search_all(rows: DataFrame, query: Query, n: int, now: Column, min_score: fl
     """M3: the same search in every workspace at once, then the best of all.
 
     Workspaces are a key, not a loop: ranks, corpus numbers and fusion are kept per workspace,
-    and each task keeps only its best rows of a workspace before the shuffle. Rows of the
+    and each task keeps only its best rows of a workspace before the shuffle. Texts and vectors are read in
+    one scan, which keeps numbers only; metadata is looked up for the candidates of both legs. Rows of the
     shared workspace join every list through one array of bounded length.
     """
     m = 2 * n
@@ -162,35 +193,41 @@ def search_all(rows: DataFrame, query: Query, n: int, now: Column, min_score: fl
     open_rows = content_rows(rows).where(not_excluded(F.col("workspace_id"), excluded))
     order = [F.col("distance"), F.col("id")]
     mixed = [*order, F.col("home")]
-    near = cut_lineage(top_per_key(
-        with_distance(open_rows.select("id", *METADATA, *_vector(rows)), query.vector),
-        ["workspace_id"], order, deep).drop("rank"))
-    # texts join last: the candidates are few, the texts stay where they are
-    own = cut_lineage(join_lookup(open_rows.select("workspace_id", "id", "document"), near, ["workspace_id", "id"], "inner")
-                      .withColumn("home", F.col("workspace_id")))
+    row = ["workspace_id", "id"]
+    terms = query.terms if use_hybrid else []
+    measured = _measured(open_rows, query, terms)
+    near = cut_lineage(top_per_key(measured.where("distance IS NOT NULL").select(*row, "distance", "wording"),
+                                   ["workspace_id"], order, deep).drop("rank"))
+    picked = near.select(*row)
+    if terms:
+        lex = cut_lineage(top_per_key(bm25_counted(measured.drop("distance", "wording"), terms, ["workspace_id"]),
+                                      ["workspace_id"], [F.col("bm25").desc(), F.col("id")], m))
+        picked = picked.union(lex.select(*row)).distinct()
+    # the candidates are few: what is known of them is looked up, the rest of the table stays where it is
+    known = cut_lineage(join_lookup(open_rows.select("id", *METADATA), picked, row, "inner"))
+    own = near.join(known, row).withColumn("home", F.col("workspace_id"))
     body = [c for c in own.columns if c != "workspace_id"]
     # at most `deep` rows: the shared workspace's own best
     shared = own.where(F.col("workspace_id") == SHARED_WORKSPACE).agg(
         F.collect_list(F.struct(*body)).alias("rows")).scalar()
-    lists = (open_rows.where(F.col("workspace_id") != SHARED_WORKSPACE).select("workspace_id").distinct()
+    lists = (measured.where(F.col("workspace_id") != SHARED_WORKSPACE).select("workspace_id").distinct()
              .select("workspace_id", F.explode(shared).alias("hit"))
              .select("workspace_id", "hit.*"))
     vec = top_per_key(own.unionByName(lists), ["workspace_id"], mixed, deep).drop("rank")
     vec = decay(vec, now).withColumn("score", score(F.col("distance")))
-    vec = rerank(vec, query.tokens, ["workspace_id"])
+    vec = rerank(vec, query.tokens, ["workspace_id"], lexical=F.col("wording"))
     columns = ["workspace_id", "home", "id", "score", "source"]
-    if use_hybrid:
+    if terms:
         vec = cut_lineage(vec)
-        scored = bm25(open_rows.select(*HIT), query.terms, ["workspace_id"]).withColumn("home", F.col("workspace_id"))
-        lex = cut_lineage(top_per_key(scored, ["workspace_id"],
-                                      [F.col("bm25").desc(), F.col("id")], m))
+        lex = cut_lineage(lex.join(known, row).withColumn("home", F.col("workspace_id")))
         fused = _fused(vec, lex, ["workspace_id", "home", "id"], m, now, ["workspace_id"])
         alone = vec.where(F.col("rank") < m).join(
             lex.select("workspace_id").distinct(), "workspace_id", "left_anti").withColumn(
                 "source", F.lit("semantic-fallback"))
         hits = fused.select(*columns).unionByName(alone.select(*columns))
     else:
-        hits = vec.withColumn("source", F.lit("semantic")).select(*columns)
+        only = "semantic-fallback" if use_hybrid else "semantic"
+        hits = vec.where(F.col("rank") < m).withColumn("source", F.lit(only)).select(*columns)
     # a row of the shared workspace may be on every list: it counts once, where it does best
     best = first_seen(floor(hits, min_score), ["home", "id"], [-F.col("score"), F.col("workspace_id")])
     top = rank_bounded(best, [F.col("score").desc(), F.col("id"), F.col("home")], n)
