@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from recollect import schema
 from recollect.functions import text as tx
 from recollect.functions.markdown import spliced
-from recollect.operators import (codegraph, context, dml, graph, knn, pending, predicates, provenance,
+from recollect.operators import (codegraph, context, dml, graph, knn, metadata, pending, predicates, provenance,
                                  stale, stats, usage)
 from recollect.operators.skew import first_seen, page
 from recollect.plans import brief as overview
@@ -205,7 +205,8 @@ class Memory:
         """L1."""
         row = self.spark.createDataFrame(
             [(message_id, workspace, session, role, content, scope, peer,
-              {k: str(v) for k, v in (metadata or {}).items()}, None)], schema.MESSAGES_IN)
+              {k: json.dumps(v) if isinstance(v, (dict, list)) else str(v) for k, v in (metadata or {}).items()}, None)],
+            schema.MESSAGES_IN)
         receipt = self.add_batch(row, MAX_CONTENT_BYTES).first()
         if not receipt["stored"]:
             raise ValueError(receipt["error"])
@@ -233,6 +234,12 @@ class Memory:
             predicates.equals(workspace_id=self._own(workspace), **values))
         return rows.orderBy("id").limit(limit if limit > 0 else 100)
 
+    def query_metadata(self, workspace: str, tree: dict, limit: int = 100) -> DataFrame:
+        """B10 with nested conditions: a predicate tree over the columns of chunks and, where rows have one, the map `extra`."""
+        rows = self._rows("chunks").drop("embedding").where(predicates.equals(workspace_id=self._own(workspace)))
+        found = rows.where(metadata.matches(tree, rows.columns, metadata.nested(F.col("extra"))))
+        return found.orderBy("id").limit(limit if limit > 0 else 100)
+
     def delete_message(self, workspace: str, message_id: str) -> int:
         """L3."""
         gone = predicates.equals(workspace_id=self._own(workspace), message_id=message_id)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import clean_space, valid_name, valid_role
+from recollect.operators.metadata import too_deep
 from recollect.settings import SHARED_WORKSPACE, TIMELESS_IMPORTANCE
 
 SIDECARS = ("_conclusions", "_reasoning", "_codeedges")
@@ -98,7 +99,8 @@ def validate_messages(rows: DataFrame, max_bytes: int | None = None) -> DataFram
         .when(~given("workspace_id"), "workspace_id is required")
         .when(~valid_name(F.col("workspace_id")) | ~valid_name(F.col("session_id")),
               "invalid id format")
-        .when(meta > 100, "invalid metadata: metadata exceeds 100 keys"))
+        .when(meta > 100, "invalid metadata: metadata exceeds 100 keys")
+        .when(too_deep(F.col("metadata")), "invalid metadata: metadata depth >5"))
 
 
 def workspaces_of(collections: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.engine import Memory
 from recollect.functions import text as tx
-from recollect.operators import dml, fingerprints, knn, limiter, pending, predicates
+from recollect.operators import dml, fingerprints, knn, limiter, metadata, pending, predicates
 from recollect.plans import fixtures as fx
 from recollect.settings import MAX_CONTENT_BYTES
 from recollect.sources import sinks
@@ -76,6 +76,26 @@ def message_errors(spark, sf):
     return predicates.validate_messages(sent, MAX_CONTENT_BYTES).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
+def metadata_query(spark, sf):
+    """A tree over a column and two levels of nested metadata."""
+    d = fx.table(spark, sf, "documents").select(
+        "doc_id", "lang", F.create_map(
+            F.lit("stats"), F.to_json(F.struct("n_chars", F.struct("source").alias("origin"))),
+            F.lit("rank"), F.pmod("doc_id", F.lit(5)).cast("string")).alias("extra"))
+    tree = {"$or": [{"lang": {"$in": ["de", "en"]}, "stats.n_chars": {"$gte": 2000}},
+                    {"rank": 3, "stats.origin.source": {"$ne": "src1"}}]}
+    return d.where(metadata.matches(tree, d.columns, metadata.nested(F.col("extra")))).select("doc_id")
+
+
+def metadata_depth_errors(spark, sf):
+    """Messages whose metadata has up to eight levels."""
+    levels = F.pmod("doc_id", F.lit(8)).cast("int")
+    inner = F.concat(F.repeat(F.lit('{"a":'), levels), F.lit("1"), F.repeat(F.lit("}"), levels))
+    sent = fx.notes(spark, sf).select("doc_id", "workspace_id", "session_id", "role", F.col("document").alias("content"),
+                                      F.create_map(F.lit("m"), inner).alias("metadata"))
+    return predicates.validate_messages(sent).select("doc_id", "error")
+
+
 def reassembled(spark, sf):
     d = fx.texts(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("message_id"), "text")
@@ -407,6 +427,10 @@ SELECT provider, "at", status FROM l WHERE status = 'ok' AND before IS DISTINCT
     "stream_usage_daily": f"WITH {fx.USAGE_SQL} SELECT day, agent, action, count(*) AS n FROM usage GROUP BY ALL",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_usage_late": f"WITH {fx.USAGE_SQL} SELECT day, agent, action, count(*) AS n FROM usage GROUP BY ALL",
+    "metadata_query": """SELECT doc_id FROM documents WHERE (lang IN ('de', 'en') AND n_chars >= 2000)
+   OR (doc_id % 5 = 3 AND source IS DISTINCT FROM 'src1')""",
+    "metadata_depth_errors": """SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'session_id, role and content are required'
+       WHEN doc_id % 8 >= 5 THEN 'invalid metadata: metadata depth >5' END AS error FROM documents""",
     "stream_groups_of_five": f"""WITH {fx.MESSAGES_SQL}, n AS (SELECT workspace_id, count(*) // 5 AS groups FROM msg GROUP BY 1)
 SELECT workspace_id, groups, groups * 5 AS messages, 5 AS smallest, groups - 1 AS last_group FROM n WHERE groups > 0""",
     "stream_dedup_late": "SELECT DISTINCT user_id, event_type FROM events",
