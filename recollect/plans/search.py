@@ -148,7 +148,12 @@ def hybrid(rows: DataFrame, query: Query, n: int, scope: Scope, now: Column) ->
     near = rank_bounded(measured.where("distance IS NOT NULL").select(*row, "distance", "wording"),
                         [F.col("distance"), F.col("id")], 2 * n)
     keys = near.orderBy("rank").select(*row).collect()
-    workspace = scope.workspace or (keys[0][0] if keys else None)
+    leg = lambda facts: _reordered(_scored(near.drop("rank").join(facts, row), now), query, F.col("wording"))
+    workspace = scope.workspace
+    if not workspace:
+        # the best one as the hits are handed out, which need not be the nearest
+        best = leg(of_keys(content, keys, [c for c in HIT if c != "document"])).where("rank = 0").select("workspace_id").first()
+        workspace = best[0] if best else None
     corpus = measured.where(F.col("told") & (F.col("workspace_id") == workspace)).drop("told", "distance", "wording")
     scored = (bm25_counted(corpus, query.terms, ["workspace_id"]) if query.terms
               else corpus.withColumn("bm25", F.lit(0.0)).limit(0))
@@ -156,7 +161,7 @@ def hybrid(rows: DataFrame, query: Query, n: int, scope: Scope, now: Column) ->
     # at most 3n rows: both legs are numbers up to here
     known = cut_lineage(of_keys(content, keys + lex.select(*row).collect(), HIT))
     facts = known.drop("document")
-    vec = _reordered(_scored(near.drop("rank").join(facts, row), now), query, F.col("wording"))
+    vec = leg(facts)
     lex = lex.join(facts, row)
     none = lex.select((F.count(F.lit(1)) == 0).alias("none")).scalar()
     columns = ["id", *METADATA, "distance", "score", "source"]

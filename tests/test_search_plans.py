@@ -57,3 +57,17 @@ def test_searches_without_vectors_or_words(rows):
     assert search.search_all(rows, query, N, now, 0.0).count() == 0
     worded = search.Query("tea", [1.0, 0.0, 0.0])
     assert search.hybrid(rows, worded, N, search.Scope(workspace="w1"), now).count() == N
+
+
+def test_unscoped_texts_come_from_the_best_hit_after_reordering(spark):
+    """The nearest vector is in w1; the one that the rerank puts first, by its words, is in w2."""
+    kind = ("id STRING, workspace_id STRING, session_id STRING, role STRING, created_at STRING, importance DOUBLE, header_path STRING, "
+            "tags ARRAY<STRING>, entities ARRAY<STRING>, document STRING, embedding ARRAY<FLOAT>")
+    row = lambda id_, space, text, vector, weight=1.0: (
+        id_, space, "s", "user", "2026-02-01 00:00:00", weight, "", [], [], text, vector)
+    table = spark.createDataFrame([
+        row("near", "w1", "nothing", [1.0, 0.0]), row("worded", "w2", "tea tea tea tea", [1.0, 0.05], 5.0), row("far", "w2", "no", [0.0, 1.0]),
+        row("text1", "w1", "tea", None), row("text2", "w2", "tea", None)], kind).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    hits = search.hybrid(table, search.Query("tea", [1.0, 0.0]), 9, search.Scope(), F.lit("2026-02-01").cast("timestamp"))
+    found = {r["id"] for r in hits.collect()}
+    assert "text2" in found and "text1" not in found
