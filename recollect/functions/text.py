@@ -258,7 +258,7 @@ def code_tokens(source: Column) -> Column:
     """Distinct lower-case parts of the words of a source text, and each word joined."""
     words = F.regexp_extract_all(source, F.lit("[A-Za-z0-9_$]+"), 0)
     parts = F.flatten(F.transform(words, lambda w: F.concat(
-        F.split(w, "(?<=[a-z0-9])(?=[A-Z])"), F.array(F.replace(w, F.lit("_"), F.lit(""))))))
+        F.regexp_extract_all(w, F.lit(".+?(?:(?<=[a-z0-9])(?=[A-Z])|$)"), 0), F.array(F.replace(w, F.lit("_"), F.lit(""))))))
     return F.array_distinct(F.transform(
         F.filter(parts, lambda t: F.char_length(t) >= 3), F.lower))
 

@@ -16,6 +16,10 @@ def written_bytes(table: DataFrame) -> int:
     return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _is_written(table: DataFrame) -> bool:
+    return table._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation"
+
+
 def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "left",
                 max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join to a lookup table with one row per key.
@@ -23,9 +27,9 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "l
     The lookup is written first, and the size of its files decides: within `max_bytes` it is broadcast
     and `rows` are not shuffled. Beyond it both sides are shuffled once, on the key; the partitions that
     hot keys fill are found while the join runs and split over several tasks (adaptive skew join), so that
-    nothing is repeated for keys that are not hot.
+    nothing is repeated for keys that are not hot. A lookup that is a written table already is not written again.
     """
-    lookup = cut_lineage(lookup)
+    lookup = lookup if _is_written(lookup) else cut_lineage(lookup)
     small = written_bytes(lookup) <= max_bytes
     return rows.join(F.broadcast(lookup) if small else lookup.hint("merge"), on, how)
 
