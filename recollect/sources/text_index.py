@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions.slices import by_slices
 from recollect.functions.text import word_count
 from recollect.operators.lexical import bm25
 from recollect.operators.skew import join_lookup
@@ -30,10 +31,11 @@ LISTED_KEYS = 1_000  # up to this number of candidates their keys become filters
 def grams(text: Column) -> Column:
     """The distinct trigrams of the lower-cased text, in Arrow batches; shorter texts are one gram, empty ones have none. (As a fold over the
     signs in the JVM this takes some fifty times as long.)"""
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else sorted({t[i:i + GRAM] for i in range(max(1, len(t) - GRAM + 1))}) if t else [])
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else sorted({t[i:i + GRAM] for i in range(max(1, len(t) - GRAM + 1))}) if t else []
+                         for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return F.pandas_udf(cut, "array<string>")(F.lower(text))
+    return by_slices(cut, "array<string>", F.lower(text))
 
 
 class TextIndex:
