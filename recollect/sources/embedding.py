@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import zlib
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions.slices import by_slices
 from recollect.sources.http import post_json
 
 
@@ -114,13 +114,11 @@ def vectors_for(texts, embedder: Embedder, tolerant: bool = False):
             middle = len(texts) // 2
             return [*one_by_one(texts[:middle]), *one_by_one(texts[middle:])]
 
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            filled = texts.fillna("").tolist()
-            yield pd.Series(one_by_one(filled) if filled else [], dtype="object")
+    def embed(part: pa.Array) -> pa.Array:
+        filled = [t or "" for t in part.to_pylist()]
+        return pa.array(one_by_one(filled) if filled else [], pa.list_(pa.float32()))
 
-    embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(embed, "array<float>")(texts)
+    return by_slices(embed, "array<float>", texts)
 
 
 def embed_rows(rows: DataFrame, embedder: Embedder, text: str = "document",
