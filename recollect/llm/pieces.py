@@ -29,7 +29,7 @@ from recollect.llm.units import Units, per_text
 BLANK = "▁"
 UNIT = re.compile(rf"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 ROW_WIDTHS = (4, 8, 12, 16, 24, 40, 64)
-UNITS_KEPT = 200_000  # by a Python worker: about 40 MB
+UNITS_KEPT = 100_000  # by a Python worker: about 20 MB
 SYMBOL = 22  # bits of a symbol id: vocabulary, then characters outside it
 
 ENCODED = "doc_id long, ids array<int>, decoded string"

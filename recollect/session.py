@@ -51,6 +51,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+# Bytes of an Arrow batch of whole texts. Spark's own bounds (10,000 rows, 64 MB) let a batch of long texts fill the buffers
+# outside the heap of the executor and those of each Python worker, which neither gives back.
+BATCH_BYTES = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches of this session go to Python in pieces of about `BATCH_BYTES`; plans are run after they are
+    returned, so the setting stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 # Above this many rows a result is written to the checkpoint folder rather than held.
 HELD_ROWS = 1_000
 

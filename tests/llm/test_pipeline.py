@@ -65,3 +65,26 @@ def test_empty_documents(spark, tmp_path):
     cases.frame(spark, ["a"]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    """A batch of whole texts fills no more than about a megabyte, whatever the number of its rows."""
+    from recollect.session import BATCH_BYTES
+
+    spark.createDataFrame([(1, "none")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.range(4000, numPartitions=1).selectExpr("id AS doc_id", "repeat('many words in one text ', 100) AS text", "'en' AS lang", "'a' AS source")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    was = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        for _, stage in corpus_pipeline.STAGES[2:]:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+            stage(spark, docs, str(tmp_path))
+            assert max(r.bytes for r in docs.mapInArrow(sizes, "bytes long").collect()) < 2 * BATCH_BYTES
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", was)
