@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.vectors import cosine_distance
 from recollect.operators.skew import join_lookup, rank_bounded
-from recollect.session import cut_lineage
+from recollect.session import cut_lineage, small_batches
 
 
 def with_distance(rows: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
@@ -38,23 +39,20 @@ def near_any(queries: DataFrame, rows: DataFrame, keys: list[str], distance: flo
     group has many blocks, so it is spread over many tasks. Rows whose vector has another width than
     the query's can't be compared; they are counted by `other_widths`.
     """
+    small_batches(rows.sparkSession)  # a row is two blocks
     asked = _packed(queries, group, block, vector, F.struct(*keys)).select(group, F.col("items").alias("asked"))
     known = _packed(rows, group, block, vector, F.lit(0)).select(group, F.col("items").alias("known"))
     kinds = ", ".join(f"`{k}` {queries.schema[k].dataType.simpleString()}" for k in keys)
 
     def compare(batches):
-        for batch in batches:
-            for questions, stored in zip(batch["asked"], batch["known"]):
-                near = []
-                for width in {len(q["v"]) for q in questions}:
-                    some = [q for q in questions if len(q["v"]) == width]
-                    others = [s["v"] for s in stored if len(s["v"]) == width]
-                    if others:
-                        best = (unit_rows(np.stack([q["v"] for q in some])) @ unit_rows(np.stack(others)).T).max(axis=1)
-                        near += [q["key"] for q, b in zip(some, best) if b > 1 - distance]
-                yield pd.DataFrame([tuple(k[name] for name in keys) for k in near], columns=keys, dtype="object")
+        for asked_at, stored in _pairs(batches):
+            for width, (places, own) in asked_at.widths().items():
+                others = stored.widths().get(width)
+                if others:
+                    near = (unit_rows(own) @ unit_rows(others[1]).T > 1 - distance).any(axis=1)
+                    yield asked_at.keys(places[near], keys)
 
-    return asked.join(known, group).select("asked", "known").mapInPandas(compare, kinds).distinct()
+    return asked.join(known, group).select("asked", "known").mapInArrow(compare, kinds).distinct()
 
 
 def in_parts(queries: DataFrame, rows: DataFrame, parts: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -72,35 +70,70 @@ def top_matches(queries: DataFrame, rows: DataFrame, keys: list[str], k: int, gr
     Blocks of queries meet blocks of rows as in `near_any`; each pair of blocks hands on at most `k` rows for each query, and the
     best of those are kept by a partial aggregate. No pairs of rows leave a task.
     """
+    small_batches(rows.sparkSession)  # a row is two blocks
     asked = _packed(queries, group, block, vector, F.struct(*keys)).select(group, F.col("items").alias("asked"))
     known = _packed(rows, group, block, vector, F.struct("id")).select(group, F.col("items").alias("known"))
     id_kind = rows.schema["id"].dataType
     kinds = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in keys)
 
     def compare(batches):
-        for batch in batches:
-            for questions, stored in zip(batch["asked"], batch["known"]):
-                found = []
-                for width in {len(q["v"]) for q in questions}:
-                    some = [q for q in questions if len(q["v"]) == width]
-                    others = [s for s in stored if len(s["v"]) == width]
-                    if not others:
-                        continue
-                    far = 1 - unit_rows(np.stack([q["v"] for q in some])) @ unit_rows(np.stack([s["v"] for s in others])).T
-                    far[np.isnan(far)] = np.inf
-                    last = np.partition(far, min(k, len(others)) - 1, axis=1)[:, min(k, len(others)) - 1]
-                    for q, line, limit in zip(some, far, last):
-                        best = sorted((line[j], _plain(others[j]["key"]["id"])) for j in np.flatnonzero((line <= limit) & (line < np.inf)))[:k]
-                        found += [(*(q["key"][c] for c in keys), i, d) for d, i in best]
-                yield pd.DataFrame(found, columns=[*keys, "id", "distance"], dtype="object")
-
-    pairs = asked.join(known, group).select("asked", "known").mapInPandas(compare, f"{kinds}, id {id_kind.simpleString()}, distance double")
+        for asked_at, stored in _pairs(batches):
+            ids = stored.key.field("id")
+            for width, (places, own) in asked_at.widths().items():
+                others = stored.widths().get(width)
+                if not others:
+                    continue
+                far = 1 - unit_rows(own) @ unit_rows(others[1]).T
+                n = min(k, len(others[0]))
+                last = np.partition(far, n - 1, axis=1)[:, n - 1]
+                q, j = np.nonzero(far <= last[:, None])
+                counts = np.bincount(q, minlength=len(far))
+                kept = counts[q] <= k
+                for i in np.flatnonzero(counts > k):  # ties go by id
+                    line = np.flatnonzero(q == i)
+                    names = [_plain(x) for x in ids.take(pa.array(others[0][j[line]])).to_pylist()]
+                    kept[line[sorted(range(len(line)), key=lambda x: (far[i, j[line[x]]], names[x]))[:k]]] = True  # noqa: B023
+                q, j = q[kept], j[kept]
+                told = asked_at.keys(places[q], keys)
+                yield pa.RecordBatch.from_arrays([*told.columns, ids.take(pa.array(others[0][j])), pa.array(far[q, j])],
+                                                 names=[*keys, "id", "distance"])
+
+    pairs = asked.join(known, group).select("asked", "known").mapInArrow(compare, f"{kinds}, id {id_kind.simpleString()}, distance double")
     # at most k rows for each query and pair of blocks
     split = pairs.groupBy(*keys, F.pmod(F.xxhash64("id"), F.lit(16)).alias("_s")).agg(_first(k))
     return (split.select(*keys, F.explode("h").alias("h")).select(*keys, "h.*").groupBy(*keys).agg(_first(k))
             .select(*keys, F.explode("h").alias("h")).select(*keys, "h.id", "h.distance"))
 
 
+class _Block:
+    """The items of a block as they stand in the Arrow batch: no Python object for a vector or a key."""
+
+    def __init__(self, items: pa.StructArray):
+        self.key, self.vectors = items.field("key"), items.field("v")
+
+    def widths(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Places and vectors (a matrix) of the items of each width whose components are numbers."""
+        sizes = pc.list_value_length(self.vectors).to_numpy(zero_copy_only=False)
+        out = {}
+        for width in np.unique(sizes).tolist():
+            places = np.flatnonzero(sizes == width)
+            m = self.vectors.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            sound = np.isfinite(m).all(axis=1)
+            if sound.any():
+                out[width] = places[sound], m[sound]
+        return out
+
+    def keys(self, places: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([self.key.field(n).take(pa.array(places)) for n in names], names=names)
+
+
+def _pairs(batches):
+    """The two blocks of each row, one row at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(_Block(batch.column(c)[i].values) for c in ("asked", "known"))
+
+
 def _first(k: int) -> Column:
     return F.slice(F.sort_array(F.collect_list(F.struct("distance", "id"))), 1, k).alias("h")
 

@@ -19,6 +19,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +35,26 @@ RECALL = 0.95
 KEY = ["workspace_id", "id"]
 LOOSE = -1
 SLACK = 1e-7
+CELLS = 1 << 20  # rows times lists that a task compares at once
 
 
 def _units(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Which vectors have a direction and the width, and those as unit vectors."""
-    values = [v.values for v in vectors]
-    fits = np.array([v is not None and len(v) == width and not v.null_count for v in values], bool)
-    m = np.array([values[k].to_numpy(zero_copy_only=False) for k in np.flatnonzero(fits)], np.float64).reshape(-1, width)
+    fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False).to_numpy(zero_copy_only=False).copy()
+    m = vectors.take(pa.array(np.flatnonzero(fits))).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
     sound = np.isfinite(m).all(axis=1) & m.any(axis=1)
     fits[np.flatnonzero(fits)[~sound]] = False
     return fits, unit_rows(m[sound])
 
 
+def _slices(batches, lists: int):
+    """The batches in pieces whose rows make about `CELLS` numbers with the lists."""
+    rows = max(1, CELLS // max(1, lists))
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     spark: SparkSession
@@ -89,7 +98,7 @@ class VectorIndex:
         columns = rows.columns
 
         def run(batches):
-            for batch in batches:
+            for batch in _slices(batches, len(held.value)):
                 fits, m = _units(batch.column("embedding"), width)
                 which, angle = np.full(len(fits), LOOSE, np.int32), np.zeros(len(fits))
                 cosine = m @ held.value.T
@@ -177,8 +186,8 @@ class VectorIndex:
         held = self.spark.sparkContext.broadcast((centres, self._reach()))
 
         def run(batches):
-            for batch in batches:
-                c, reach = held.value
+            c, reach = held.value
+            for batch in _slices(batches, len(c)):
                 fits, m = _units(batch.column("embedding"), c.shape[1])
                 angle = np.arccos(np.clip(m @ c.T, -1, 1))
                 order = np.argsort(angle, axis=1, kind="stable")
