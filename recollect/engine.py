@@ -101,7 +101,7 @@ class Memory:
 
     # -- the chunk table and its text index --------------------------------------------------
     def _put(self, chunks: DataFrame) -> None:
-        chunks = cut_lineage(chunks)
+        """Chunks that are a written table."""
         self.tables.merge("chunks", chunks)
         if self.texts:
             self.texts.add(chunks)
@@ -162,20 +162,21 @@ class Memory:
             other = F.col("error").isNull() & (F.col("workspace_id") != self.only)
             checked = checked.withColumn("error", F.when(other, "workspace mismatch").otherwise(F.col("error")))
         # a message sent twice in one batch is one message, the later one if they differ
-        sent = first_seen(checked.where("error IS NULL").drop("error"), dml.MESSAGE,
-                          [-F.unix_micros("created_at"), F.col("content")])
-        chunks = dml.to_chunks(sent.select(*wanted))
+        sent = cut_lineage(first_seen(checked.where("error IS NULL").drop("error"), dml.MESSAGE,
+                                      [-F.unix_micros("created_at"), F.col("content")]).select(*wanted))
         # one message per content: repeats inside the batch, then ones stored before
-        keepers = dml.unique_content(
-            chunks.where("chunk_index = 0").select("workspace_id", "content_hash", "message_id"),
-            ["workspace_id", "content_hash"], [F.col("message_id")],
-            self._stored_for(sent).select("workspace_id", "content_hash"))
-        fresh = chunks.join(keepers.select(*dml.MESSAGE), dml.MESSAGE, "left_semi")
+        hashed = sent.select(*dml.MESSAGE, tx.content_hash(
+            F.col("workspace_id"), F.col("session_id"), tx.strip_nul(F.col("content"))).alias("content_hash"))
+        keepers = dml.unique_content(cut_lineage(hashed), ["workspace_id", "content_hash"], [F.col("message_id")],
+                                     self._stored_for(sent).select("workspace_id", "content_hash"))
+        # whole messages are left out before they are cut into chunks
+        fresh = dml.to_chunks(sent.join(keepers.select(*dml.MESSAGE), dml.MESSAGE, "left_semi"))
         if self.auto_tag:  # K5
             fresh = tagged(fresh, self.brain)
+        ready = cut_lineage(embed_rows(fresh, self.embedder, inflight=self.settings.embed_inflight))
         # a message written again: what its old text had beyond the new one goes
-        tail = cut_lineage(dml.stale_tail(self._stored_for(sent).select("id", *dml.MESSAGE, "chunk_index"), fresh.select(*dml.MESSAGE, "total_chunks")))
-        self._put(embed_rows(fresh, self.embedder, inflight=self.settings.embed_inflight))
+        tail = cut_lineage(dml.stale_tail(self._stored_for(sent).select("id", *dml.MESSAGE, "chunk_index"), ready.select(*dml.MESSAGE, "total_chunks")))
+        self._put(ready)
         self._drop(tail)
         return checked.select("workspace_id", "message_id", "session_id", "role", F.col("error").isNull().alias("stored"), "error")
 
@@ -278,7 +279,7 @@ class Memory:
             "parts", "pieces", "action").join(base, dml.MESSAGE)
         made = cut_lineage(embed_rows(rows, self.embedder, inflight=self.settings.embed_inflight, tolerant=tolerant))
         refused = made.where("embedding IS NULL").select(*dml.MESSAGE).distinct()
-        written = made.join(refused, dml.MESSAGE, "left_anti")
+        written = cut_lineage(made.join(refused, dml.MESSAGE, "left_anti"))
         tail = cut_lineage(plan.where("action = 'delete'").select("id", *dml.MESSAGE).join(refused, dml.MESSAGE, "left_anti"))
         self._put(written)
         self._drop(tail)
@@ -789,7 +790,7 @@ class Memory:
         chunks = cut_lineage(chunks)
         left = self.tables.read("chunks").where((F.col("workspace_id") == workspace) & (F.col("source_type") == "vault-md"))
         left = cut_lineage(vault.left_over(left, todo, chunks, found, registry))
-        self._put(embed_rows(chunks, self.embedder, inflight=self.settings.embed_inflight))
+        self._put(cut_lineage(embed_rows(chunks, self.embedder, inflight=self.settings.embed_inflight)))
         self._drop(left)
         return found.select("path", "digest")
 

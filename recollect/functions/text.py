@@ -182,6 +182,11 @@ def tool_call(reply: Column) -> Column:
     return F.from_json(F.nullif(raw, F.lit("")), "tool STRING, args MAP<STRING,STRING>")
 
 
+def _once(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def chunk_plain(text: Column, size: int = CHUNK_SIZE) -> Column:
     """Texts of up to `size` bytes stay whole; longer ones are cut into windows of `size`
     characters, each ended at its last blank when that blank lies past byte `size / 2` (the
@@ -190,25 +195,30 @@ def chunk_plain(text: Column, size: int = CHUNK_SIZE) -> Column:
     A fold over the greatest possible number of windows: the shortest window that ends at a
     blank has more than `size / 2` bytes, hence at least `size / 8` characters.
     """
-    total = F.char_length(text)
-    steps = F.sequence(F.lit(0), F.floor(total / F.lit(size // 8 or 1)).cast("int"))
-
-    def step(state: Column, _: Column) -> Column:
-        pos = state["pos"]
-        window = F.substring(text, pos, F.lit(size))
-        head = F.regexp_extract(window, "(?s)^(.*) ", 1)
-        last = pos + size > total
-        at_blank = F.octet_length(head) > size // 2
-        piece = F.when(last | ~at_blank, window).otherwise(head)
-        jump = F.when(at_blank, F.char_length(head) + 1).otherwise(F.lit(size))
-        grown = F.struct(
-            F.when(last, total + 1).otherwise(pos + jump).cast("int").alias("pos"),
-            F.array_append(state["parts"], piece).alias("parts"))
-        return F.when(pos > total, state).otherwise(grown)
-
-    start = F.struct(F.lit(1).cast("int").alias("pos"),
-                     F.array().cast("array<string>").alias("parts"))
-    cut = F.aggregate(steps, start, step)["parts"]
+    def fold(total: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.floor(total / F.lit(size // 8 or 1)).cast("int"))
+
+        def step(state: Column, _: Column) -> Column:
+            pos = state["pos"]
+
+            def grown(window: Column, head: Column) -> Column:
+                last = pos + size > total
+                at_blank = F.octet_length(head) > size // 2
+                piece = F.when(last | ~at_blank, window).otherwise(head)
+                jump = F.when(at_blank, F.char_length(head) + 1).otherwise(F.lit(size))
+                return F.struct(
+                    F.when(last, total + 1).otherwise(pos + jump).cast("int").alias("pos"),
+                    F.array_append(state["parts"], piece).alias("parts"))
+
+            cut = _once(F.substring(text, pos, F.lit(size)), lambda window: _once(
+                F.regexp_extract(window, "(?s)^(.*) ", 1), lambda head: grown(window, head)))
+            return F.when(pos > total, state).otherwise(cut)
+
+        start = F.struct(F.lit(1).cast("int").alias("pos"),
+                         F.array().cast("array<string>").alias("parts"))
+        return F.aggregate(steps, start, step)["parts"]
+
+    cut = _once(F.char_length(text), fold)
     return F.when(F.octet_length(text) <= size, F.array(text)).otherwise(cut)
 
 

@@ -47,10 +47,11 @@ def to_chunks(messages: DataFrame) -> DataFrame:
     text = strip_nul(F.col("content"))
     extra = keep_metadata(F.coalesce("metadata", F.create_map().cast("map<string,string>")))
     field = lambda k: F.try_element_at(F.col("extra"), F.lit(k))
-    cut_up = messages.withColumn("extra", extra).withColumn("_parts", chunk_plain(text, CHUNK_SIZE))
-    rows = cut_up.select(
-        "*", F.posexplode("_parts").alias("chunk_index", "document"),
-        content_hash(F.col("workspace_id"), F.col("session_id"), text).alias("content_hash"))
+    cut_up = messages.withColumns({
+        "extra": extra, "_parts": chunk_plain(text, CHUNK_SIZE),
+        "content_hash": content_hash(F.col("workspace_id"), F.col("session_id"), text)}).drop("content", "metadata")
+    # an inner explode would have Spark cut every text a second time, for a filter on empty lists
+    rows = cut_up.select("*", F.posexplode_outer("_parts").alias("chunk_index", "document")).where("chunk_index IS NOT NULL")
     return rows.select(
         F.concat("message_id", F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("id"),
         "message_id", "workspace_id", "session_id", "role", "document", "created_at", "chunk_index",

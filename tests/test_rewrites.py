@@ -66,3 +66,18 @@ def test_sliding_counts_of_a_hot_key(spark):
         for t in set(own):
             assert got[user, t] == (own.count(t), sum(0 <= (t - o).total_seconds() <= 60 for o in own))
     assert len(got) == sum(len(set(v)) for v in times.values())
+
+
+def test_a_text_is_cut_once(spark):
+    """No filter and no second use of the pieces cuts a text again, and each window is searched for its blank once."""
+    from recollect.operators import dml
+
+    rows = spark.createDataFrame([("w", "s", "user", "word " * 3_000, "", "", None, "m", None), ("w", "s", "user", "", "", "", None, "e", None)],
+                                 "workspace_id STRING, session_id STRING, role STRING, content STRING, scope STRING, peer_id STRING, "
+                                 "metadata MAP<STRING,STRING>, message_id STRING, created_at TIMESTAMP")
+    made = dml.to_chunks(rows.repartition(1))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+    got = {(r.message_id, r.chunk_index): r for r in made.collect()}
+    assert sorted(got) == [("e", 0), ("m", 0), ("m", 1), ("m", 2)]
+    assert " ".join(got["m", i].document for i in range(3)) == "word " * 3_000
+    assert len({r.content_hash for k, r in got.items() if k[0] == "m"}) == 1 and got["m", 0].total_chunks == 3
