@@ -233,3 +233,57 @@ def _sampled(ranks: DataFrame, third: int, m: int) -> DataFrame:
             yield _batch(pos=np.where(second, 3 * (q - third) + 2, 3 * q + 1), value=r - extra + 1)
 
     return ranks.mapInArrow(run, "pos long, value long")
+
+
+# Suffixes that a task looks at side by side, up to twice as many.
+ROWS = 1 << 16
+
+
+def sorted_suffixes(suffixes: DataFrame, keys: list[str]) -> DataFrame:
+    """A sparse suffix array: rows in the order of `suffix` (binary), equal ones in the order of `keys`, over all tasks."""
+    order = ["suffix", *keys]
+    return suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def stretches(batches, most: int, size: int):
+    """The sorted rows of a task, `size` or up to twice as many at a time, as tables, with the number of bytes (`most` if unknown) that the first suffix shares with
+    the one before it and the last with the one behind it. Cuts are where neighbours share the least."""
+    held, before = None, most
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        while held.num_rows >= 2 * size:
+            common = shared(*padded(held["suffix"][size - 1:2 * size], most))
+            k = int(np.argmin(common))
+            yield held[:size + k], before, int(common[k])
+            held, before = held[size + k:], int(common[k])
+    if held is not None:
+        yield held, before, most
+
+
+def padded(strings: pa.ChunkedArray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as rows of a matrix, filled up with zeros to whole words, and their lengths."""
+    whole = pa.concat_arrays([c.cast(pa.large_binary()) for c in strings.chunks])
+    _, offsets, data = whole.buffers()
+    at = np.frombuffer(offsets, np.int64)[whole.offset:whole.offset + len(whole) + 1]
+    sizes = np.diff(at)
+    out = np.zeros((len(whole), (most + 7) // 8 * 8), np.uint8)
+    if at[-1] > at[0]:
+        out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(data, np.uint8)[at[0]:at[-1]]
+    return out, sizes
+
+
+def shared(strings: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many bytes each string has in common with the next one."""
+    differ = strings[1:] != strings[:-1]
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), strings.shape[1])
+    return np.minimum(first, np.minimum(sizes[1:], sizes[:-1]))
+
+
+def sorted_rows(strings: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers in the order of the strings, and what neighbours have in common."""
+    words = strings.view(">u8").astype(np.uint64)
+    order = np.lexsort((sizes, *words.T[::-1]))
+    return order, shared(strings[order], sizes[order])

@@ -88,3 +88,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/recollect-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_and_free(df: DataFrame) -> DataFrame:
+    """`cut_lineage`, after which Spark deletes the shuffle files of the write; otherwise they stay until the driver's heap is collected."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(key, before)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from pathlib import Path
 
 import cases
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 
 from recollect.llm import substrings, suffix_array
 from recollect.llm.rows import NO_ID
+from recollect.session import checkpoint_dir
 
 L = substrings.LENGTH
 
@@ -86,3 +88,47 @@ def test_suffix_ranks(spark, monkeypatch, local, alphabet):
 def test_empty_table(spark):
     assert substrings.digests(cases.frame(spark, ["a"]).limit(0)).count() == 0
     assert [r.n_removed for r in substrings.digests(cases.frame(spark, ["short"])).collect()] == [0]
+
+
+def common_line(seed):
+    """Texts that share a line between words of their own, some with the same neighbours."""
+    rng = random.Random(seed)
+    line = cases.prose(rng, 40, 5000)
+    around = [cases.prose(rng, 12, 50_000) for _ in range(6)]
+    return [f"{rng.choice(around)} {i if i % 3 else ''} {line} {rng.choice(around)}" for i in range(40)] + ["-" * 700, "ab\n" * 120, "x" + "-" * 300]
+
+
+@pytest.mark.parametrize("held", [1, 7, 500])
+def test_cuts_between_suffixes_lose_nothing(spark, monkeypatch, held):
+    monkeypatch.setattr(suffix_array, "ROWS", held)
+    texts = made(3, 12) + common_line(held)
+    docs = cases.frame(spark, texts)
+    want = brute([(i, (t or "").encode()) for i, t in enumerate(texts)])
+    got = {r[0]: tuple(r[1:]) for r in substrings.digests(docs).collect()}
+    assert got == want
+
+
+def test_windows_are_served_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = [250, 0, 99, 100, 3, 1000]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    data = rng.integers(97, 100, at[-1], dtype=np.uint8)
+    served = []
+    for piece in (substrings.PIECE, 64):
+        monkeypatch.setattr(substrings, "PIECE", piece)
+        served.append(sorted((int(t), int(p - d), int(p), int(h)) for t, p, near, far, h in zip(*substrings.windows(data, at))
+                             for d in range(near, far + 1)))
+    assert served[0] == served[1]
+    assert [s[:2] for s in served[0]] == [(t, i) for t, n in enumerate(sizes) for i in range(n - L + 1)]
+
+
+def test_tables_between_steps_stay_under_twice_the_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix_array, "LOCAL", 1000)
+    rng = random.Random(8)
+    passages = [cases.prose(rng, 200, 50_000) for _ in range(40)]
+    texts = [" ".join([cases.prose(rng, 800, 50_000), rng.choice(passages)]) for _ in range(120)]
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    written = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = written()
+    assert sum(r.n_removed for r in substrings.digests(cases.frame(spark, texts)).collect()) > 50_000
+    assert written() - before < 2 * sum(len(t.encode()) for t in texts)
