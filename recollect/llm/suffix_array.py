@@ -11,6 +11,9 @@ p // BLOCK. Symbols are positive, only the last three or more are 0, and the len
 
 Sorts are range-partitioned; counts and names are local to a task first, and only one row for each task goes to the driver.
 A string of `LOCAL` symbols or fewer is sorted by one task, whatever the size of the input: that is the end of the recursion.
+
+Below it stands a sparse suffix array, of chosen suffixes as far as they are given, which one sort puts in order: `sorted_suffixes`,
+and for the rows of a task `stretches`, `padded` and `shared` (common prefixes of neighbours).
 """
 
 from __future__ import annotations
