@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.session import cut_lineage, hold
+from recollect.session import cut_and_free, cut_lineage, hold
 
 # Compressed columns of this size are at most a few hundred megabytes as a hash table.
 BROADCAST_BYTES = 16 << 20
@@ -34,6 +34,33 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "l
     return rows.join(F.broadcast(lookup) if small else lookup.hint("merge"), on, how)
 
 
+# Bits of a sieve: 32 MB as a broadcast table, whatever the number of keys; a thousand words of it are a row.
+SIEVE_BITS = 1 << 28
+SIEVE_ROW = 1 << 16
+
+
+def sifted(rows: DataFrame, lookup: DataFrame, on: list[str], max_bytes: int | None = None, bits: int = SIEVE_BITS) -> DataFrame:
+    """`rows` without those, or without most of those, whose key a written lookup table does not have, unshuffled.
+
+    Keys within `max_bytes` are broadcast themselves, and none but their rows stay. Of more keys a bit of each one's hash is
+    broadcast: about sixteen bits a key, up to `bits`. All rows with a key of the lookup stay, and those of others whose
+    hash meets the bit of one; they leave in the join.
+    """
+    if written_bytes(lookup) <= (BROADCAST_BYTES if max_bytes is None else max_bytes):
+        return rows.join(F.broadcast(lookup.select(*on)), on, "left_semi")
+    size = min(max(1 << (16 * lookup.count()).bit_length(), SIEVE_ROW), bits)
+    spot = F.xxhash64(*on).bitwiseAND(F.lit(size - 1))
+    words = lookup.select(spot.alias("_spot")).selectExpr("shiftright(_spot, 6) AS _word", "shiftleft(1L, CAST(_spot & 63 AS INT)) AS _bits")
+    # a row of zeros for each word, so that a word's place in the row is its number
+    zeros = rows.sparkSession.range(size // 64).selectExpr("id AS _word", "0L AS _bits")
+    filled = words.unionByName(zeros).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    sieve = cut_and_free(filled.groupBy(F.shiftright("_word", 10).alias("_row")).agg(
+        F.sort_array(F.collect_list(F.struct("_word", "_bits")))["_bits"].alias("_words")))
+    word = F.get("_words", F.shiftright(spot, 6).bitwiseAND(F.lit(1023)).cast("int"))
+    met = F.call_function("shiftright", word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(sieve), (F.shiftright(spot, 16) == F.col("_row")) & met, "left_semi")
+
+
 def absent(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose key is not stored. The stored keys are reduced to the ones in question
     first, so that a small batch is broadcast to a large table instead of the table being
